@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillfind.llm import bpe, splitter, termcount
+from quillfind.llm import bpe, neighbours, splitter, termcount
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -19,6 +20,12 @@ def p3_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     return termcount.marked(_read(spark, sf, "vocabulary_rows"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    cache = _read(spark, sf, "embedding_cache").select("id", "vector", F.coalesce("dimensions", F.lit(-1)).alias("dims"))
+    clusters = _read(spark, sf, "clusters").select("id", "vector", F.size("vector").alias("dims"))
+    return neighbours.pairs(neighbours.nearest(cache.union(clusters), dimensions="dims"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return splitter.split_oversized(_read(spark, sf, "fragments")).where("piece_no = 1").select("id")
 
@@ -35,6 +42,7 @@ def queries() -> dict:
     return {
         "p3_found": p3_found,
         "p3_frequencies": p3_frequencies,
+        "p5_found": p5_found,
         "p7_found": p7_found,
         "p7_pieces": p7_pieces,
         "p8_ids": p8_ids,
