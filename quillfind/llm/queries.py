@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfind.llm import bpe, neighbours, splitter, termcount
+from quillfind.llm import bpe, leakage, neighbours, splitter, termcount
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode(_read(spark, sf, "documents"))
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leakage.leaked(_read(spark, sf, "documents"), _read(spark, sf, "eval_items"))
+
+
 def queries() -> dict:
     return {
         "p3_found": p3_found,
@@ -46,6 +50,7 @@ def queries() -> dict:
         "p7_found": p7_found,
         "p7_pieces": p7_pieces,
         "p8_ids": p8_ids,
+        "p9_found": p9_found,
     }
 
 
