@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfind.llm import bpe, leakage, neighbours, splitter, termcount
+from quillfind.llm import bpe, cuts, leakage, neighbours, splitter, termcount
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -42,6 +42,14 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leakage.leaked(_read(spark, sf, "documents"), _read(spark, sf, "eval_items"))
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return cuts.cut_documents(_read(spark, sf, "documents")).where("cut").select("doc_id")
+
+
+def p10_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return cuts.share_by_source(_read(spark, sf, "documents"))
+
+
 def queries() -> dict:
     return {
         "p3_found": p3_found,
@@ -51,6 +59,8 @@ def queries() -> dict:
         "p7_pieces": p7_pieces,
         "p8_ids": p8_ids,
         "p9_found": p9_found,
+        "p10_found": p10_found,
+        "p10_sources": p10_sources,
     }
 
 
