@@ -5,13 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfind.llm import bpe, cuts, leakage, neighbours, splitter, termcount
+from quillfind.llm import bpe, cuts, leakage, neighbours, splitter, termcount, transcripts
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _turns(spark: SparkSession, sf: str) -> DataFrame:
+    return transcripts.turns(_read(spark, sf, "sentences"), _read(spark, sf, "call_parties"))
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _turns(spark, sf).select("call_id", "turn_no", "channel", "first_sentence_id", "last_sentence_id")
+
+
+def p2_turns(spark: SparkSession, sf: str) -> DataFrame:
+    return _turns(spark, sf)
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return termcount.marked(_read(spark, sf, "vocabulary_rows")).where("mark IS NOT NULL").select("normalized", "mark")
 
@@ -52,6 +64,8 @@ def p10_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "p2_found": p2_found,
+        "p2_turns": p2_turns,
         "p3_found": p3_found,
         "p3_frequencies": p3_frequencies,
         "p5_found": p5_found,
