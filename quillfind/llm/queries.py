@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfind.llm import bpe, cuts, leakage, neighbours, splitter, termcount, transcripts
+from quillfind.llm import bpe, cuts, leakage, neighbours, pairs, splitter, termcount, transcripts
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def p3_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     return termcount.marked(_read(spark, sf, "vocabulary_rows"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.defective(_read(spark, sf, "selected_questions"), _read(spark, sf, "answers"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     cache = _read(spark, sf, "embedding_cache").select("id", "vector", F.coalesce("dimensions", F.lit(-1)).alias("dims"))
     clusters = _read(spark, sf, "clusters").select("id", "vector", F.size("vector").alias("dims"))
@@ -68,6 +72,7 @@ def queries() -> dict:
         "p2_turns": p2_turns,
         "p3_found": p3_found,
         "p3_frequencies": p3_frequencies,
+        "p4_found": p4_found,
         "p5_found": p5_found,
         "p7_found": p7_found,
         "p7_pieces": p7_pieces,
