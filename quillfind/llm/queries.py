@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillfind.llm import bpe, cuts, leakage, neighbours, pairs, splitter, termcount, transcripts
+from quillfind.llm import bpe, cuts, leakage, mailnew, neighbours, pairs, splitter, termcount, transcripts
 
 
 def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.pairs(neighbours.nearest(cache.union(clusters), dimensions="dims"))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mailnew.written_lines(_read(spark, sf, "fragments"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return splitter.split_oversized(_read(spark, sf, "fragments")).where("piece_no = 1").select("id")
 
@@ -74,6 +78,7 @@ def queries() -> dict:
         "p3_frequencies": p3_frequencies,
         "p4_found": p4_found,
         "p5_found": p5_found,
+        "p6_found": p6_found,
         "p7_found": p7_found,
         "p7_pieces": p7_pieces,
         "p8_ids": p8_ids,
