@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from quillfind.functions.session import written
 
-#: Bits that near fingerprints may differ in, edits per character, mails of a sender that make a sentence boilerplate, share of them it must end.
-DISTANCE, EDITS, BOILERPLATE, TAIL_SHARE = 3, 0.1, 5, 0.9
+#: Bits that near fingerprints may differ in, edits per character; what makes a sentence boilerplate: so many mails of the
+#: sender, so large a share of all of them, and this share of its places at the end of a mail.
+DISTANCE, EDITS, BOILERPLATE, SENDER_SHARE, TAIL_SHARE = 3, 0.1, 5, 0.2, 0.9
 #: Words a sentence needs to be looked up.
 LEAST_WORDS = 4
 
@@ -310,6 +311,8 @@ def written_lines(
         told.groupBy("sender", F.xxhash64("text").alias("h"))
         .agg(F.count("*").alias("n"), F.avg(F.col("tail").cast("double")).alias("share"), F.min("sent_at").alias("a"), F.max("sent_at").alias("b"), F.first("sim").alias("sim"), F.first("text").alias("text"))
         .where((F.col("n") >= boilerplate) & (F.col("share") >= TAIL_SHARE) & (F.col("a") < F.col("b")))
+        .join(read.groupBy("sender").agg(F.count("*").alias("mails")), "sender")
+        .where(F.col("n") >= F.col("mails") * SENDER_SHARE)
         .select("sender", "sim", "text")
     )
     ends = told.where("tail").join(common.select("sender").distinct(), "sender", "left_semi")
