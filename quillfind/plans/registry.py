@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillfind.plans import feed_queries
+from quillfind.plans import catalog_queries, feed_queries
 
-MODULES = (feed_queries,)
+MODULES = (feed_queries, catalog_queries)
 
 
 def queries() -> dict:
