@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillfind.plans import catalog_queries, feed_queries
+from quillfind.plans import catalog_queries, feed_queries, search_queries
 
-MODULES = (feed_queries, catalog_queries)
+MODULES = (feed_queries, catalog_queries, search_queries)
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return queries()["p1_found"](spark, sf)
+    return queries()["finder_end_to_end"](spark, sf)
