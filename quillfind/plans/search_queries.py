@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillfind.functions import text as X
+from quillfind.functions.session import cut
 from quillfind.operators import finder, model
 from quillfind.operators import graph as G
 from quillfind.operators import search as S
@@ -49,7 +50,7 @@ def _query_vectors(s, d):
 
 
 def _lists(s, d):
-    return finder.seed_lists(_rows(s, d), _asked(s, d), _t(s, d, "vocabulary_rows"))
+    return cut(finder.seed_lists(_rows(s, d), _asked(s, d), _t(s, d, "vocabulary_rows")))  # read by several steps
 
 
 def _seeds(s, d):
@@ -62,6 +63,16 @@ def _graph(s, d):
     return G.build(G.neighbourhood(_relations(s, d), _seeds(s, d), 2, 50))
 
 
+def _walk(s, d):
+    """Graph and seeds, written once: the walk reads them several times."""
+    return cut(_graph(s, d)), cut(_seeds(s, d))
+
+
+def _arrivals(s, d):
+    graph, seeds = _walk(s, d)
+    return G.arrivals(graph, G.pagerank(graph, seeds))
+
+
 def _phrases(s, d):
     """Spellings of clusters, looked up as phrases in the documents."""
     return _t(s, d, "clusters").where("length(label) > 0").select(F.col("id").alias("phrase_id"), F.col("label").alias("text"))
@@ -104,8 +115,8 @@ def queries() -> dict:
         "edges_touching": lambda s, d: G.touching(_relations(s, d), _seeds(s, d)),
         "neighborhood_2hop": lambda s, d: G.neighbourhood(_relations(s, d), _seeds(s, d), 2, 50),
         "graph_build": lambda s, d: _rounded(_graph(s, d), "weight"),
-        "ppr_12_rounds": lambda s, d: _rounded(G.pagerank(_graph(s, d), _seeds(s, d)), "mass"),
-        "walk_arrivals": lambda s, d: _rounded(G.arrivals(_graph(s, d), G.pagerank(_graph(s, d), _seeds(s, d))), "arrived"),
+        "ppr_12_rounds": lambda s, d: _rounded(G.pagerank(*_walk(s, d)), "mass"),
+        "walk_arrivals": lambda s, d: _rounded(_arrivals(s, d), "arrived"),
         "expand_sources": lambda s, d: G.expand(G.without_hubs(_relations(s, d), 50), _t(s, d, "fragments"), model.sources_of(_t(s, d, "documents")).where("id % 50 = 0")),
     }
 
