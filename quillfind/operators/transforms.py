@@ -52,7 +52,7 @@ def chunks(text: str, target: int = TARGET, hard: int = HARD) -> list[tuple[int,
         n = len(line.encode()) + 1
         if size and size + n > hard or (size >= target and not line.strip()):
             push(i)
-            begun, size = i, 0
+            begun, size = (i, 0) if line.strip() else (i + 1, -n)  # the blank line itself is dropped
         size += n
     push(len(lines))
     return found
