@@ -15,12 +15,15 @@ labels is a cut.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillfind.functions.session import written
+
 #: How an end looks: whole, open (a broken sentence), in doubt (an item of a list), structure (code, table, ...), alone (a short line of its own).
 WHOLE, OPEN, DOUBT, STRUCTURE, ALONE = 0, 1, 2, 3, 4
 
@@ -48,8 +51,22 @@ _URL = re.compile(r"(?:https?://|www\.)\S+$")
 _NAME = re.compile(r"^[^\W\d_][\w'’.-]*(?: [^\W\d_][\w'’.-]*){0,3}$")
 
 
+#: Characters at the end in which a mark of a cut is looked for.
+_MARK_ROOM = 64
+
+
 def _bare(line: str) -> str:
-    return _TAGS.sub("", line).strip()
+    line = line.strip()
+    return _TAGS.sub("", line).strip() if line.endswith(">") else line
+
+
+def split_mark(text: str) -> tuple[str, str]:
+    """(text, mark): what was put behind a text that was cut, with the blanks around it."""
+    body = _bare(text)
+    at = max(0, len(body) - _MARK_ROOM)
+    if (m := MARKS.search(body[at:])) and m[0].strip() not in ("]", ")"):
+        return body[: at + m.start()].rstrip(), m[0]
+    return body, ""
 
 
 def segment_of(line: str) -> str:
@@ -66,12 +83,7 @@ def ending(text: str | None) -> tuple[int, str]:
     """(state, closing segment) of a text; blank texts are whole."""
     if not text or not text.strip():
         return WHOLE, ""
-    body = _bare(text)
-    marked = MARKS.search(body)
-    if marked and not re.search(r"\[(?:cut|truncated|more)\]|\((?:cut|truncated|more)\)", marked[0], re.I) and marked[0].strip() in ("]", ")"):
-        marked = None
-    if marked:
-        body = body[: marked.start()]
+    body, marked = split_mark(text)
     if not body.strip():
         return WHOLE, ""
     lines = [x for x in re.split(r"\r?\n", body) if x.strip()]
@@ -81,7 +93,7 @@ def ending(text: str | None) -> tuple[int, str]:
         return STRUCTURE, segment
     if line.lstrip().startswith("|") or (line.rstrip().endswith("|") and line.count("|") > 1):
         return STRUCTURE, segment
-    if _ENDED.search(line) and not (marked and "�" in marked[0]):
+    if _ENDED.search(line) and not "�" in marked:
         return WHOLE, segment
     if _URL.search(line) and not marked:
         return STRUCTURE, segment
@@ -139,8 +151,16 @@ def _segments(text: str) -> set[str]:
 
 def _judge(batches):
     for batch in batches:
-        states, tails = zip(*map(ending, batch.column(1).to_pylist())) if batch.num_rows else ((), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(states, pa.int32()), pa.array(tails, pa.string())], names=["doc_id", "state", "tail"])
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            texts = part.column(1).to_pylist()
+            states, tails = zip(*map(ending, texts))
+            bodies = [split_mark(t)[0] if t and t.strip() else None for t in texts]
+            digests = [None if b is None else hashlib.md5(b.encode("utf-8", "replace")).hexdigest() for b in bodies]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(states, pa.int32()), pa.array(tails, pa.string()), pa.array(digests, pa.string()), pa.array(bodies, pa.string())],
+                names=["doc_id", "state", "tail", "digest", "body"],
+            )
 
 
 def _all_segments(batches):
@@ -208,28 +228,20 @@ def cut_documents(documents: DataFrame, key: str = "doc_id", text: str = "text")
     blank texts are not cut. Repeated rows are given again. An empty table gives no rows.
     """
     docs = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    judged = docs.mapInArrow(_judge, "doc_id long, state int, tail string")
-    # whole texts: equal texts fall together before the sort; a mark of the cut is no part of the text
-    body = F.regexp_replace("text", r"\s*(?:…|\.\.\.+|\[(?:…|\.\.\.)?\]?|\x{FFFD}+)?\s*$", "")
-    bodies = docs.select("doc_id", body.alias("value"), F.length("text").alias("n"))
-    longer = strict_prefixes(bodies.select("value", F.lit(True).alias("asked"))).where(
+    # each text is read once; what follows reads the narrow columns it needs
+    judged = written(docs.mapInArrow(_judge, "doc_id long, state int, tail string, digest string, body string"), "endings")
+    # whole texts: equal texts fall together before the sort; a whole end can't go on within a word
+    longer = strict_prefixes(judged.select(F.col("body").alias("value"), (F.col("state") != WHOLE).alias("asked"))).where(
         _word(F.col("follows")) & _word(F.substring("value", -1, 1))
     )
-    digest = F.md5(F.encode("value", "UTF-8")).alias("digest")
-    copied = (
-        bodies.select("doc_id", digest)
-        .join(longer.select(digest).distinct(), "digest", "left_semi")
-        .select("doc_id")
-        .distinct()
-        .withColumn("longer_copy", F.lit(True))
-    )
+    copies = longer.select(F.md5(F.encode("value", "UTF-8")).alias("digest")).distinct()
+    copied = judged.join(copies, "digest", "left_semi").select("doc_id").distinct().withColumn("longer_copy", F.lit(True))
     # closing segments in doubt, against all segments
     doubtful = judged.where(F.col("state").isin(DOUBT, ALONE)).select("doc_id", "state", F.col("tail").alias("value"))
-    segments = docs.select("text").mapInArrow(_all_segments, "value string").withColumn("asked", F.lit(False))
+    segments = judged.select("body").mapInArrow(_all_segments, "value string").withColumn("asked", F.lit(False))
     going = strict_prefixes(segments.union(doubtful.select("value", F.lit(True).alias("asked")))).select("value", "follows", F.lit(True).alias("goes_on"))
     # a line that closes several different texts is a formula
-    closing = judged.where(F.col("state") == ALONE).join(bodies.select("doc_id", digest), "doc_id")
-    recurring = closing.groupBy(F.col("tail").alias("value")).agg((F.countDistinct("digest") >= RECURRING).alias("recurring")).where("recurring")
+    recurring = judged.where(F.col("state") == ALONE).groupBy(F.col("tail").alias("value")).agg((F.countDistinct("digest") >= RECURRING).alias("recurring")).where("recurring")
     # an item of a list like "steady schema" goes on as a word or a sentence only; others as they like
     goes = (F.col("state") == ALONE) | _word(F.col("follows")) | F.col("value").rlike(r"^\p{Lu}")
     tails = (
@@ -238,7 +250,7 @@ def cut_documents(documents: DataFrame, key: str = "doc_id", text: str = "text")
         .select("doc_id", (F.coalesce("goes_on", F.lit(False)) & goes).alias("goes_on"), F.coalesce("recurring", F.lit(False)).alias("recurring"))
         .distinct()
     )
-    found = judged.join(copied, "doc_id", "left").join(tails, "doc_id", "left")
+    found = judged.select("doc_id", "state", "tail").join(copied, "doc_id", "left").join(tails, "doc_id", "left")
     longer_copy, goes_on = F.coalesce("longer_copy", F.lit(False)), F.coalesce("goes_on", F.lit(False))
     cut = (
         (F.col("state") == OPEN)
