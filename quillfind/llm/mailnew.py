@@ -299,11 +299,16 @@ def written_lines(
         .select("id", "sender", "thread", "sent_at", F.explode("sentences").alias("s"))
         .select("id", "sender", "thread", "sent_at", "s.place", "s.sim", "s.text")
     )
-    later, earlier = _tabled(talked).alias("l"), _tabled(talked).alias("e")
-    inherited = (
-        later.join(earlier, (F.col("l.thread") == F.col("e.thread")) & (F.col("l.block") == F.col("e.block")) & (F.col("e.sent_at") < F.col("l.sent_at")) & (F.col("e.sender") != F.col("l.sender")) & _near("l", "e"))
-        .select("l.id", "l.place")
+    # equal sentences of one sender in one conversation are one entry, with the first time it was said:
+    # pairs arise between different entries only, and a conversation has a few senders
+    told_first = talked.groupBy("thread", "sender", "text").agg(F.first("sim").alias("sim"), F.min("sent_at").alias("said_at"))
+    later, earlier = _tabled(told_first).alias("l"), _tabled(told_first).alias("e")
+    heard = (
+        later.join(earlier, (F.col("l.thread") == F.col("e.thread")) & (F.col("l.block") == F.col("e.block")) & (F.col("e.sender") != F.col("l.sender")) & _near("l", "e"))
+        .groupBy("l.thread", "l.sender", "l.text")
+        .agg(F.min("e.said_at").alias("heard_at"))
     )
+    inherited = talked.join(heard, ["thread", "sender", "text"]).where("sent_at > heard_at").select("id", "place")
 
     # sentences that end many mails of one sender: equal ones are counted first, near ones join them
     told = read.where("sender IS NOT NULL").select("id", "sender", "sent_at", F.explode("sentences").alias("s")).select("id", "sender", "sent_at", "s.place", "s.sim", "s.text", "s.tail")
