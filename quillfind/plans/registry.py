@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillfind.plans import catalog_queries, content_queries, corpus_queries, feed_queries, ladder_queries, search_queries
+from quillfind.plans import catalog_queries, content_queries, corpus_queries, feed_queries, index_queries, ladder_queries, search_queries
 
-MODULES = (feed_queries, catalog_queries, search_queries, corpus_queries, content_queries, ladder_queries)
+MODULES = (feed_queries, catalog_queries, search_queries, corpus_queries, content_queries, ladder_queries, index_queries)
 
 
 def queries() -> dict:

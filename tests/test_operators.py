@@ -193,3 +193,22 @@ def test_ladder():
     s.bus.guards.append(lambda op, **_: "no" if op == "find" else None)
     with pytest.raises(PermissionError):
         s.act([lambda: "x"])
+
+
+def test_index_upkeep(spark):
+    from quillfind.operators import index
+
+    rows = spark.createDataFrame([(1, 1, "content", "red fox"), (2, 1, "content", "red fox"), (3, 1, "summary", "hen"), (4, 1, "content", None)], "id long, source long, role string, text string")
+    cache = spark.createDataFrame([(9, "x", "m", 4, [1.0, 0.0, 0.0, 0.0])], "id long, digest string, model string, dimensions int, vector array<float>").withColumn("digest", F.sha2(F.lit("hen"), 256))
+    got = {r["id"]: (r["fresh"], len(r["vector"])) for r in index.embedded(rows, cache, "m", 4).collect()}
+    assert got == {1: (True, 4), 2: (True, 4), 3: (False, 4)}
+    assert {r["id"] for r in index.embedded(rows, cache, "m", 4, "summaries").collect()} == {3}
+    assert index.stale_vectors(cache, "m", 4).count() == 0 and rows_of(index.stale_vectors(cache, "other", 4)) == {(9,)}
+    hits, misses = index.cached(rows.select("id"), spark.createDataFrame([(1, "v")], "id long, out string"), ["id"])
+    assert rows_of(hits) == {(1, "v")} and rows_of(misses) == {(2,), (3,), (4,)}
+    clusters = spark.createDataFrame([(1, [1.0, 0.0], 5, 1), (2, [1.0, 0.01], 2, 1), (3, [0.0, 1.0], 9, 1), (4, None, 1, 1), (5, [1.0, 0.02], 2, 0)], "id long, vector array<float>, member_count int, changed_sweep long")
+    assert rows_of(index.merges(clusters, 1)) == {(2, 1)}
+    assert index.merges(clusters.limit(0), 1).count() == 0
+    told = spark.createDataFrame([("a", "node:a", "node"), ("a", "node:b", "node"), ("a", "source:x", "source"), ("a", "k", None)], "origin string, key string, kind string")
+    assert {(r["key"], r["allowed"]) for r in index.authorised(told).collect()} == {("node:a", True), ("node:b", False), ("source:x", True), ("k", True)}
+    assert index.purged(told, spark.createDataFrame([("a",)], "node string"), "a").count() == 4 and index.purged(told, spark.createDataFrame([("a",)], "node string"), "b").count() == 0
