@@ -80,12 +80,6 @@ def keywords(text: str | None, most: int = 8) -> list[str]:
     return chosen
 
 
-def _similar(a: dict[str, int], b: dict[str, int]) -> float:
-    dot = sum(n * b.get(w, 0) for w, n in a.items())
-    size = math.sqrt(sum(n * n for n in a.values())) * math.sqrt(sum(n * n for n in b.values()))
-    return dot / size if size else 0.0
-
-
 def select(text: str | None, most: int = 400) -> str:
     """The whole text if it fits; else one best sentence of each section, then the most novel relevant ones, in order."""
     flat = " ".join((text or "").split())
@@ -103,25 +97,38 @@ def select(text: str | None, most: int = 400) -> str:
     for bag in bags:
         for w, n in bag.items():
             whole[w] = whole.get(w, 0) + n
-    relevance = [_similar(b, whole) for b in bags]
+    size = [math.sqrt(sum(n * n for n in b.values())) for b in bags]
+    all_size = math.sqrt(sum(n * n for n in whole.values()))
+    relevance = [sum(n * whole[w] for w, n in b.items()) / (z * all_size) if z else 0.0 for b, z in zip(bags, size)]
+    nearest = [0.0] * len(parts)  # the likeness to the chosen sentence most like it
     chosen: list[int] = []
+    taken = [False] * len(parts)
     room = most
 
     def take(i: int) -> None:
         nonlocal room
         chosen.append(i)
+        taken[i] = True
         room -= len(parts[i][1]) + 1
-
-    for section in dict.fromkeys(i for i, _ in parts):
-        inside = [k for k, (i, s) in enumerate(parts) if i == section and len(s) + 1 <= room]
-        if inside:
-            take(max(inside, key=lambda k: (relevance[k], -k)))
+        for k, b in enumerate(bags):
+            if not taken[k] and size[k] and size[i]:
+                small, large = (b, bags[i]) if len(b) < len(bags[i]) else (bags[i], b)
+                likeness = sum(n * large[w] for w, n in small.items() if w in large) / (size[k] * size[i])
+                nearest[k] = max(nearest[k], likeness)
+
+    best: dict[int, int] = {}
+    for k, (i, sentence) in enumerate(parts):
+        if i not in best or relevance[k] > relevance[best[i]]:
+            if len(sentence) + 1 <= room:
+                best[i] = k
+    for k in best.values():
+        if len(parts[k][1]) + 1 <= room:
+            take(k)
     while True:
-        left = [k for k in range(len(parts)) if k not in chosen and len(parts[k][1]) + 1 <= room]
+        left = [k for k in range(len(parts)) if not taken[k] and len(parts[k][1]) + 1 <= room]
         if not left:
             break
-        gain = {k: RELEVANCE * relevance[k] - (1 - RELEVANCE) * max((_similar(bags[k], bags[c]) for c in chosen), default=0.0) for k in left}
-        take(max(left, key=lambda k: (gain[k], -k)))
+        take(max(left, key=lambda k: (RELEVANCE * relevance[k] - (1 - RELEVANCE) * nearest[k], -k)))
     return " ".join(parts[k][1] for k in sorted(chosen)) or flat[: most - 1].rstrip() + "…"
 
 

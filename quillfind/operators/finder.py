@@ -68,7 +68,7 @@ def source_ledger(entries: DataFrame, rows: DataFrame) -> DataFrame:
     """
     total = entries.groupBy("query_id", "id").agg(F.sum(F.col("seed") + F.col("walked")).alias("score"))
     owned = total.join(rows.where("source IS NOT NULL").select("id", "source"), "id")
-    w = Window.partitionBy("query_id", "source").orderBy(F.desc("score"), "id")
+    w = Window.partitionBy("query_id", "source").orderBy(S.best_first(), "id")
     weight = F.array(*map(F.lit, S.ROLLUP_WEIGHTS))
     top = owned.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= len(S.ROLLUP_WEIGHTS)).select("query_id", "source", "id", weight[F.col("_k") - 1].alias("_w"))
     return entries.join(top, ["query_id", "id"]).groupBy("query_id", "source", "channel").agg(F.sum(F.col("seed") * F.col("_w")).alias("seed"), F.sum(F.col("walked") * F.col("_w")).alias("walked"))

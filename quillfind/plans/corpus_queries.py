@@ -103,7 +103,7 @@ def oracle_sql() -> dict[str, str]:
  asked_tok AS (SELECT query_id, list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS ws FROM asked),
  asked_kept AS (SELECT query_id, CASE WHEN len(list_filter(ws, lambda x: x NOT IN ({stop}))) > 0 THEN list_filter(ws, lambda x: x NOT IN ({stop})) ELSE ws END AS ws FROM asked_tok),
  asked_terms AS MATERIALIZED (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(ws) AS term FROM asked_kept) GROUP BY query_id, term), docs AS (SELECT doc_id AS id, text FROM documents)"""
-    run = f"{asked}, {_bm25_sql('b', 'docs')}, run AS MATERIALIZED (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10)"
+    run = f"{asked}, {_bm25_sql('b', 'docs')}, run AS MATERIALIZED (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM b QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10)"
     gold = "gold AS MATERIALIZED (SELECT DISTINCT CAST(substring(question_id, 5) AS BIGINT) AS query_id, unnest(expected_doc_ids) AS id FROM selected_questions WHERE CAST(substring(question_id, 5) AS BIGINT) % 10 = 0)"
     line = "CASE WHEN string_split(text, chr(10))[-1] = '' THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END"
     flat = f"trim(regexp_replace(text, '{SPACES}', ' ', 'g'))"

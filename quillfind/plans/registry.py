@@ -18,4 +18,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return queries()["finder_end_to_end"](spark, sf)
+    return search_queries.flagship(spark, sf)

@@ -18,9 +18,9 @@ def _t(s, d, name):
     return s.read.parquet(f"{d}/{name}.parquet")
 
 
-def _asked(s, d):
+def _asked(s, d, every=50):
     number = F.substring("question_id", 5, 20).cast("long")
-    return _t(s, d, "selected_questions").where(number % 50 == 0).select(number.alias("query_id"), F.col("question").alias("text"))
+    return _t(s, d, "selected_questions").where(number % every == 0).select(number.alias("query_id"), F.col("question").alias("text"))
 
 
 def _spoken(s, d):
@@ -65,7 +65,8 @@ def _graph(s, d):
 
 def _walk(s, d):
     """Graph and seeds, written once: the walk reads them several times."""
-    return cut(_graph(s, d)), cut(_seeds(s, d))
+    seeds = cut(_seeds(s, d))
+    return cut(G.build(G.neighbourhood(_relations(s, d), seeds, 2, 50))), seeds
 
 
 def _arrivals(s, d):
@@ -89,6 +90,12 @@ def _nodes(s, d):
     return ranked(docs.where("source IN ('fs', 'gmail')"), "local").union(ranked(docs, "far"))
 
 
+def flagship(s, d):
+    """The whole Finder over every question."""
+    lists = cut(finder.seed_lists(_rows(s, d), _asked(s, d, 1), _t(s, d, "vocabulary_rows")))
+    return finder.discover(lists, _rows(s, d), model.sources_of(_t(s, d, "documents")), _relations(s, d))
+
+
 def queries() -> dict:
     return {
         "tokenize": lambda s, d: _documents(s, d).select("id", F.array_join(X.words(F.col("text")), " ").alias("tokens")),
@@ -144,7 +151,7 @@ def oracle_sql() -> dict[str, str]:
     docs = "docs AS (SELECT doc_id AS id, text FROM documents)"
     rows = """rws AS MATERIALIZED (SELECT id, source, CASE WHEN mimetype LIKE 'text/x-derived-summary%' THEN 'summary' WHEN source IS NULL OR mimetype LIKE 'text/x-derived-%' THEN 'lexical' ELSE 'content' END AS role, text FROM fragments WHERE length(trim(text, ' ')) > 0),
  r_all AS (SELECT id, text FROM rws), r_prose AS (SELECT id, text FROM rws WHERE role = 'content'), r_lex AS (SELECT id, text FROM rws WHERE role = 'lexical')"""
-    rank = lambda t: f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM {t}"
+    rank = lambda t: f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM {t}"
     roles = f"""{_bm25_sql("bp", "r_prose")}, {_bm25_sql("bl", "r_lex")},
  roles AS MATERIALIZED (SELECT query_id, 'prose' AS channel, id, score, rank FROM ({rank("bp")}) WHERE rank <= 60 UNION ALL SELECT query_id, 'lexical', id, score, rank FROM ({rank("bl")}) WHERE rank <= 60)"""
     exact = f"""voc AS MATERIALIZED (SELECT DISTINCT fragment, lower(trim(regexp_replace(normalized, '{SPACES}', ' ', 'g'))) AS normalized FROM vocabulary_rows WHERE normalized IS NOT NULL),
@@ -158,13 +165,13 @@ def oracle_sql() -> dict[str, str]:
     lists = f"""{asked}, {rows}, {roles}, {exact},
  lists AS MATERIALIZED (SELECT query_id, channel, id, rank FROM roles UNION ALL SELECT query_id, 'exact', fragment, rank FROM exact WHERE rank <= 20),
  fused AS MATERIALIZED (SELECT query_id, id, sum(CASE channel WHEN 'prose' THEN 1.0 WHEN 'lexical' THEN 0.1 ELSE 1.0 END / (60 + rank)) AS score FROM (SELECT query_id, channel, id, min(rank) AS rank FROM lists GROUP BY ALL) GROUP BY query_id, id)"""
-    scored = """owned AS (SELECT query_id, source, f.id, score, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, f.id) AS k FROM fused f JOIN rws USING (id) WHERE source IS NOT NULL),
+    scored = """owned AS (SELECT query_id, source, f.id, score, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 9) DESC, f.id) AS k FROM fused f JOIN rws USING (id) WHERE source IS NOT NULL),
  rolled AS MATERIALIZED (SELECT query_id, source, sum(score * [1.0, 0.1, 0.05][k]) AS score FROM owned WHERE k <= 3 GROUP BY query_id, source)"""
     vec = """vecs AS (SELECT id, vector FROM embedding_cache UNION ALL SELECT id, vector FROM clusters),
  good AS MATERIALIZED (SELECT id, CAST(vector AS DOUBLE[]) AS v FROM vecs WHERE len(vector) > 0 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
  qv AS (SELECT id AS query_id, v AS q FROM good WHERE id % 50 = 0 AND id IN (SELECT id FROM embedding_cache)),
  sims AS (SELECT query_id, id, list_cosine_similarity(q, v) AS score FROM qv JOIN good ON len(q) = len(v))"""
-    near = f"{vec}, near AS (SELECT query_id, id, score FROM sims WHERE id IN (SELECT id FROM clusters) AND score >= 0.55 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 3)"
+    near = f"{vec}, near AS (SELECT query_id, id, score FROM sims WHERE id IN (SELECT id FROM clusters) AND score >= 0.55 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 3)"
     rel = f"""val AS (SELECT DISTINCT fragment, lower(trim(regexp_replace(normalized, '{SPACES}', ' ', 'g'))) AS v FROM vocabulary_rows),
  rel AS MATERIALIZED (SELECT 's' || source AS src, 'contains' AS kind, 'f' || id AS dst FROM fragments WHERE source IS NOT NULL UNION ALL SELECT 'f' || fragment, 'mentions', 'v' || v FROM val WHERE length(v) > 0),
  deg AS MATERIALIZED (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM rel UNION ALL SELECT dst FROM rel) GROUP BY id),
@@ -184,7 +191,7 @@ def oracle_sql() -> dict[str, str]:
         ppr += f""", l{k} AS MATERIALIZED (SELECT query_id, sum(mass) AS lost FROM p{k - 1} p WHERE NOT EXISTS (SELECT 1 FROM outw o WHERE o.query_id = p.query_id AND o.src = p.id) GROUP BY query_id),
  p{k} AS MATERIALIZED (SELECT query_id, id, sum(mass) AS mass FROM (SELECT query_id, dst AS id, 0.5 * mass * w AS mass FROM p{k - 1} p JOIN sh USING (query_id) WHERE p.id = sh.src UNION ALL SELECT query_id, id, 0.5 * r * coalesce(lost, 0) + 0.5 * r FROM r LEFT JOIN l{k} USING (query_id)) GROUP BY query_id, id)"""
     digest = "dig AS (SELECT doc_id AS source, coalesce(sha256(text), 'source:' || doc_id) AS g FROM documents)"
-    final = f"""{lists}, {scored}, {digest}, fin AS (SELECT query_id, source, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source) AS rank, max(score) OVER (PARTITION BY query_id) AS top FROM rolled),
+    final = f"""{lists}, {scored}, {digest}, fin AS (SELECT query_id, source, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, source) AS rank, max(score) OVER (PARTITION BY query_id) AS top FROM rolled),
  ten AS (SELECT * FROM fin WHERE rank <= 10), fold AS (SELECT query_id, coalesce(g, 'source:' || source) AS g2, min(rank) AS rank, count(*) - 1 AS copies FROM ten LEFT JOIN dig USING (source) GROUP BY 1, 2)"""
     far = f"""{asked}, {docs}, own AS (SELECT doc_id AS id, text FROM documents WHERE source IN ('fs', 'gmail')), {_bm25_sql('bo', 'own')}, {_bm25_sql('bd', 'docs')},
  nl AS (SELECT query_id, 'local' AS node, 'a' || id AS address, rank FROM ({rank('bo')}) WHERE rank <= 20 UNION ALL SELECT query_id, 'far', 'a' || id, rank FROM ({rank('bd')}) WHERE rank <= 20),
@@ -198,7 +205,7 @@ def oracle_sql() -> dict[str, str]:
  t AS (SELECT doc_id AS id, ' ' || array_to_string(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''), ' ') || ' ' AS t FROM documents WHERE text IS NOT NULL)
  SELECT phrase_id, id FROM ph, t WHERE contains(t, p) AND length(trim(p)) > 0""",
         "exact_grounding": f"WITH asked AS (SELECT fragment AS query_id, 'where is ' || min(normalized COLLATE \"C\") || ' kept?' AS text FROM vocabulary_rows WHERE fragment % 50 = 0 AND normalized IS NOT NULL GROUP BY fragment), {exact} SELECT query_id, fragment, normalized, n, document_frequency, rank FROM exact",
-        "vector_topk": f"WITH {vec} SELECT query_id, id, round(score, 6) AS score FROM sims QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 10",
+        "vector_topk": f"WITH {vec} SELECT query_id, id, round(score, 6) AS score FROM sims QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10",
         "nearest_clusters": f"WITH {near} SELECT query_id, id, round(score, 6) AS score FROM near",
         "cluster_members": f"""WITH {near}, vdf AS (SELECT normalized, count(DISTINCT fragment) AS df FROM vocabulary_rows GROUP BY normalized),
  m AS (SELECT n.query_id, v.fragment, min(df) AS df FROM near n JOIN vocabulary_rows v ON v.cluster_id = n.id JOIN vdf USING (normalized) GROUP BY 1, 2)
@@ -206,11 +213,11 @@ def oracle_sql() -> dict[str, str]:
         "rank_gate": f"WITH {lists} SELECT query_id, channel, id, rank FROM lists",
         "rrf_fuse": f"WITH {lists} SELECT query_id, id, round(score, 6) AS score FROM fused",
         "source_score": f"WITH {lists}, {scored} SELECT query_id, source, round(score, 6) AS score FROM rolled",
-        "source_hints": f"""WITH {lists}, h AS (SELECT query_id, source, f.id, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, f.id) AS rank FROM fused f JOIN rws USING (id) WHERE role = 'content' AND source IS NOT NULL)
+        "source_hints": f"""WITH {lists}, h AS (SELECT query_id, source, f.id, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 9) DESC, f.id) AS rank FROM fused f JOIN rws USING (id) WHERE role = 'content' AND source IS NOT NULL)
  SELECT query_id, source, id, rank FROM h WHERE rank <= 3""",
         "digest_collapse": f"""WITH {asked}, {docs}, {_bm25_sql('b', 'docs')}, {digest}, t AS (SELECT query_id, id AS source, rank FROM ({rank('b')}) WHERE rank <= 20)
  SELECT query_id, arg_min(source, rank) AS source, min(rank) AS rank, count(*) - 1 AS copies FROM t JOIN dig USING (source) GROUP BY query_id, g""",
-        "crossnode_merge": f"WITH {far} SELECT query_id, address, round(score, 6) AS score, node, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, address) AS rank FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, address) <= 10",
+        "crossnode_merge": f"WITH {far} SELECT query_id, address, round(score, 6) AS score, node, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, address) AS rank FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, address) <= 10",
         "finder_lean": f"WITH {final} SELECT t.query_id, t.source, round(t.score, 6) AS score, round(CASE WHEN top > 0 THEN t.score / top ELSE 1.0 END, 6) AS share, t.rank, copies FROM ten t JOIN fold f ON f.query_id = t.query_id AND f.rank = t.rank",
         "vertex_degree": f"WITH {rel} SELECT id, degree FROM deg",
         "hub_list": f"WITH {rel} SELECT id, degree FROM deg WHERE degree > 50",
