@@ -72,10 +72,10 @@ SMALL_WORDS = {
     "en": "the of and to in is was that it for on with as at by an be this from or are were not which have has had but they you we our its so who what where when why how many any more both after before than because until does did do",
     "de": "der die das und ist nicht den von mit für auf im dem des ein eine zu war bei nach über noch wir bitte wurde wegen weil können möchte liegt fehlen hat wie wo welche welchen wer so steht es am aus gestern heute abend sich sind wird werden einen einem einer aber auch nur noch sehr durch ohne bis zum zur",
     "fr": "le la les des du de et est une un dans pour que qui sur pas à au aux nous pouvons il elle ce cette a été ont où quelle quel combien avant après plus se trouve encore sont ne merci liste rapport hier soir parce ce ces son sa ses mais avec sans sous être fait y en se déjà",
-    "es": "el la los las de del y es en que un una por con para no se lo más al está fue qué dónde cuántos cuál todavía según después junto quién son mañana esta podemos también valor su sus muy pero ya ayer hoy ser ha han noche hasta desde sin sobre este estos dos",
+    "es": "el la los las de del y es en que un una por con para no se lo más al está fue qué dónde cuántos cuál todavía según después junto quién son mañana esta podemos también valor su sus muy pero ya ayer hoy ser ha han noche hasta desde sin sobre este estos dos favor encima debajo",
     "it": "il lo la i gli le di del della e è un una in che per con non si al alla dopo ancora già ha sono questo possiamo spostare minuti ieri dell nell dall vuole più anche nel nella dal dalla oggi sera essere hanno stato questa quello suo sua fino senza sotto",
     "nl": "de het een en is van in op te dat voor met niet zijn was er aan om ook naar nog heeft wij we kunnen vanochtend bekeken ligt al klaar na minuten eindelijk zoeken ontbreken bonnen verzetten wil gisteren vandaag avond omdat bij door deze dit dan maar wel geen hun zij werd worden uit over tot",
-    "pt": "o a os as de do da dos e é em no na um uma que não por com para se mais ao já está foi ainda depois pasta manhã esta podemos também minutos pronto faltam ontem hoje à às tarde noite pelo pela nos nas seu sua são ser ter tem isso este",
+    "pt": "o a os as de do da dos e é em no na um uma que não por com para se mais ao já está foi ainda depois pasta manhã esta podemos também minutos pronto faltam ontem hoje à às tarde noite pelo pela nos nas seu sua são ser ter tem isso este favor acima abaixo",
 }
 _SMALL = {language: frozenset(words.split()) for language, words in SMALL_WORDS.items()}
 #: Word -> languages it is a small word of; a word of one language only counts twice.
@@ -130,8 +130,8 @@ def _script(text: str) -> str | None:
 
 
 @lru_cache(1 << 16)
-def language(sentence: str) -> str | None:
-    """The language of a sentence by its script or its small words; None if nothing tells it."""
+def language(sentence: str, least: int = 1) -> str | None:
+    """The language of a sentence by its script or by `least` small words at least; None if nothing tells it."""
     if not sentence.isascii() and (script := _script(sentence)) and sum(map(str.isascii, sentence)) < 0.8 * len(sentence):
         return script
     words = [w.lower() for w in _WORDS.findall(sentence)]
@@ -142,7 +142,10 @@ def language(sentence: str) -> str | None:
             for x in found:
                 score[x] += 2 if len(found) == 1 else 1
     first, second = sorted(score.values(), reverse=True)[:2]
-    return max(score, key=score.get) if first >= 2 and first > second else None
+    if first < 2 or first == second:
+        return None
+    found = max(score, key=score.get)
+    return found if least == 1 or sum(found in _TELLS.get(w, ()) for w in words) >= least else None
 
 
 def foreign_share(answer: str, question: str) -> tuple[float, float]:
@@ -152,7 +155,8 @@ def foreign_share(answer: str, question: str) -> tuple[float, float]:
         return 0.0, 0.0
     sizes = {True: 0, False: 0, None: 0}
     for sentence in _SENTENCE.split(answer):
-        found = language(sentence)
+        # in a sentence that was cut one small word may be part of another
+        found = language(sentence, 1 if _ENDED.search(sentence.strip()) else 2)
         sizes[None if found is None else found != own] += sum(map(str.isalpha, sentence))
     total = max(1, sum(sizes.values()))
     return sizes[True] / total, sizes[False] / total
