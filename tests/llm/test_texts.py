@@ -13,7 +13,7 @@ PARTIES = "call_id long, channel int, display_name string, party_role string"
 
 
 def test_parse():
-    assert transcripts.parse("[01:02] Speaker 2: um, Well well done.") == (62.0, "#2", "Well done.", "Speaker 2: Well done.")
+    assert transcripts.parse("[01:02] Speaker 2: um, Well well done.") == (62.0, "#2", "Well done.", "")
     assert transcripts.parse("1:00:05.500 | HOST> *door closes*")[:3] == (3605.0, "host", "")
     assert transcripts.parse("Rhosk <00:43>: See it.")[:3] == (43.0, "rhosk", "See it.")
     assert transcripts.parse("(guest) Hello.")[1:3] == ("guest", "Hello.")
