@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from quillfind.functions.session import small
 
 SHINGLE, RUN = 5, 12
-#: Items up to this number are sent to the tasks; beyond it MinHashes are joined.
-BROADCAST_ITEMS = 20_000
+#: Items up to this number and of so many characters in all are sent to the tasks; beyond either MinHashes are joined.
+BROADCAST_ITEMS, BROADCAST_CHARS = 20_000, 1 << 25
 
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,400}>")
 _LINK = re.compile(r"(!?\[[^\]\n]{0,400}\])\((?:[^()\s]{0,2000})(?:\s+\"[^\"\n]{0,400}\")?\)")
@@ -206,7 +206,8 @@ def leaked(
     docs = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
     held = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("item")).where(F.length("item") > 0)
     schema = "doc_id long, item_id long"
-    if (rows := small(held, broadcast_items)) is not None:
+    chars = held.agg(F.sum(F.length("item"))).first()[0] or 0
+    if chars <= BROADCAST_CHARS and (rows := small(held, broadcast_items)) is not None:
         shared = docs.sparkSession.sparkContext.broadcast(Items([(r[0], r[1]) for r in rows], shingle, run))
         return docs.mapInArrow(_scan(shared), schema).distinct()
     minhash = _minhashes(shingle, run)
