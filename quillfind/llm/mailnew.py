@@ -2,32 +2,31 @@
 
 Each mail is read once by a line grammar (headers, quotes and the lines that introduce
 them, forwarded mails, signatures, legal notices, postscripts). What it leaves is cut
-into sentences, each with a SimHash of its words and word pairs. Sentences are then
-looked up in Hamming partition tables: the fingerprint in four blocks of 16 bits, so two
-fingerprints that differ in at most three bits agree in a block. A table is kept per
-conversation and per sender, which is what a sentence can be inherited from. Candidates
-are verified by edit distance, and removed are
+into sentences. Each sentence meets all those of its context whose length allows so few
+edits, and is verified by edit distance: no bound on a SimHash would do, as one changed
+word of a short sentence turns a dozen of its 64 bits. The contexts are what a sentence
+can be inherited from: the mails of one subject that a person sent or got, and the mails
+of one sender. Removed are
 
-* inherited sentences: near an earlier one of another sender in the same conversation;
+* inherited sentences: near an earlier one of another sender, under the same subject and with a person in common;
 * boilerplate: sentences near one that ends many mails of the same sender.
 """
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
 from email.utils import parsedate_to_datetime
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfind.functions.session import written
 
-#: Bits that near fingerprints may differ in, edits per character; what makes a sentence boilerplate: so many mails of the
+#: Edits per character; what makes a sentence boilerplate: so many mails of the
 #: sender, so large a share of all of them, and this share of its places at the end of a mail.
-DISTANCE, EDITS, BOILERPLATE, SENDER_SHARE, TAIL_SHARE = 3, 0.1, 5, 0.2, 0.9
+EDITS, BOILERPLATE, SENDER_SHARE, TAIL_SHARE = 0.1, 5, 0.2, 0.9
 #: Words a sentence needs to be looked up.
 LEAST_WORDS = 4
 
@@ -177,30 +176,7 @@ def _signs(lines: list[str], i: int, names: set[str]) -> bool:
     return False
 
 
-def fingerprints(sentences: list[list[str]]) -> np.ndarray:
-    """64-bit SimHash of each sentence over its words and word pairs."""
-    known: dict[str, int] = {}
-
-    def code(gram: str) -> int:
-        h = known.get(gram)
-        if h is None:
-            raw = gram.encode("utf-8", "replace")
-            h = known[gram] = (zlib.crc32(raw) << 32 | zlib.crc32(raw[::-1], 0x9E3779B9)) & (2**64 - 1)
-        return h
-
-    features = [[code(w) for w in ws] + [code(f"{a} {b}") for a, b in zip(ws, ws[1:])] or [0] for ws in sentences]
-    if not features:
-        return np.empty(0, np.int64)
-    sizes = np.fromiter(map(len, features), np.int64, len(features))
-    h = np.fromiter((x for f in features for x in f), np.uint64, int(sizes.sum()))
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
-    ones = np.add.reduceat(bits, np.r_[0, np.cumsum(sizes)[:-1]], axis=0)
-    return np.packbits(2 * ones > sizes[:, None], axis=1).view(np.int64).ravel()
-
-
-_MAIL = "id long, lines array<int>, sender string, thread string, sent_at long, sentences array<struct<place:int,sim:long,text:string,own:array<int>,tail:boolean>>"
+_MAIL = "id long, lines array<int>, sender string, subject string, people array<string>, sent_at long, sentences array<struct<place:int,text:string,own:array<int>,tail:boolean>>"
 
 
 def _address(field: str) -> str:
@@ -208,6 +184,14 @@ def _address(field: str) -> str:
     return (m[0] if m else field).strip().lower()
 
 
+def _people(fields: dict[str, str]) -> list[str]:
+    """Addresses of whom a mail is from and to; names where a field has no address."""
+    found: set[str] = set()
+    for field in (fields.get("from", ""), fields.get("to", ""), fields.get("cc", "")):
+        found |= set(map(str.lower, re.findall(r"[^\s<>,;]+@[^\s<>,;]+", field))) or {x.strip().lower() for x in re.split("[,;]", field)}
+    return sorted(found - {""})
+
+
 def _sent(field: str) -> int | None:
     try:
         return int(parsedate_to_datetime(field).timestamp())
@@ -243,38 +227,38 @@ def _sentences(lines: list[str], found: list[int]) -> list[tuple[str, list[int],
 
 def _read(batches):
     for batch in batches:
-        rows, every = [], []
+        rows = []
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             lines, found, fields = new_lines(text)
             told = [(t, on, tail, _WORD.findall(t.lower())) for t, on, tail in _sentences(lines, found)]
             told = [x for x in told if len(x[3]) >= LEAST_WORDS]
             subject = re.sub(r"^(?:\s*(?:re|aw|fwd?|wg|sv|tr|rv|antw|antwort|r|i)\s*(?:\[\d+\])?\s*:)+", "", fields.get("subject", ""), flags=re.IGNORECASE)
-            people = sorted({_address(fields.get("from", "")), *map(_address, fields.get("to", "").split(","))} - {""})
-            thread = f"{' '.join(subject.lower().split())}|{'|'.join(people[:8])}" if subject.strip() and len(people) > 1 else None
-            rows.append((key, [i + 1 for i in found], _address(fields.get("from", "")) or None, thread, _sent(fields.get("date", "")), told))
-            every += [x[3] for x in told]
-        sims, at = fingerprints(every).tolist(), 0
-        columns: list[list] = [[], [], [], [], [], []]
-        for key, found, sender, thread, when, told in rows:
-            cells = [{"place": k, "sim": sims[at + k], "text": t, "own": [i + 1 for i in on], "tail": tail} for k, (t, on, tail, _) in enumerate(told)]
-            at += len(told)
-            for c, v in zip(columns, (key, found, sender, thread, when, cells)):
+            subject = " ".join(subject.lower().split()) or None
+            rows.append((key, [i + 1 for i in found], _address(fields.get("from", "")) or None, subject, _people(fields), _sent(fields.get("date", "")), told))
+        columns: list[list] = [[], [], [], [], [], [], []]
+        for *row, told in rows:
+            cells = [{"place": k, "text": t, "own": [i + 1 for i in on], "tail": tail} for k, (t, on, tail, _) in enumerate(told)]
+            for c, v in zip(columns, (*row, cells)):
                 c.append(v)
-        kinds = (pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.int64(), pa.list_(pa.struct([("place", pa.int32()), ("sim", pa.int64()), ("text", pa.string()), ("own", pa.list_(pa.int32())), ("tail", pa.bool_())])))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "lines", "sender", "thread", "sent_at", "sentences"])
+        kinds = (pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.struct([("place", pa.int32()), ("text", pa.string()), ("own", pa.list_(pa.int32())), ("tail", pa.bool_())])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "lines", "sender", "subject", "people", "sent_at", "sentences"])
+
+
+def _size(text: str):
+    """Class of a text's length: texts within the edits of each other are in the same class or in neighbouring ones."""
+    return F.floor(F.log(F.greatest(F.length(text), F.lit(1)).cast("double")) / -math.log(1 - EDITS) + 1e-9).cast("int")
 
 
-def _tabled(df: DataFrame) -> DataFrame:
-    """Each row once for each block of its fingerprint."""
-    blocks = F.array(*(F.struct(F.lit(b).alias("b"), F.shiftrightunsigned("sim", 16 * b).bitwiseAND(F.lit(0xFFFF)).alias("v")) for b in range(4)))
-    return df.withColumn("block", F.explode(blocks))
+def _spread(df: DataFrame) -> DataFrame:
+    """Each row once for each class of length that holds texts near it."""
+    return df.withColumn("size", F.explode(F.array(*(_size("text") + d for d in (-1, 0, 1)))))
 
 
 def _near(a: str, b: str):
-    """Fingerprints near each other, verified by edit distance."""
-    edits = F.levenshtein(F.col(f"{a}.text"), F.col(f"{b}.text"))
-    most = F.greatest(F.length(f"{a}.text"), F.length(f"{b}.text")) * EDITS
-    return (F.bit_count(F.col(f"{a}.sim").bitwiseXOR(F.col(f"{b}.sim"))) <= DISTANCE) & (edits <= most)
+    """Within the edits of each other."""
+    x, y = F.length(f"{a}.text"), F.length(f"{b}.text")
+    most = F.greatest(x, y) * EDITS
+    return (F.abs(x - y) <= most) & (F.levenshtein(F.col(f"{a}.text"), F.col(f"{b}.text")) <= most)
 
 
 def written_lines(
@@ -291,38 +275,35 @@ def written_lines(
     mails = fragments.where((essence == "message/rfc822") & (F.length(text) > 0)).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     read = written(mails.mapInArrow(_read, _MAIL), "mails")
 
-    # conversations of more than one time, and only their sentences
-    talks = read.where("thread IS NOT NULL AND sent_at IS NOT NULL").groupBy("thread").agg(F.min("sent_at").alias("a"), F.max("sent_at").alias("b")).where("a < b")
+    # a conversation is what a person sent or got under a subject; only those of more than one time and sender
+    mine = read.where("subject IS NOT NULL AND sent_at IS NOT NULL AND sender IS NOT NULL").withColumn("person", F.explode("people"))
+    talks = mine.groupBy("subject", "person").agg(F.min("sent_at").alias("a"), F.max("sent_at").alias("b"), F.min("sender").alias("c"), F.max("sender").alias("d")).where("a < b AND c < d")
     talked = (
-        read.join(talks.select("thread"), "thread", "left_semi")
-        .where("sent_at IS NOT NULL")
-        .select("id", "sender", "thread", "sent_at", F.explode("sentences").alias("s"))
-        .select("id", "sender", "thread", "sent_at", "s.place", "s.sim", "s.text")
+        mine.join(talks.select("subject", "person"), ["subject", "person"], "left_semi")
+        .select("id", "sender", "subject", "person", "sent_at", F.explode("sentences").alias("s"))
+        .select("id", "sender", "subject", "person", "sent_at", "s.place", "s.text")
     )
-    # equal sentences of one sender in one conversation are one entry, with the first time it was said:
-    # pairs arise between different entries only, and a conversation has a few senders
-    told_first = talked.groupBy("thread", "sender", "text").agg(F.first("sim").alias("sim"), F.min("sent_at").alias("said_at"))
-    later, earlier = _tabled(told_first).alias("l"), _tabled(told_first).alias("e")
-    heard = (
-        later.join(earlier, (F.col("l.thread") == F.col("e.thread")) & (F.col("l.block") == F.col("e.block")) & (F.col("e.sender") != F.col("l.sender")) & _near("l", "e"))
-        .groupBy("l.thread", "l.sender", "l.text")
-        .agg(F.min("e.said_at").alias("heard_at"))
-    )
-    inherited = talked.join(heard, ["thread", "sender", "text"]).where("sent_at > heard_at").select("id", "place")
+    # equal sentences of one sender in one conversation are one entry, with the first time it was said
+    told_first = talked.groupBy("subject", "person", "sender", "text").agg(F.min("sent_at").alias("said_at"))
+    later, earlier = _spread(told_first).alias("l"), told_first.withColumn("size", _size("text")).alias("e")
+    alike = (F.col("l.subject") == F.col("e.subject")) & (F.col("l.person") == F.col("e.person")) & (F.col("l.size") == F.col("e.size"))
+    heard = later.join(earlier, alike & (F.col("e.sender") != F.col("l.sender")) & _near("l", "e")).groupBy("l.subject", "l.person", "l.sender", "l.text").agg(F.min("e.said_at").alias("heard_at"))
+    inherited = talked.join(heard, ["subject", "person", "sender", "text"]).where("sent_at > heard_at").select("id", "place")
 
     # sentences that end many mails of one sender: equal ones are counted first, near ones join them
-    told = read.where("sender IS NOT NULL").select("id", "sender", "sent_at", F.explode("sentences").alias("s")).select("id", "sender", "sent_at", "s.place", "s.sim", "s.text", "s.tail")
+    told = read.where("sender IS NOT NULL").select("id", "sender", "sent_at", F.explode("sentences").alias("s")).select("id", "sender", "sent_at", "s.place", "s.text", "s.tail")
     common = (
         told.groupBy("sender", F.xxhash64("text").alias("h"))
-        .agg(F.count("*").alias("n"), F.avg(F.col("tail").cast("double")).alias("share"), F.min("sent_at").alias("a"), F.max("sent_at").alias("b"), F.first("sim").alias("sim"), F.first("text").alias("text"))
+        .agg(F.count("*").alias("n"), F.avg(F.col("tail").cast("double")).alias("share"), F.min("sent_at").alias("a"), F.max("sent_at").alias("b"), F.first("text").alias("text"))
         .where((F.col("n") >= boilerplate) & (F.col("share") >= TAIL_SHARE) & (F.col("a") < F.col("b")))
         .join(read.groupBy("sender").agg(F.count("*").alias("mails")), "sender")
         .where(F.col("n") >= F.col("mails") * SENDER_SHARE)
-        .select("sender", "sim", "text")
+        .select("sender", "text")
     )
     ends = told.where("tail").join(common.select("sender").distinct(), "sender", "left_semi")
-    x, c = _tabled(ends).alias("x"), _tabled(common).alias("c")
-    repeated = x.join(c, (F.col("x.sender") == F.col("c.sender")) & (F.col("x.block") == F.col("c.block")) & _near("x", "c")).select("x.id", "x.place")
+    # a sender has few common sentences: each stands in a fifth of the mails, or more
+    x, c = ends.withColumn("size", _size("text")).alias("x"), _spread(common).alias("c")
+    repeated = x.join(c, (F.col("x.sender") == F.col("c.sender")) & (F.col("x.size") == F.col("c.size")) & _near("x", "c")).select("x.id", "x.place")
     gone = inherited.union(repeated).distinct()
 
     # a line goes if every sentence on it goes

@@ -93,6 +93,7 @@ def test_verified_defects():
     assert pairs.verified("refusal", q, "The records hold no answer to this.", "On the table.")
 
 
+
 def test_classifier_on_held_out_pairs(spark, sf):
     q, a = spark.read.parquet(f"{sf}/selected_questions.parquet"), spark.read.parquet(f"{sf}/answers.parquet")
     model = pairs.train(pairs.paired(q, a))
@@ -170,6 +171,22 @@ def test_inherited_and_boilerplate_sentences(spark):
     assert mailnew.written_lines(df.limit(0)).count() == 0
 
 
+def test_near_copies_in_replies_to_others_and_in_notices(spark):
+    """A word changed in a short sentence, a forward to other people, a notice that varies."""
+    def mail(i, sender, to, day, subject, body):
+        return (i, f"From: <{sender}>\nTo: <{to}>\nSubject: {subject}\nDate: Thu, {day:02d} Jul 2026 07:00:00 +0000\n\n{body}", "message/rfc822")
+
+    rows = [
+        mail(1, "a@x", "b@x", 1, "figures", "The figures of the northern branch were sent to all members of the board."),
+        mail(2, "b@x", "c@x", 2, "Fwd: figures", "The figures of the northern branch was sent to all members of the board.\nPlease see to it by next Monday."),
+        mail(3, "d@x", "e@x", 3, "figures", "The figures of the northern branch were sent to all members of the board."),
+    ]
+    rows += [mail(10 + i, "g@x", f"f{i}@x", 1 + i, f"subject {i}", f"Something new was said about number {i} today.\n\nThe office is closed on Fridays{' until noon.' if i < 6 else ' until noons.'}") for i in range(8)]
+    got = {tuple(r) for r in mailnew.written_lines(spark.createDataFrame(rows, "id long, text string, mimetype string")).collect()}
+    assert {(i, n) for i, n in got if i < 10} == {(1, 6), (2, 7), (3, 6)}
+    assert {(i, n) for i, n in got if i >= 10} == {(10 + i, 6) for i in range(8)}
+
+
 # --- leaks
 
 
