@@ -60,6 +60,13 @@ _DECLINES = re.compile(
     re.IGNORECASE,
 )
 
+#: What is said in front of a refusal and answers nothing.
+_COURTESY = re.compile(
+    r"\b(?:thanks?|sorry|apolog\w*|regret\w*|questions?|requests?|asking|understand|appreciate\w*|hello|hi|dear|unfortunately|"
+    r"gracias|lo siento|perdón|disculp\w*|lament\w*|preguntas?|solicitud|hola|merci|désolée?s?|excus\w*|regrett\w*|demande|bonjour|danke|leid|entschuldig\w*|bedaur\w*|frage|anfrage|leider|hallo)\b",
+    re.IGNORECASE,
+)
+
 #: How a text says that the records hold no answer.
 _NO_ANSWER = re.compile(
     r"(?:\b(?:sources?|records?|documents?|files?|index|archive|data)\b[^.!?]*\b(?:hold|have|contain|give|say|state|mention)s?\b[^.!?]*\b(?:no|not|nothing)\b|\b(?:sources?|records?|documents?)\b[^.!?]*\b(?:do|does) not\b|\bnot (?:stated|found|mentioned|recorded|given|known) in\b|\bno (?:answer|information|record)s? (?:is|was|are|were|can be|could be)? ?(?:found|available|given)"
@@ -195,12 +202,33 @@ def is_open(answer: str, gold: str | None) -> bool:
     return len(words) > 3 and language(line) is not None
 
 
-def is_refusal(answer: str, gold: str | None) -> bool:
-    """Declines instead of answering. Saying that the records hold no answer is none where the gold answer says so."""
-    first = next((s for s in _SENTENCE.split(answer.replace("’", "'")) if re.search(r"\w", s)), "")
-    if _DECLINES.search(first):
+def _answers(sentence: str, told: set[str], question: str) -> bool:
+    """A sentence in front of a refusal that answers: it has a word of the gold answer that the question hasn't, or says something of its own."""
+    words = set(_plain(sentence).split())
+    if words & told or any(w.isdigit() for w in words - set(_plain(question).split())):
         return True
-    return bool(_NO_ANSWER.search(first)) and bool(gold) and not is_empty(gold) and not _NO_ANSWER.search(gold)
+    if _COURTESY.search(sentence) or _DECLINES.search(sentence):
+        return False
+    named = re.findall(r"(?<=[\w,;:] )[A-Z][\w'-]+", sentence) if language(sentence) != "de" else []
+    return not told or any(w != "I" and not w.startswith("I'") and w not in question for w in named)
+
+
+def is_refusal(answer: str, gold: str | None, question: str = "") -> bool:
+    """Declines instead of answering: a sentence does, and neither it nor one in front of it answers, nor does the gold answer stand behind it.
+
+    A first sentence that declines is enough.
+
+    Saying that the records hold no answer is none where the gold answer says so.
+    """
+    sentences = [s for s in _SENTENCE.split(answer.replace("’", "'")) if re.search(r"\w", s)]
+    given = "" if is_empty(gold) else _plain(gold)
+    told = set(given.split()) - set(_plain(question).split()) - set(_TELLS)
+    for i, sentence in enumerate(sentences):
+        if _DECLINES.search(sentence) or (_NO_ANSWER.search(sentence) and given and not _NO_ANSWER.search(gold)):
+            return i == 0 or not (set(_plain(sentence).split()) & told or (given and f" {given} " in f" {_plain(answer)} "))
+        if _answers(sentence, told, question):
+            return False
+    return False
 
 
 def verified(defect: str, question: str, answer: str | None, gold: str | None) -> bool:
@@ -212,7 +240,7 @@ def verified(defect: str, question: str, answer: str | None, gold: str | None) -
     if defect == "copy":
         return is_copy(answer, question)
     if defect == "refusal":
-        return is_refusal(answer, gold)
+        return is_refusal(answer, gold, question)
     if defect == "other_language":
         foreign, own = foreign_share(answer, question)
         return foreign > 0.5 and own == 0
@@ -231,7 +259,7 @@ def pair_features(question: str | None, answer: str | None, gold: str | None) ->
         1.0, float(empty), float(not said), min(len(said), 60) / 60, shared / max(1, len(set(asked))), shared / max(1, len(set(said))),
         float(not empty and is_copy(text, question)), float(text.strip().endswith("?")), foreign, own, float(foreign > 0.5 and own == 0),
         float(not empty and is_open(text, gold)), float(bool(_ENDED.search(text.rstrip()))), float(bool(_CUT_MARK.search(text))),
-        float(any(refusing)), float(bool(refusing) and refusing[0]), float(not empty and is_refusal(text, gold)), float(bool(_NO_ANSWER.search(text))),
+        float(any(refusing)), float(bool(refusing) and refusing[0]), float(not empty and is_refusal(text, gold, question)), float(bool(_NO_ANSWER.search(text))),
         float(any(c.isdigit() for c in text)), float(bool(gold.strip()) and gold.strip().rstrip(".") in text),
     ]
 

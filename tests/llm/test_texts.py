@@ -93,6 +93,14 @@ def test_verified_defects():
     assert pairs.verified("refusal", q, "The records hold no answer to this.", "On the table.")
 
 
+def test_refusals_behind_a_courtesy():
+    q, gold = "Where is the book?", "It is on the table."
+    for said in ("Thank you for the question. I cannot share that information.", "I'm sorry. I can't help with that.", "That is good to ask. I'm unable to answer it.", "Gracias por la pregunta. No puedo ayudar con eso.", "Danke für die Frage. Das darf ich leider nicht sagen, denn ich kann nicht helfen."):
+        assert pairs.verified("refusal", q, said, gold), said
+    for said in ("It is on the table. I cannot say more.", "Thanks for asking. The table has it, but I can't see which side.", "You find it with Karim. I can't help further.", "I understand. Ann put it on the table. She could not carry it."):
+        assert not pairs.verified("refusal", q, said, gold), said
+
+
 
 def test_classifier_on_held_out_pairs(spark, sf):
     q, a = spark.read.parquet(f"{sf}/selected_questions.parquet"), spark.read.parquet(f"{sf}/answers.parquet")
