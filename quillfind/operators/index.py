@@ -68,41 +68,51 @@ def document_frequencies(vocabulary: DataFrame, fragments: DataFrame) -> DataFra
     return rows.join(fragments.where("source IS NOT NULL").select("id", "source"), "id").groupBy("normalized").agg(F.countDistinct("source").alias("document_frequency"))
 
 
-def merges(clusters: DataFrame, changed_since: int, floor: float = MERGED, most: int = 10_000) -> DataFrame:
+def merges(clusters: DataFrame, changed_since: int, floor: float = MERGED, block: int = 4096) -> DataFrame:
     """(loser, survivor): each changed cluster is merged at most once, with its nearest one that isn't taken.
 
     The smaller goes into the larger, of equally large ones the changed one into the other.
-    Candidate pairs are found in the JVM-free kernel of one task: clusters are bounded (10,000).
+    All clusters are compared, by pairs of blocks of about `block` clusters; only the pairs
+    near enough meet in the one task that decides in the order of the ids.
     """
-    bounded = clusters.where("vector IS NOT NULL").select("id", "vector", "member_count", "changed_sweep").limit(most).withColumn("_one", F.lit(1))
+    usable = clusters.where("vector IS NOT NULL").select("id", "vector", F.coalesce("member_count", F.lit(0)).cast("long").alias("size"), (F.coalesce("changed_sweep", F.lit(0)) >= changed_since).alias("changed"))
+    blocks = max(1, -(-usable.count() // block))
+    every, own = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    asked = usable.where("changed").select(own.alias("a"), every.alias("b"), F.lit(True).alias("asks"), "id", "vector", "size")
+    met = usable.select(every.alias("a"), own.alias("b"), F.lit(False).alias("asks"), "id", "vector", "size")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
-        out, taken = [], set()
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        for dim in sorted({len(v) for v in pdf["vector"]}):
-            g = pdf[[len(v) == dim for v in pdf["vector"]]].reset_index(drop=True)
+        out = []
+        sizes = pdf["vector"].map(len)
+        for dim in sorted(set(sizes)):
+            g = pdf[sizes == dim]
             m = np.array(g["vector"].tolist(), float)
             with np.errstate(all="ignore"):
                 m = m / np.linalg.norm(m, axis=1)[:, None]
             fine = np.isfinite(m).all(1)
-            ids, size = g["id"].to_numpy(), g["member_count"].fillna(0).to_numpy()
-            for i in np.flatnonzero(fine & (g["changed_sweep"].fillna(0).to_numpy() >= changed_since)):
-                if ids[i] in taken:
-                    continue
-                s = np.where(fine, m @ m[i], -2.0)
-                s[i] = -2.0
-                for j in np.lexsort((ids, -s)):
-                    if s[j] < floor:
-                        break
-                    if ids[j] not in taken:
-                        taken |= {ids[i], ids[j]}
-                        out.append((ids[j], ids[i]) if size[j] < size[i] else (ids[i], ids[j]))
-                        break
+            g, m = g[fine], m[fine]
+            asks, ids, n = g["asks"].to_numpy(bool), g["id"].to_numpy(), g["size"].to_numpy()
+            q, others = np.flatnonzero(asks), np.flatnonzero(~asks)
+            for at in range(0, len(q), 512):
+                s = m[q[at : at + 512]] @ m[others].T
+                r, c = np.nonzero((s >= floor) & (ids[q[at : at + 512]][:, None] != ids[others][None]))
+                i, j = q[at + r], others[c]
+                out.append(pd.DataFrame({"id": ids[i], "other": ids[j], "score": s[r, c], "size": n[i], "other_size": n[j]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["id", "other", "score", "size", "other_size"])
+
+    pairs = asked.union(met).groupBy("a", "b").applyInPandas(near, "id long, other long, score double, size long, other_size long")
+
+    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, taken = [], set()
+        for i, j, size, other in pdf.sort_values(["id", "score", "other"], ascending=[True, False, True])[["id", "other", "size", "other_size"]].itertuples(index=False):
+            if i not in taken and j not in taken:
+                taken |= {i, j}
+                out.append((j, i) if other < size else (i, j))
         return pd.DataFrame(out, columns=["loser", "survivor"])
 
-    return bounded.groupBy("_one").applyInPandas(run, "loser long, survivor long")
+    return pairs.withColumn("_one", F.lit(1)).groupBy("_one").applyInPandas(decide, "loser long, survivor long")
 
 
 # --- the log's authority

@@ -212,3 +212,15 @@ def test_index_upkeep(spark):
     told = spark.createDataFrame([("a", "node:a", "node"), ("a", "node:b", "node"), ("a", "source:x", "source"), ("a", "k", None)], "origin string, key string, kind string")
     assert {(r["key"], r["allowed"]) for r in index.authorised(told).collect()} == {("node:a", True), ("node:b", False), ("source:x", True), ("k", True)}
     assert index.purged(told, spark.createDataFrame([("a",)], "node string"), "a").count() == 4 and index.purged(told, spark.createDataFrame([("a",)], "node string"), "b").count() == 0
+
+
+def test_merges_of_more_than_ten_thousand_clusters(spark):
+    """Each pair of twins is merged, in whatever block its two stand."""
+    import numpy as np
+
+    from quillfind.operators import index
+
+    v = np.random.default_rng(4).standard_normal((5100, 32)).round(3)
+    rows = [(i, v[i % 5100].tolist(), 1 + i // 5100, 1) for i in range(10200)]
+    got = {tuple(r) for r in index.merges(spark.createDataFrame(rows, "id long, vector array<float>, member_count long, changed_sweep long"), 1).collect()}
+    assert got == {(i, i + 5100) for i in range(5100)}
