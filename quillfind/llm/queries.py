@@ -33,7 +33,7 @@ def p3_frequencies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs.defective(_read(spark, sf, "selected_questions"), _read(spark, sf, "answers"))
+    return pairs.defective(_read(spark, sf, "selected_questions"), _read(spark, sf, "answers"), _read(spark, sf, "documents"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from quillfind.llm import cuts, leakage, mailnew, pairs, transcripts
 
@@ -78,38 +79,53 @@ def test_segments_make_no_difference(spark):
 # --- broken pairs
 
 
-def test_verified_defects():
-    q = "Where is the red book of Ann?"
+@pytest.fixture(scope="module")
+def model(spark):
+    """A classifier fitted on the tables of sf0.01."""
+    q, a, d = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("selected_questions", "answers", "documents"))
+    return pairs.train(q, a, d)
+
+
+def test_defects(model):
+    q, gold = "Where is the red book of Ann?", "It is on the table."
     cases = [
-        ("​", "empty"), (None, "empty"), ("N/A", "empty"), ("<p></p>", "empty"), ("WHERE IS THE RED BOOK OF ANN?", "copy"), (f"> {q}\n", "copy"), (f"Question: {q}", "copy"),
+        ("\u200b", "empty"), (None, "empty"), ("N/A", "empty"), ("<p></p>", "empty"), ("WHERE IS THE RED BOOK OF ANN?", "copy"), (f"> {q}\n", "copy"), (f"Question: {q}", "copy"),
         ("I'm afraid I cannot answer this.", "refusal"), ("El libro está en la mesa de la casa.", "other_language"), ("It is on the table. The owner of the bo", "truncated"),
-        ("It is on the table.", None), ("Ann Lee", None), ("480", None), ("1. Open it\n2. Read it\n3. Tell Ann", None), (f"You asked: {q}\n\nOn the table.", None),
+        ("It is on the table.", None), ("Ann Lee", None), ("480", None), ("1. Open it\n2. Read it\n3. Tell Ann", None), (f"You asked: {q}\n\nIt is on the table.", None),
         ("Bob could not help with it, so Ann did.", None), ("Sorry to say, the book was sold, and the price is 4.", None),
     ]
-    for answer, want in cases:
-        found = [d for d in pairs.DEFECTS if pairs.verified(d, q, answer, "It is on the table.")]
-        assert found[:1] == ([want] if want else []), (answer, found)
-    assert not pairs.verified("refusal", q, "The records hold no answer to this.", "The sources hold no answer.")
-    assert pairs.verified("refusal", q, "The records hold no answer to this.", "On the table.")
-
-
-def test_refusals_behind_a_courtesy():
-    q, gold = "Where is the book?", "It is on the table."
-    for said in ("Thank you for the question. I cannot share that information.", "I'm sorry. I can't help with that.", "That is good to ask. I'm unable to answer it.", "Gracias por la pregunta. No puedo ayudar con eso.", "Danke für die Frage. Das darf ich leider nicht sagen, denn ich kann nicht helfen."):
-        assert pairs.verified("refusal", q, said, gold), said
-    for said in ("It is on the table. I cannot say more.", "Thanks for asking. The table has it, but I can't see which side.", "You find it with Karim. I can't help further.", "I understand. Ann put it on the table. She could not carry it."):
-        assert not pairs.verified("refusal", q, said, gold), said
-
-
-
-def test_classifier_on_held_out_pairs(spark, sf):
-    q, a = spark.read.parquet(f"{sf}/selected_questions.parquet"), spark.read.parquet(f"{sf}/answers.parquet")
-    model = pairs.train(pairs.paired(q, a))
-    rows = [(r["question"], r["answer"], r["gold_answer"]) for r in q.join(a, "question_id").collect()]
-    sound = [r for r in rows if r[2] and r[1] and r[2] in r[1] and not any(pairs.verified(d, *r) for d in pairs.DEFECTS)]
-    made = pairs._broken(sound, np.random.default_rng(99))
-    right = [model.defect(q, a, g) == (pairs.DEFECTS[y] if y >= 0 else None) for q, a, g, y in made]
-    assert np.mean(right) > 0.9
+    found = model.defects([(q, answer, gold) for answer, _ in cases])
+    assert sum(f != want for f, (_, want) in zip(found, cases)) <= 1, list(zip(found, cases))
+    # texts of any length, and whatever signs
+    assert model.defects([(None, None, None), ("", "", ""), ("?", "\ud800x", None), (q, "It is on the table. " * 20_000, gold)])[:2] == ["empty", "empty"]
+    assert model.defects([]) == []
+
+
+def test_classifier_on_held_out_pairs(spark, model):
+    """Pairs of other questions, broken with other chance: what is asked of the thresholds holds there."""
+    q, a = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("selected_questions", "answers"))
+    rows = [(r["question"], r["answer"], r["gold_answer"]) for r in q.join(a, "question_id").where("contains(answer, gold_answer) AND length(gold_answer) > 0").limit(1500).collect()]
+    sound = [r for r, d in zip(rows, model.defects(rows)) if d is None]
+    assert len(sound) > 0.9 * len(rows)
+    texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang IN ('de', 'es', 'fr', 'it', 'nl', 'pt', 'ja', 'ru') AND length(text) > 0 AND mimetype = 'text/plain'").select("lang", "text").limit(200).collect()
+    foreign = [(r[0], x) for r in texts for x in pairs.sentences(r[1]) if x.endswith((".", "。")) and "@" not in x and (len(x.split()) > 3 or r[0] == "ja")]
+    made, y, _, _ = pairs.broken(sound, foreign, model.featured.languages, unsaid=False, seed=99)
+    found = model.defects(made)
+    for k, defect in enumerate(pairs.DEFECTS):
+        hit = sum(f == defect for f, t in zip(found, y) if t == k)
+        assert hit >= 0.9 * (y == k).sum() and hit >= 0.95 * sum(f == defect for f in found), defect
+
+
+def test_threshold_of_a_stated_precision():
+    score, true = np.arange(22.0)[::-1], np.r_[np.ones(18), 0, 1, 0, 0].astype(bool)
+    assert pairs._calibrated(score, true, 0.95) == 1.5 and pairs._calibrated(score, true, 0.99) == 3.5 and pairs._calibrated(score, np.zeros(6, bool), 0.9) == 0
+
+
+def test_languages():
+    texts = [("en", "The book is on the table and the report is in the house."), ("de", "Das Buch liegt auf dem Tisch und der Bericht in dem Haus."), ("ru", "Книга лежит на столе, а отчёт в доме.")] * 4
+    found = pairs.Languages.fit([*texts, ("", "x"), ("xx", None)])
+    assert found.names == ["de", "en", "ru"]
+    assert found.scores(["the house of the man", "der Mann in dem Haus", "стол и дом", ""]).argmax(1).tolist()[:3] == [1, 0, 2]
 
 
 def test_pairs_edges(spark):
