@@ -5,11 +5,16 @@ A leak is a run of `run` consecutive words. Both sides are seen as word shingles
 every such window the smallest hash of its shingles is its MinHash. A window shared by
 two texts is wholly contained in both, so both have its MinHash: looking up the distinct
 MinHashes of the windows finds every leak, and as one MinHash stands for about half a
-window of positions it is a small index. Items are partitioned by size: the window of a
-class of items is fixed by the containment asked of it (run words), and items that have
-fewer words than a run can't leak and aren't indexed.
+window of positions it is a small index.
 
-Candidates are verified by exact containment of word runs.
+Items are partitioned by size, each class holding items of at most twice the words of the
+smallest. A class has an index of its own and the containment asked of its items: one
+window of those of its largest item. The window is the same in all classes, as a run is
+counted in words whatever the size of the item, so that one shared MinHash always is
+enough: more would lose leaks of just a run. Items that have fewer words than a run can't
+leak and are in no class.
+
+Candidates are verified by exact containment of the shingles of a run, word by word.
 """
 
 from __future__ import annotations
@@ -26,11 +31,13 @@ from pyspark.sql import functions as F
 from quillfind.functions.session import small
 
 SHINGLE, RUN = 5, 12
+#: Parts of a MinHash that many texts have, where items are joined.
+SALT = 8
 #: Items up to this number and of so many characters in all are sent to the tasks; beyond either MinHashes are joined.
 BROADCAST_ITEMS, BROADCAST_CHARS = 20_000, 1 << 25
 
-_TAG = re.compile(r"</?[a-zA-Z!][^<>]{0,400}>")
-_LINK = re.compile(r"(!?\[[^\]\n]{0,400}\])\((?:[^()\s]{0,2000})(?:\s+\"[^\"\n]{0,400}\")?\)")
+_TAG = re.compile(r"</?[a-zA-Z!][^<>]*>")
+_TARGET = re.compile(r"\]\([^()\s]*(?:\s+\"[^\"\n]*\")?\)")
 _WORD = re.compile(r"[^\W_]+")
 _DROPPED = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *b"*`~"])
 
@@ -44,7 +51,7 @@ def words(text: str | None) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if "](" in text:
-        text = _LINK.sub(r"\1", text)
+        text = _TARGET.sub("] ", text)
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
     text = text.translate(_DROPPED).replace("'", "").replace("’", "")
@@ -100,35 +107,65 @@ class Hasher:
         return owner[:n][inside], least[inside], hashes, start
 
 
-class Items:
-    """The items' MinHashes, and their runs of words."""
-
-    def __init__(self, items: list[tuple[int, str]], shingle: int = SHINGLE, run: int = RUN):
-        self.hasher = Hasher(shingle, run)
-        texts = [words(t) for _, t in items]
-        _, least, _, _ = self.hasher.signatures(texts)
-        self.least = np.unique(least)
-        self.runs: dict[int, list] = {}
-        for (item, _), ws in zip(items, texts):
-            of = self.hasher.sequences(self.hasher._words(ws), run)
-            for at, h in enumerate(of.tolist()):
-                self.runs.setdefault(h, []).append((item, tuple(ws[at : at + run])))
-        self.run_hashes = np.array(sorted(self.runs), np.uint64)
-
-    def leaks(self, ws: list[str], hashes: np.ndarray) -> set[int]:
-        """Items of which a whole run is contained, by hash and then word by word."""
-        run, found = self.hasher.run, set()
-        of = self.hasher.sequences(hashes, run)
-        for at in np.flatnonzero(_in(of, self.run_hashes)):
-            here = tuple(ws[at : at + run])
-            found.update(item for item, words_ in self.runs[int(of[at])] if words_ == here)
+def size_class(n: np.ndarray, run: int) -> np.ndarray:
+    """The class of items by their number of words: class k holds run * 2**k up to twice as many; -1 is none."""
+    return np.where(n >= run, np.floor(np.log2(np.maximum(n, 1) / run) + 1e-9), -1).astype(np.int64)
+
+
+def indexed(items: list[tuple[int, str]], shingle: int = SHINGLE, run: int = RUN) -> dict:
+    """The index of the items as plain arrays: MinHashes and runs of words of each class, and the words."""
+    hasher = Hasher(shingle, run)
+    texts = [words(t) for _, t in items]
+    owner, least, hashes, start = hasher.signatures(texts)
+    of = size_class(np.diff(start), run)
+    classes = []
+    for k in np.unique(of[of >= 0]).tolist():
+        inside = of[owner] == k
+        pairs = np.unique(np.stack([least[inside], owner[inside].astype(np.uint64)], 1), axis=0)
+        own = pairs[:, 1].astype(np.int64)
+        largest = int(np.diff(start)[of == k].max())
+        classes.append({"class": int(k), "asked": 1 / (largest - run + 1), "least": pairs[:, 0], "item": own, "windows": np.diff(start) - run + 1})
+    runs = hasher.sequences(hashes, run)
+    inside = np.flatnonzero(np.repeat(np.arange(len(texts)), np.diff(start))[: len(runs)] == np.repeat(np.arange(len(texts)), np.diff(start))[run - 1 :]) if len(runs) else np.empty(0, np.int64)
+    order = np.argsort(runs[inside], kind="stable")
+    at = inside[order]
+    return {
+        "shingle": shingle, "run": run, "ids": [i for i, _ in items], "words": [w for ws in texts for w in ws], "classes": classes,
+        "runs": runs[at], "at": at, "owner": np.searchsorted(start, at, "right") - 1,
+    }
+
+
+class Index:
+    """The size classes of the items, looked up by texts."""
+
+    def __init__(self, parts: dict):
+        self.parts, self.hasher = parts, Hasher(parts["shingle"], parts["run"])
+
+    def candidates(self, least: np.ndarray) -> set[int]:
+        """Numbers of the items of which a text holds, by the shared MinHashes, the containment their class asks for."""
+        found: set[int] = set()
+        least = np.unique(least)
+        for c in self.parts["classes"]:
+            first, end = np.searchsorted(c["least"], least), np.searchsorted(c["least"], least, "right")
+            size = end - first
+            if size.any():
+                where = np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+                shared = np.bincount(c["item"][where], minlength=len(c["windows"]))
+                # a MinHash stands for one window at least
+                found.update(np.flatnonzero(shared >= np.maximum(1, np.floor(c["asked"] * c["windows"] + 1e-9))).tolist())
         return found
 
-
-def _in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    if not len(table) or not len(values):
-        return np.zeros(len(values), bool)
-    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+    def leaks(self, ws: list[str], hashes: np.ndarray, among: set[int]) -> set[int]:
+        """The numbers of those items of which a whole run is contained, by hash and then word by word."""
+        p, run, found = self.parts, self.parts["run"], set()
+        of = self.hasher.sequences(hashes, run)
+        first, end = np.searchsorted(p["runs"], of), np.searchsorted(p["runs"], of, "right")
+        for at in np.flatnonzero(end > first).tolist():
+            for k in range(first[at], end[at]):
+                item, begin = int(p["owner"][k]), int(p["at"][k])
+                if item in among and item not in found and p["words"][begin : begin + run] == ws[at : at + run]:
+                    found.add(item)
+        return found
 
 
 def _out(docs, items):
@@ -137,23 +174,34 @@ def _out(docs, items):
 
 def _scan(shared, rows: int = 512):
     def run(batches):
-        index = shared.value
+        index = Index(shared.value)
+        every = np.unique(np.concatenate([c["least"] for c in shared.value["classes"]] or [np.empty(0, np.uint64)]))
+        ids = shared.value["ids"]
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 keys, texts = part.column(0).to_pylist(), [words(t) for t in part.column(1).to_pylist()]
                 owner, least, hashes, start = index.hasher.signatures(texts)
+                hit = _in(least, every)
+                owner, least = owner[hit], least[hit]
                 docs, items = [], []
-                for i in np.unique(owner[_in(least, index.least)]).tolist():
-                    for item in sorted(index.leaks(texts[i], hashes[start[i] : start[i + 1]])):
+                for i in np.unique(owner).tolist():
+                    among = index.candidates(least[owner == i])
+                    for item in sorted(index.leaks(texts[i], hashes[start[i] : start[i + 1]], among)) if among else ():
                         docs.append(keys[i])
-                        items.append(item)
+                        items.append(ids[item])
                 if docs:
                     yield _out(docs, items)
 
     return run
 
 
+def _in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    if not len(table) or not len(values):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
 def _minhashes(shingle: int, run: int, rows: int = 512):
     def of(batches):
         hasher = Hasher(shingle, run)
@@ -172,11 +220,13 @@ def _minhashes(shingle: int, run: int, rows: int = 512):
 def _verify(shingle: int, run: int):
     def of(batches):
         for batch in batches:
+            known = dict(zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()))
+            index = Index(indexed(list(known.items()), shingle, run))
+            number = {k: i for i, k in enumerate(known)}
             docs, items = [], []
-            for doc, item, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                one = Items([(item, b)], shingle, run)
-                ws = words(a)
-                if one.leaks(ws, one.hasher._words(ws)):
+            for doc, item, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                ws = words(text)
+                if index.leaks(ws, index.hasher._words(ws), {number[item]}):
                     docs.append(doc)
                     items.append(item)
             if docs:
@@ -208,11 +258,12 @@ def leaked(
     schema = "doc_id long, item_id long"
     chars = held.agg(F.sum(F.length("item"))).first()[0] or 0
     if chars <= BROADCAST_CHARS and (rows := small(held, broadcast_items)) is not None:
-        shared = docs.sparkSession.sparkContext.broadcast(Items([(r[0], r[1]) for r in rows], shingle, run))
+        shared = docs.sparkSession.sparkContext.broadcast(indexed([(r[0], r[1]) for r in rows], shingle, run))
         return docs.mapInArrow(_scan(shared), schema).distinct()
     minhash = _minhashes(shingle, run)
-    of_docs = docs.mapInArrow(minhash, "key long, least long").withColumnRenamed("key", "doc_id")
-    of_items = held.mapInArrow(minhash, "key long, least long").withColumnRenamed("key", "item_id")
-    candidates = of_docs.join(of_items, "least").select("doc_id", "item_id").distinct()
+    # a MinHash that many texts have is looked up in parts
+    of_docs = docs.mapInArrow(minhash, "key long, least long").select(F.col("key").alias("doc_id"), "least", F.pmod(F.xxhash64("key"), F.lit(SALT)).alias("salt"))
+    of_items = held.mapInArrow(minhash, "key long, least long").select(F.col("key").alias("item_id"), "least", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    candidates = of_docs.join(of_items, ["least", "salt"]).select("doc_id", "item_id").distinct()
     texts = candidates.join(docs, "doc_id").join(held, "item_id").select("doc_id", "item_id", "text", "item")
     return texts.mapInArrow(_verify(shingle, run), schema).distinct()

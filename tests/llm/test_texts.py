@@ -244,6 +244,17 @@ def test_leaks_equal_brute_force(spark):
     assert leakage.leaked(a.limit(0), b).count() == 0 and leakage.leaked(a, b.limit(0)).count() == 0
 
 
+def test_size_classes_and_long_tags():
+    sizes = np.array([0, 11, 12, 23, 24, 47, 48, 12 * 2**9])
+    assert leakage.size_class(sizes, 12).tolist() == [-1, -1, 0, 0, 1, 1, 2, 9]
+    index = leakage.indexed([(5, " ".join(f"a{i}" for i in range(12))), (6, " ".join(f"b{i}" for i in range(100))), (7, "too short")])
+    assert [c["class"] for c in index["classes"]] == [0, 3]
+    plain = [f"a{i}" for i in range(14)]
+    assert leakage.words(" ".join([*plain[:7], f'<a href="{"x" * 5000}">', *plain[7:]])) == plain
+    assert leakage.words(f"see [the book]({'y' * 5000} \"title\") now") == ["see", "the", "book", "now"]
+    assert leakage.words("[" * 200_000) == [] and leakage.words("<a" * 100_000)[:1] == ["a"]
+
+
 # --- cut texts
 
 
