@@ -1,15 +1,20 @@
 """Only the newly written text of a mail (problem 6).
 
-Each mail is read once by a line grammar (headers, quotes and the lines that introduce
-them, forwarded mails, signatures, legal notices, postscripts). What it leaves is cut
-into sentences. Each sentence meets all those of its context whose length allows so few
-edits, and is verified by edit distance: no bound on a SimHash would do, as one changed
-word of a short sentence turns a dozen of its 64 bits. The contexts are what a sentence
-can be inherited from: the mails of one subject that a person sent or got, and the mails
-of one sender. Removed are
-
-* inherited sentences: near an earlier one of another sender, under the same subject and with a person in common;
-* boilerplate: sentences near one that ends many mails of the same sender.
+Each mail is read once: a line grammar tells headers, quotes and the lines that introduce
+them, forwarded mails, signatures, legal notices and postscripts, and all of the body is
+cut into sentences, quoted ones without their marks. Sentences are fingerprinted by a
+SimHash of 128 bits over their 3-grams of characters; near ones are retrieved through
+Hamming partition tables, one for each byte of the fingerprint, and verified by edit
+distance. Removed are
+
+* inherited sentences: near an earlier one newly written by another sender, under the same
+  subject and with a person in common;
+* boilerplate of senders: sentences that close many mails of one sender or of several, and
+  sentences near those.
+
+The grammar decides what has no earlier copy and recurs nowhere. The tables are kept within
+a conversation, and within classes of length, so that fingerprints may differ in many bits:
+one changed word of a short sentence turns a dozen of them.
 """
 
 from __future__ import annotations
@@ -18,17 +23,19 @@ import math
 import re
 from email.utils import parsedate_to_datetime
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfind.functions.session import written
 
-#: Edits per character; what makes a sentence boilerplate: so many mails of the
-#: sender, so large a share of all of them, and this share of its places at the end of a mail.
-EDITS, BOILERPLATE, SENDER_SHARE, TAIL_SHARE = 0.1, 5, 0.2, 0.9
-#: Words a sentence needs to be looked up.
-LEAST_WORDS = 4
+#: Edits per character; what makes a sentence boilerplate: so many mails, of one sender so
+#: large a share of all of them, and this share of its places at the end of a mail, two
+#: places elsewhere supposed.
+EDITS, BOILERPLATE, SENDER_SHARE, TAIL_SHARE = 0.1, 5, 0.2, 0.7
+#: Bytes of a fingerprint, each the key of a table, and characters of an n-gram.
+TABLES, GRAM = 16, 3
 
 #: Closing formulas, alone on their line.
 CLOSINGS = frozenset(
@@ -94,8 +101,8 @@ def _head_block(lines: list[str], i: int) -> bool:
     return bool(_ADDRESSED.match(lines[i])) and sum(bool(_HEADER.match(x)) for x in lines[i : i + 4]) >= 3
 
 
-def new_lines(text: str) -> tuple[list[str], list[int], dict[str, str]]:
-    """(lines, indexes of the lines newly written, header fields) of a mail."""
+def new_lines(text: str, notices: bool = True) -> tuple[list[str], list[int], dict[str, str]]:
+    """(lines, indexes of the lines newly written, header fields) of a mail; notices: whether the grammar knows legal notices."""
     lines = [x[:-1] if x.endswith("\r") else x for x in text.split("\n")]
     n, i, fields = len(lines), 0, {}
     if lines and _HEADER.match(lines[0]):
@@ -125,7 +132,7 @@ def new_lines(text: str) -> tuple[list[str], list[int], dict[str, str]]:
                 found.append(i)
                 i += 1
             continue
-        if _LEGAL.match(line) or _legal_ahead(lines, i):
+        if notices and (_LEGAL.match(line) or _legal_ahead(lines, i)):
             while i < n and lines[i].strip():
                 i += 1
             continue
@@ -176,7 +183,9 @@ def _signs(lines: list[str], i: int, names: set[str]) -> bool:
     return False
 
 
-_MAIL = "id long, lines array<int>, sender string, subject string, people array<string>, sent_at long, sentences array<struct<place:int,text:string,own:array<int>,tail:boolean>>"
+_SAID_IN = "place:int,text:string,own:array<int>,tail:boolean,new:boolean"
+_MAIL = f"id long, lines array<struct<n:int,new:boolean>>, sender string, subject string, people array<string>, sent_at long, sentences array<struct<{_SAID_IN}>>"
+_MARKS = re.compile(r"^(?:\s*[>|])+\s?")
 
 
 def _address(field: str) -> str:
@@ -199,49 +208,100 @@ def _sent(field: str) -> int | None:
         return None
 
 
-def _sentences(lines: list[str], found: list[int]) -> list[tuple[str, list[int], bool]]:
-    """(text, lines it stands on, whether its paragraph is the last) of the new lines."""
-    out, paragraph = [], []
-    blocks = []
-    for i in found:
-        if paragraph and i != paragraph[-1] + 1:
-            blocks.append(paragraph)
-            paragraph = []
-        paragraph.append(i)
-    if paragraph:
-        blocks.append(paragraph)
-    for block in blocks:
+def body_lines(lines: list[str]) -> list[int]:
+    """Indexes of the lines below the header that aren't blank."""
+    begin = next((i for i, x in enumerate(lines) if not x.strip()), len(lines)) if lines and _HEADER.match(lines[0]) else 0
+    return [i for i in range(begin, len(lines)) if lines[i].strip()]
+
+
+def _sentences(lines: list[str], found: list[int]) -> list[tuple[str, list[int], bool, bool]]:
+    """(text, lines it stands on, whether nothing but quotes follows its paragraph, whether it is new by the grammar) of all sentences of the body."""
+    out, blocks = [], []
+    new = set(found)
+    for i in body_lines(lines):
+        quoted, before = bool(_QUOTED.match(lines[i])), blocks[-1][1][-1] if blocks else -2
+        if i != before + 1 or quoted != blocks[-1][0]:
+            blocks.append((quoted, []))
+        blocks[-1][1].append(i)
+    last = max((k for k, (quoted, _) in enumerate(blocks) if not quoted), default=-1)
+    for k, (quoted, block) in enumerate(blocks):
         text, ends = "", []
         for i in block:
-            text += ("" if not text else " ") + lines[i].strip()
+            line = _MARKS.sub("", lines[i]) if quoted else lines[i]
+            text += ("" if not text else " ") + " ".join(line.split())
             ends.append(len(text))
         at = 0
         for m in [*_SENTENCE.finditer(text), None]:
             end = m.start() if m else len(text)
             if part := text[at:end].strip():
                 on = [i for i, e, b in zip(block, ends, [0, *ends]) if b < end and e > at]
-                out.append((part, on, block is blocks[-1]))
+                out.append((part, on, k == last, not quoted and new.issuperset(on)))
             at = m.end() if m else end
     return out
 
 
-def _read(batches):
+def _reader(notices: bool):
+    def read(batches):
+        for batch in batches:
+            columns: list[list] = [[] for _ in range(7)]
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                lines, found, fields = new_lines(text, notices)
+                told = [x for x in _sentences(lines, found) if _WORD.search(x[0])]
+                subject = re.sub(r"^(?:\s*(?:re|aw|fwd?|wg|sv|tr|rv|antw|antwort|r|i)\s*(?:\[\d+\])?\s*:)+", "", fields.get("subject", ""), flags=re.IGNORECASE)
+                new = set(found)
+                row = (
+                    key, [{"n": i + 1, "new": i in new} for i in sorted({*body_lines(lines), *found})], _address(fields.get("from", "")) or None, " ".join(subject.lower().split()) or None,
+                    _people(fields), _sent(fields.get("date", "")), [{"place": k, "text": t, "own": [i + 1 for i in on], "tail": tail, "new": fresh} for k, (t, on, tail, fresh) in enumerate(told)],
+                )
+                for c, v in zip(columns, row):
+                    c.append(v)
+            said = pa.struct([("place", pa.int32()), ("text", pa.string()), ("own", pa.list_(pa.int32())), ("tail", pa.bool_()), ("new", pa.bool_())])
+            kinds = (pa.int64(), pa.list_(pa.struct([("n", pa.int32()), ("new", pa.bool_())])), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.list_(said))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "lines", "sender", "subject", "people", "sent_at", "sentences"])
+
+    return read
+
+
+def fingerprints(texts: list[str]) -> np.ndarray:
+    """(text, byte): the SimHash of each text over its n-grams of characters in lower case, blanks around it."""
+    out = np.zeros((len(texts), TABLES), np.uint8)
+    sizes = np.array([len(t) + 2 for t in texts], np.int64)
+    begin = 0
+    while begin < len(texts):  # so many texts that their bits fit in some 30 MB; a longer text alone
+        end = max(begin + 1, begin + int(np.searchsorted(np.cumsum(sizes[begin:]), 1 << 18)))
+        code = np.frombuffer("".join(f" {t.lower().replace(chr(0x130), 'i')} "[: n] for t, n in zip(texts[begin:end], sizes[begin:end])).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        total = np.zeros(len(code) - GRAM + 1, np.uint64)
+        for k in range(GRAM):
+            total = (total + code[k : k + len(total)] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            total ^= total >> np.uint64(29)
+        start = np.r_[0, np.cumsum(sizes[begin:end])[:-1]]
+        parts = np.empty((len(total), TABLES // 8), np.uint64)
+        for k in range(TABLES // 8):
+            mixed = (total + np.uint64(k + 1)) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            parts[:, k] = mixed ^ (mixed >> np.uint64(31))
+        bits = np.unpackbits(parts.view(np.uint8), axis=1)
+        # n-grams over the edge of two texts count for the first; they are two, and of its own last letter
+        ones = np.add.reduceat(bits, start, axis=0, dtype=np.int32)
+        count = np.diff(np.r_[start, len(total)])
+        out[begin:end] = np.packbits(2 * ones > count[:, None], axis=1)
+        begin = end
+    return out
+
+
+def _fingerprinted(batches):
+    """Rows whose first column is the text -> the same, and a key for each table."""
     for batch in batches:
-        rows = []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            lines, found, fields = new_lines(text)
-            told = [(t, on, tail, _WORD.findall(t.lower())) for t, on, tail in _sentences(lines, found)]
-            told = [x for x in told if len(x[3]) >= LEAST_WORDS]
-            subject = re.sub(r"^(?:\s*(?:re|aw|fwd?|wg|sv|tr|rv|antw|antwort|r|i)\s*(?:\[\d+\])?\s*:)+", "", fields.get("subject", ""), flags=re.IGNORECASE)
-            subject = " ".join(subject.lower().split()) or None
-            rows.append((key, [i + 1 for i in found], _address(fields.get("from", "")) or None, subject, _people(fields), _sent(fields.get("date", "")), told))
-        columns: list[list] = [[], [], [], [], [], [], []]
-        for *row, told in rows:
-            cells = [{"place": k, "text": t, "own": [i + 1 for i in on], "tail": tail} for k, (t, on, tail, _) in enumerate(told)]
-            for c, v in zip(columns, (*row, cells)):
-                c.append(v)
-        kinds = (pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.list_(pa.struct([("place", pa.int32()), ("text", pa.string()), ("own", pa.list_(pa.int32())), ("tail", pa.bool_())])))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "lines", "sender", "subject", "people", "sent_at", "sentences"])
+        prints = fingerprints(batch.column(0).to_pylist()).astype(np.int32) + 256 * np.arange(TABLES, dtype=np.int32) if batch.num_rows else np.empty((0, TABLES), np.int32)
+        keys = pa.ListArray.from_arrays(pa.array(np.arange(0, TABLES * (batch.num_rows + 1), TABLES, dtype=np.int32)), pa.array(prints.ravel(), pa.int32()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "keys"])
+
+
+def _tables(df: DataFrame, spread: bool) -> DataFrame:
+    """(text, ...) -> a row for each table, with `key` and `size`; spread: and for each class of length that holds texts near it."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", keys array<int>"
+    sizes = F.array(*(_size("text") + d for d in ((-1, 0, 1) if spread else (0,))))
+    return df.mapInArrow(_fingerprinted, schema).withColumn("size", F.explode(sizes)).withColumn("key", F.explode("keys"))
 
 
 def _size(text: str):
@@ -249,66 +309,86 @@ def _size(text: str):
     return F.floor(F.log(F.greatest(F.length(text), F.lit(1)).cast("double")) / -math.log(1 - EDITS) + 1e-9).cast("int")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Each row once for each class of length that holds texts near it."""
-    return df.withColumn("size", F.explode(F.array(*(_size("text") + d for d in (-1, 0, 1)))))
-
-
 def _near(a: str, b: str):
-    """Within the edits of each other."""
+    """Within the edits of each other, and met in the first table they share."""
     x, y = F.length(f"{a}.text"), F.length(f"{b}.text")
-    most = F.greatest(x, y) * EDITS
-    return (F.abs(x - y) <= most) & (F.levenshtein(F.col(f"{a}.text"), F.col(f"{b}.text")) <= most)
+    most = F.floor(F.greatest(x, y) * EDITS).cast("int")
+    first = F.array_position(F.zip_with(f"{a}.keys", f"{b}.keys", lambda p, q: p == q), True)
+    here = F.floor(F.col(f"{a}.key") / 256) + 1 == first
+    return here & (F.abs(x - y) <= most) & (F.levenshtein(F.col(f"{a}.text"), F.col(f"{b}.text")) <= most)
 
 
-def written_lines(
-    fragments: DataFrame, key: str = "id", text: str = "text", mimetype: str = "mimetype", boilerplate: int = BOILERPLATE
-) -> DataFrame:
-    """(id, line_no): the lines of each mail newly written by its sender, counted from 1.
+def _met(a: str, b: str, *on: str):
+    condition = F.col(f"{a}.key") == F.col(f"{b}.key")
+    for column in (*on, "size"):
+        condition &= F.col(f"{a}.{column}") == F.col(f"{b}.{column}")
+    return condition
 
-    Mails are the fragments of type message/rfc822, with any parameters and in any case.
-    Null and blank texts have no lines. Mails stored twice give their lines each: copies
-    have one date, so neither is the earlier. A mail without a date inherits from none.
-    Repeated rows of one id give their lines once. An empty table gives no rows.
-    """
-    essence = F.lower(F.trim(F.split(F.col(mimetype), ";")[0]))
-    mails = fragments.where((essence == "message/rfc822") & (F.length(text) > 0)).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    read = written(mails.mapInArrow(_read, _MAIL), "mails")
 
+def _inherited(read: DataFrame) -> DataFrame:
+    """(id, place): sentences near an earlier one that another sender newly wrote in the same conversation."""
     # a conversation is what a person sent or got under a subject; only those of more than one time and sender
     mine = read.where("subject IS NOT NULL AND sent_at IS NOT NULL AND sender IS NOT NULL").withColumn("person", F.explode("people"))
     talks = mine.groupBy("subject", "person").agg(F.min("sent_at").alias("a"), F.max("sent_at").alias("b"), F.min("sender").alias("c"), F.max("sender").alias("d")).where("a < b AND c < d")
     talked = (
         mine.join(talks.select("subject", "person"), ["subject", "person"], "left_semi")
         .select("id", "sender", "subject", "person", "sent_at", F.explode("sentences").alias("s"))
-        .select("id", "sender", "subject", "person", "sent_at", "s.place", "s.text")
-    )
-    # equal sentences of one sender in one conversation are one entry, with the first time it was said
-    told_first = talked.groupBy("subject", "person", "sender", "text").agg(F.min("sent_at").alias("said_at"))
-    later, earlier = _spread(told_first).alias("l"), told_first.withColumn("size", _size("text")).alias("e")
-    alike = (F.col("l.subject") == F.col("e.subject")) & (F.col("l.person") == F.col("e.person")) & (F.col("l.size") == F.col("e.size"))
-    heard = later.join(earlier, alike & (F.col("e.sender") != F.col("l.sender")) & _near("l", "e")).groupBy("l.subject", "l.person", "l.sender", "l.text").agg(F.min("e.said_at").alias("heard_at"))
-    inherited = talked.join(heard, ["subject", "person", "sender", "text"]).where("sent_at > heard_at").select("id", "place")
-
-    # sentences that end many mails of one sender: equal ones are counted first, near ones join them
-    told = read.where("sender IS NOT NULL").select("id", "sender", "sent_at", F.explode("sentences").alias("s")).select("id", "sender", "sent_at", "s.place", "s.text", "s.tail")
-    common = (
-        told.groupBy("sender", F.xxhash64("text").alias("h"))
-        .agg(F.count("*").alias("n"), F.avg(F.col("tail").cast("double")).alias("share"), F.min("sent_at").alias("a"), F.max("sent_at").alias("b"), F.first("text").alias("text"))
-        .where((F.col("n") >= boilerplate) & (F.col("share") >= TAIL_SHARE) & (F.col("a") < F.col("b")))
-        .join(read.groupBy("sender").agg(F.count("*").alias("mails")), "sender")
-        .where(F.col("n") >= F.col("mails") * SENDER_SHARE)
-        .select("sender", "text")
+        .select("id", "sender", "subject", "person", "sent_at", "s.place", "s.text", "s.new")
     )
-    ends = told.where("tail").join(common.select("sender").distinct(), "sender", "left_semi")
-    # a sender has few common sentences: each stands in a fifth of the mails, or more
-    x, c = ends.withColumn("size", _size("text")).alias("x"), _spread(common).alias("c")
-    repeated = x.join(c, (F.col("x.sender") == F.col("c.sender")) & (F.col("x.size") == F.col("c.size")) & _near("x", "c")).select("x.id", "x.place")
-    gone = inherited.union(repeated).distinct()
+    # equal sentences of one sender in one conversation are one entry: with the first time it was newly said, and with the last time it stood there
+    said = talked.where("new").groupBy("text", "subject", "person", "sender").agg(F.min("sent_at").alias("said_at"))
+    stood = talked.groupBy("text", "subject", "person", "sender").agg(F.max("sent_at").alias("stood_at"))
+    later, earlier = _tables(stood, True).alias("l"), _tables(said, False).alias("e")
+    alike = _met("l", "e", "subject", "person") & (F.col("e.sender") != F.col("l.sender")) & (F.col("e.said_at") < F.col("l.stood_at"))
+    heard = later.join(earlier, alike & _near("l", "e")).groupBy("l.subject", "l.person", "l.sender", "l.text").agg(F.min("e.said_at").alias("heard_at"))
+    return talked.join(heard, ["subject", "person", "sender", "text"]).where("sent_at > heard_at").select("id", "place")
+
 
+def _boilerplate(read: DataFrame, least: int) -> DataFrame:
+    """(id, place): sentences that close many mails of one sender, or of several, and sentences at the end of mails near those.
+
+    Equal sentences are counted first, by their hashes; only what recurs gets a fingerprint
+    to be met, so a sentence that a third of all mails hold is one entry.
+    """
+    told = read.where("sender IS NOT NULL").select("id", "sender", "sent_at", F.explode("sentences").alias("s")).select("id", F.xxhash64("sender").alias("by"), "sent_at", "s.place", "s.tail", "s.text", F.xxhash64("s.text").alias("h"))
+    counts = (F.count("*").alias("n"), (F.sum(F.col("tail").cast("long")) / (F.count("*") + 2)).alias("share"), F.min("sent_at").alias("a"), F.max("sent_at").alias("b"))
+    closing = (F.col("n") >= least) & (F.col("share") >= TAIL_SHARE) & (F.col("a") < F.col("b"))
+    # 0 stands for all senders
+    several = told.groupBy("h").agg(*counts, F.min("by").alias("c"), F.max("by").alias("d")).where(closing & (F.col("c") < F.col("d"))).select(F.lit(0).cast("long").alias("who"), "h")
+    mails = read.where("sender IS NOT NULL").groupBy(F.xxhash64("sender").alias("by")).agg(F.count("*").alias("mails"))
+    single = told.groupBy("by", "h").agg(*counts).where(closing).join(mails, "by").where(F.col("n") >= F.col("mails") * SENDER_SHARE).select(F.col("by").alias("who"), "h")
+    common = several.union(single)
+    exact = told.join(common.where("who = 0"), "h", "left_semi").select("id", "place").union(told.withColumn("who", F.col("by")).join(common, ["who", "h"], "left_semi").select("id", "place"))
+    # near ones: the texts of what recurs, and what else ends a mail
+    ends = told.where("tail").groupBy("text", "by").agg(F.first("h").alias("h"))
+    known = ends.join(common.where("who = 0"), "h").select("text", "who").union(ends.withColumn("who", F.col("by")).join(common, ["who", "h"]).select("text", "who")).distinct()
+    others = ends.join(common.where("who = 0"), "h", "left_anti").select("text", F.explode(F.array(F.lit(0).cast("long"), "by")).alias("who"), "by")
+    met = _tables(others, False).alias("x").join(_tables(known, True).alias("c"), _met("x", "c", "who") & _near("x", "c")).select(F.col("x.text").alias("text"), F.col("x.by").alias("by")).distinct()
+    return exact.union(told.where("tail").join(met, ["text", "by"], "left_semi").select("id", "place"))
+
+
+def body_lines_by_origin(fragments: DataFrame, key: str = "id", text: str = "text", mimetype: str = "mimetype", boilerplate: int = BOILERPLATE, notices: bool = True) -> DataFrame:
+    """(id, line_no, way): the lines of each mail's body, counted from 1 over the whole text, and what they are.
+
+    way: inherited or boilerplate where all sentences of the line are so by the tables; else
+    new, or old where the grammar says so. Mails are the fragments of type message/rfc822,
+    with any parameters and in any case. Null and blank texts have no lines. Mails stored
+    twice give their lines each: copies have one date, so neither is the earlier. A mail
+    without a date inherits from none. Repeated rows of one id give their lines once. An
+    empty table gives no rows. notices: whether the grammar knows legal notices by itself.
+    """
+    essence = F.lower(F.trim(F.split(F.col(mimetype), ";")[0]))
+    mails = fragments.where((essence == "message/rfc822") & (F.length(text) > 0)).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    read = written(mails.mapInArrow(_reader(notices), _MAIL), "mails")
+    gone = _inherited(read).withColumn("way", F.lit(1)).union(_boilerplate(read, boilerplate).withColumn("way", F.lit(2))).groupBy("id", "place").agg(F.min("way").alias("way"))
     # a line goes if every sentence on it goes
-    sentences = read.select("id", F.explode("sentences").alias("s")).select("id", "s.place", F.explode("s.own").alias("line_no"))
-    touched = sentences.join(gone.select("id").distinct(), "id", "left_semi")
-    left = touched.join(gone, ["id", "place"], "left_anti").select("id", "line_no").distinct()
-    dropped = touched.select("id", "line_no").distinct().join(left, ["id", "line_no"], "left_anti")
-    return read.select("id", F.explode("lines").alias("line_no")).distinct().join(dropped, ["id", "line_no"], "left_anti")
+    on = read.select("id", F.explode("sentences").alias("s")).select("id", "s.place", F.explode("s.own").alias("line_no"))
+    ways = on.join(gone, ["id", "place"], "left").groupBy("id", "line_no").agg(F.min("way").alias("way"), F.max(F.col("way").isNull()).alias("stays")).where("NOT stays")
+    lines = read.select("id", F.explode("lines").alias("l")).select("id", F.col("l.n").alias("line_no"), "l.new").distinct()
+    way = F.when(F.col("way") == 1, "inherited").when(F.col("way") == 2, "boilerplate").when(F.col("new"), "new").otherwise("old")
+    return lines.join(ways.select("id", "line_no", "way"), ["id", "line_no"], "left").select("id", "line_no", way.alias("way"))
+
+
+def written_lines(fragments: DataFrame, key: str = "id", text: str = "text", mimetype: str = "mimetype", boilerplate: int = BOILERPLATE, notices: bool = True) -> DataFrame:
+    """(id, line_no): the lines of each mail newly written by its sender; see `body_lines_by_origin`."""
+    return body_lines_by_origin(fragments, key, text, mimetype, boilerplate, notices).where("way = 'new'").select("id", "line_no")

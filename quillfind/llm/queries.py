@@ -46,6 +46,10 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return mailnew.written_lines(_read(spark, sf, "fragments"))
 
 
+def p6_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return mailnew.body_lines_by_origin(_read(spark, sf, "fragments"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return splitter.split_oversized(_read(spark, sf, "fragments")).where("piece_no = 1").select("id")
 
@@ -79,6 +83,7 @@ def queries() -> dict:
         "p4_found": p4_found,
         "p5_found": p5_found,
         "p6_found": p6_found,
+        "p6_lines": p6_lines,
         "p7_found": p7_found,
         "p7_pieces": p7_pieces,
         "p8_ids": p8_ids,
