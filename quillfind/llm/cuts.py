@@ -1,16 +1,18 @@
 """Texts cut off by field limits or broken transfers (problem 10).
 
-The self-join by prefix sorts the distinct values: all values that start with v stand
-right behind v, so v is a strict prefix of a longer value exactly if the next value
-starts with v. No pairs arise, whatever values share a head; the sort is by ranges, so a
-head that a third of all texts share is spread over tasks.
-
-It runs on two levels: whole texts, where a text that goes on elsewhere in the middle of
-a word was cut; and closing segments (the words behind the last full stop) against all
-segments, which tells a sentence broken off from a closing formula, a title or an item of
-a list. A text that has no longer copy leaves only its end to judge, so the grammar of
-the end decides there: an open sentence outside lists, code, tables, links, names and
-labels is a cut.
+The self-join by prefix finds values that are strict prefixes of longer ones. Prefixes of
+fixed lengths, the powers of two, are hashed: a value is asked for by its longest one, and
+only values that share it, and are longer, come near. These are sorted: all values that
+start with v stand right behind v, so v is a strict prefix of a longer value exactly if the
+next value starts with v. No pairs arise, whatever values share a head; the sort is by
+ranges, so a head that a third of all texts share is spread over tasks.
+
+It runs on two levels: whole texts, where a text that goes on elsewhere within its line was
+cut; and closing segments (the words behind the last full stop) against all segments, which
+finds a sentence broken off that is whole elsewhere, and tells it from a closing formula, a
+title or an item of a list. A text whose end has no longer copy leaves only that end to
+judge, so the grammar of the end decides there: an open sentence outside lists, code,
+tables, links, names and labels is a cut.
 """
 
 from __future__ import annotations
@@ -27,8 +29,10 @@ from quillfind.functions.session import written
 #: How an end looks: whole, open (a broken sentence), in doubt (an item of a list), structure (code, table, ...), alone (a short line of its own).
 WHOLE, OPEN, DOUBT, STRUCTURE, ALONE = 0, 1, 2, 3, 4
 
-#: What is put behind a text that was cut.
-MARKS = re.compile(r"(?:\s*(?:…|\.\.\.+|\[(?:…|\.\.\.|cut|truncated|more)?\]?|\((?:…|\.\.\.|cut|truncated|more)\)|�+|&hellip;))+\s*$", re.IGNORECASE)
+#: What is put behind a text that was cut, besides dots, and signs of a broken transfer.
+MARKS = re.compile(r"(?:\[(?:…|\.\.\.|cut|truncated|more)?\]?|\((?:…|\.\.\.|cut|truncated|more)\)|&hellip;)$", re.IGNORECASE)
+#: Characters that the longest of these takes.
+_MARK_ROOM = 12
 
 #: Labels whose value is no sentence.
 LABELS = ("tags", "labels", "keywords", "categories", "organisation", "organization", "company", "name", "email", "e-mail", "phone", "tel", "mobile", "fax", "address", "where", "location", "room", "when", "date", "due", "task", "event", "title", "subject", "attendees", "status", "priority", "owner", "version", "id", "source", "from", "to", "cc")
@@ -36,9 +40,13 @@ LABELS = ("tags", "labels", "keywords", "categories", "organisation", "organizat
 #: Closing formulas that stand as a line of their own.
 FORMULAS = re.compile(r"(?i)^(?:to be continued|(?:to )?continued(?: (?:on|in|below|overleaf)\b.*)?|more (?:on|about) (?:this|that|it)\b.*|more (?:soon|later|to (?:come|follow))|(?:the )?end(?: of \w+)?|fin|done|n/?a|tbd|tba)$")
 
+#: Prefixes asked for, and values near them, up to which they are sent to the tasks: 16 bytes each.
+ASKED = 1 << 20
+
 #: So many different texts with the same closing line make it a formula.
 RECURRING = 3
 
+_LINE_END = "\uffff"
 _STOPS = r".!?。！？؟।॥"
 _CLOSERS = "\"'”’»)]}*_`›」』"
 _SENTENCE_END = re.compile(rf"[{_STOPS}][{re.escape(_CLOSERS)}]*\s+|[。！？؟।]|\r?\n")
@@ -51,22 +59,26 @@ _URL = re.compile(r"(?:https?://|www\.)\S+$")
 _NAME = re.compile(r"^[^\W\d_][\w'’.-]*(?: [^\W\d_][\w'’.-]*){0,3}$")
 
 
-#: Characters at the end in which a mark of a cut is looked for.
-_MARK_ROOM = 64
-
-
 def _bare(line: str) -> str:
     line = line.strip()
     return _TAGS.sub("", line).strip() if line.endswith(">") else line
 
 
 def split_mark(text: str) -> tuple[str, str]:
-    """(text, mark): what was put behind a text that was cut, with the blanks around it."""
+    """(text, mark): what was put behind a text that was cut, of any length, with the blanks around it."""
     body = _bare(text)
-    at = max(0, len(body) - _MARK_ROOM)
-    if (m := MARKS.search(body[at:])) and m[0].strip() not in ("]", ")"):
-        return body[: at + m.start()].rstrip(), m[0]
-    return body, ""
+    rest = body.rstrip()
+    while rest:
+        if rest[-1] in "…\ufffd":
+            shorter = rest.rstrip("…\ufffd")
+        elif rest.endswith("..."):
+            shorter = rest.rstrip(".")
+        elif m := MARKS.search(rest, max(0, len(rest) - _MARK_ROOM)):
+            shorter = rest[: m.start()]
+        else:
+            break
+        rest = shorter.rstrip()
+    return (rest, body[len(rest) :]) if len(rest) < len(body.rstrip()) else (body, "")
 
 
 def segment_of(line: str) -> str:
@@ -157,19 +169,19 @@ def _judge(batches):
             states, tails = zip(*map(ending, texts))
             bodies = [split_mark(t)[0] if t and t.strip() else None for t in texts]
             digests = [None if b is None else hashlib.md5(b.encode("utf-8", "replace")).hexdigest() for b in bodies]
+            # a segment once for all the texts of a part
+            seen: set[str] = set()
+            segments = []
+            for b in bodies:
+                own = _segments(b) - seen if b else set()
+                seen |= own
+                segments.append(sorted(own))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(states, pa.int32()), pa.array(tails, pa.string()), pa.array(digests, pa.string()), pa.array(bodies, pa.string())],
-                names=["doc_id", "state", "tail", "digest", "body"],
+                [part.column(0), pa.array(states, pa.int32()), pa.array(tails, pa.string()), pa.array(digests, pa.string()), pa.array(bodies, pa.string()), pa.array(segments, pa.list_(pa.string()))],
+                names=["doc_id", "state", "tail", "digest", "body", "segments"],
             )
 
 
-def _all_segments(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            found = set().union(*(_segments(t) for t in batch.column(0).slice(at, 512).to_pylist() if t))
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["value"])
-
-
 def _next(batches):
     """Sorted distinct values -> (value, next character) of strict prefixes that are asked for; ends of the partition as kinds 1, 2."""
     from pyspark import TaskContext
@@ -193,18 +205,39 @@ def _ends(rows):
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(value, pa.string()), pa.array(follows, pa.string()), pa.array(part, pa.int32())], names=["kind", "value", "follows", "part"])
 
 
+def _prefixes(value: Column, longest: bool = False) -> Column:
+    """Hashes of the prefixes of a value whose lengths are powers of two; longest: of the longest one only."""
+    top = F.floor(F.log2(F.length(value).cast("double")) + 1e-9).cast("int")
+
+    def hashed(k: Column) -> Column:
+        return F.xxhash64(F.substring(value, F.lit(1), F.pow(F.lit(2.0), k).cast("int")), k)
+
+    return hashed(top) if longest else F.transform(F.sequence(F.lit(0), top), hashed)
+
+
+def _near(values: DataFrame) -> DataFrame:
+    """(value, asked): the asked-for values, and those that share a hashed prefix with one and are longer; each once."""
+    some = values.where("asked").select("value", _prefixes(F.col("value"), True).alias("p"), F.length("value").alias("n"))
+    wanted = some.groupBy("p").agg(F.min("n").alias("least"))
+    keyed = values.select("value", F.length("value").alias("n")).select(F.xxhash64("value").alias("h"), "n", F.explode(_prefixes(F.col("value"))).alias("p"))
+    if wanted.limit(ASKED + 1).count() <= ASKED:
+        wanted = F.broadcast(wanted)
+    longer = keyed.join(wanted, "p").where("n > least").select("h").distinct()
+    if longer.limit(ASKED + 1).count() <= ASKED:
+        longer = F.broadcast(longer)
+    others = values.withColumn("h", F.xxhash64("value")).join(longer, "h", "left_semi").select("value", "asked")
+    return others.union(some.select("value", F.lit(True).alias("asked"))).groupBy("value").agg(F.max("asked").alias("asked"))
+
+
 def strict_prefixes(values: DataFrame, value: str = "value", asked: str = "asked") -> DataFrame:
     """(value, follows): the asked-for values that are strict prefixes of a longer value, and the character after them there.
 
     Null and empty values are left out, repeated values are one. Of several longer values
     the first in order gives `follows`.
     """
-    distinct = (
-        values.where(F.length(F.col(value)) > 0)
-        .groupBy(F.col(value).alias("value"))
-        .agg(F.max(F.col(asked)).alias("asked"))
-    )
-    seen = distinct.repartitionByRange("value").sortWithinPartitions("value").mapInArrow(_next, "kind int, value string, follows string, part int")
+    near = _near(values.where(F.length(F.col(value)) > 0).select(F.col(value).alias("value"), F.col(asked).alias("asked")))
+    # written once: the ends of the partitions below must be those of one sort
+    seen = written(near.repartitionByRange("value").sortWithinPartitions("value").mapInArrow(_next, "kind int, value string, follows string, part int"), "prefixes")
     # the last value of a partition meets the first of the next one: two rows a partition
     order = Window.partitionBy(F.lit(0)).orderBy("part", "kind")
     edge = (
@@ -220,32 +253,37 @@ def _word(char: Column) -> Column:
     return char.rlike(r"[\p{L}\p{N}\p{M}]")
 
 
+def _flat(text: str) -> Column:
+    """Line ends as the last character in order: of several longer values one that goes on within the line comes first."""
+    return F.translate(text, "\r\n", _LINE_END * 2)
+
+
 def cut_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, state, tail, longer_copy, goes_on, cut) of every document.
+    """(doc_id, state, tail, longer_copy, goes_on, cut, way) of every document.
 
-    longer_copy: the text goes on in the middle of a word in a longer copy elsewhere.
-    goes_on: the closing segment goes on in a longer segment elsewhere. Null, empty and
-    blank texts are not cut. Repeated rows are given again. An empty table gives no rows.
+    longer_copy: the text goes on within its line in a longer copy elsewhere. goes_on: the
+    closing segment goes on in a longer segment elsewhere. way, of a cut: join where one of
+    them holds, else grammar. Null, empty and blank texts are not cut. Repeated rows are
+    given again. An empty table gives no rows.
     """
     docs = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # each text is read once; what follows reads the narrow columns it needs
-    judged = written(docs.mapInArrow(_judge, "doc_id long, state int, tail string, digest string, body string"), "endings")
-    # whole texts: equal texts fall together before the sort; a whole end can't go on within a word
-    longer = strict_prefixes(judged.select(F.col("body").alias("value"), (F.col("state") != WHOLE).alias("asked"))).where(
-        _word(F.col("follows")) & _word(F.substring("value", -1, 1))
-    )
-    copies = longer.select(F.md5(F.encode("value", "UTF-8")).alias("digest")).distinct()
-    copied = judged.join(copies, "digest", "left_semi").select("doc_id").distinct().withColumn("longer_copy", F.lit(True))
-    # closing segments in doubt, against all segments
-    doubtful = judged.where(F.col("state").isin(DOUBT, ALONE)).select("doc_id", "state", F.col("tail").alias("value"))
-    segments = judged.select("body").mapInArrow(_all_segments, "value string").withColumn("asked", F.lit(False))
-    going = strict_prefixes(segments.union(doubtful.select("value", F.lit(True).alias("asked")))).select("value", "follows", F.lit(True).alias("goes_on"))
+    judged = written(docs.mapInArrow(_judge, "doc_id long, state int, tail string, digest string, body string, segments array<string>"), "endings")
+    # whole texts; a whole end can't go on within a word or a sentence
+    flat = judged.where("body IS NOT NULL").select(_flat("body").alias("value"), (F.col("state") != WHOLE).alias("asked"))
+    longer = strict_prefixes(flat).where(F.col("follows") != _LINE_END)
+    copies = longer.select(F.md5(F.encode("value", "UTF-8")).alias("flat")).distinct()
+    copied = judged.where(F.col("state") != WHOLE).withColumn("flat", F.md5(F.encode(_flat("body"), "UTF-8"))).join(copies, "flat", "left_semi").select("doc_id").distinct().withColumn("longer_copy", F.lit(True))
+    # closing segments that don't end, against all segments
+    open_ = judged.where(F.col("state").isin(OPEN, DOUBT, ALONE) & (F.length("tail") > 0)).select("doc_id", "state", F.col("tail").alias("value"), "digest")
+    segments = judged.select(F.explode("segments").alias("value"), F.lit(False).alias("asked"))
+    going = strict_prefixes(segments.union(open_.select("value", F.lit(True).alias("asked")))).select("value", "follows", F.lit(True).alias("goes_on"))
     # a line that closes several different texts is a formula
-    recurring = judged.where(F.col("state") == ALONE).groupBy(F.col("tail").alias("value")).agg((F.countDistinct("digest") >= RECURRING).alias("recurring")).where("recurring")
+    recurring = open_.where(F.col("state") == ALONE).groupBy("value").agg((F.countDistinct("digest") >= RECURRING).alias("recurring")).where("recurring")
     # an item of a list like "steady schema" goes on as a word or a sentence only; others as they like
-    goes = (F.col("state") == ALONE) | _word(F.col("follows")) | F.col("value").rlike(r"^\p{Lu}")
+    goes = (F.col("state") != DOUBT) | _word(F.col("follows")) | F.col("value").rlike(r"^\p{Lu}")
     tails = (
-        doubtful.join(going.dropDuplicates(["value"]), "value", "left")
+        open_.join(going.dropDuplicates(["value"]), "value", "left")
         .join(recurring, "value", "left")
         .select("doc_id", (F.coalesce("goes_on", F.lit(False)) & goes).alias("goes_on"), F.coalesce("recurring", F.lit(False)).alias("recurring"))
         .distinct()
@@ -258,7 +296,8 @@ def cut_documents(documents: DataFrame, key: str = "doc_id", text: str = "text")
         | ((F.col("state") == DOUBT) & goes_on)
         | ((F.col("state") == ALONE) & (goes_on | ~F.coalesce("recurring", F.lit(False))))
     )
-    return found.select("doc_id", "state", "tail", longer_copy.alias("longer_copy"), goes_on.alias("goes_on"), cut.alias("cut"))
+    way = F.when(cut, F.when(longer_copy | goes_on, "join").otherwise("grammar"))
+    return found.select("doc_id", "state", "tail", longer_copy.alias("longer_copy"), goes_on.alias("goes_on"), cut.alias("cut"), way.alias("way"))
 
 
 def share_by_source(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
