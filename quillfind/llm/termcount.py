@@ -3,6 +3,7 @@
 Tokens are hash-partitioned and each partition is read in the order (term, record).
 One pass keeps, per term, its occurrences, its records and the last record seen: a
 record counts once because its sightings stand together, so no set of records is kept.
+Sightings are shuffled once, after those of one batch have been added up.
 
 The hash is over (term, slice of the record), so a term that holds a third of all rows
 is spread over `slices` partitions; a record of a term lies in one slice only, so the
@@ -15,9 +16,7 @@ import re
 import unicodedata
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,20 +24,35 @@ from pyspark.sql import functions as F
 SLICES = 16
 
 
-def normal(values: pd.Series) -> pd.Series:
+_BLANK = re.compile(r"\s+")
+
+
+def normal(value: str | None) -> str | None:
     """Lower case, NFC, blanks (any Unicode space) trimmed and collapsed to one space; blank gives None."""
-    blank = re.compile(r"\s+")
+    if value is None:
+        return None
+    if value.isascii():
+        return " ".join(value.lower().split()) or None
+    # lower case may leave decomposed letters behind, so compose last
+    return _BLANK.sub(" ", unicodedata.normalize("NFC", unicodedata.normalize("NFC", value).lower())).strip() or None
 
-    def one(value: str | None) -> str | None:
-        if value is None:
-            return None
-        if value.isascii():
-            return " ".join(value.lower().split()) or None
-        # lower case may leave decomposed letters behind, so compose last
-        return blank.sub(" ", unicodedata.normalize("NFC", unicodedata.normalize("NFC", value).lower())).strip() or None
 
-    known: dict = {}
-    return pd.Series([known[v] if v in known else known.setdefault(v, one(v)) for v in values], dtype=object)
+def _terms(batches):
+    """(value, record) -> (term, record, n), sightings of one batch added up."""
+    for batch in batches:
+        coded = batch.column(0).dictionary_encode()
+        terms: dict[str, int] = {}
+        code = np.array([-1 if (t := normal(v)) is None else terms.setdefault(t, len(terms)) for v in coded.dictionary.to_pylist()] + [-1], np.int64)
+        own = code[coded.indices.fill_null(len(code) - 1).to_numpy(zero_copy_only=False)]
+        given = own >= 0
+        own, record = own[given], batch.column(1).to_numpy(zero_copy_only=False)[given]
+        if not len(own):
+            continue
+        order = np.lexsort((record, own))
+        own, record = own[order], record[order]
+        begins = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (record[1:] != record[:-1])])
+        names = pa.array(list(terms), pa.string()).take(pa.array(own[begins]))
+        yield pa.RecordBatch.from_arrays([names, pa.array(record[begins], pa.int64()), pa.array(np.diff(np.r_[begins, len(own)]), pa.int64())], names=["_t", "_r", "_n"])
 
 
 def _count(batches):
@@ -78,15 +92,8 @@ def frequencies(rows: DataFrame, record: str = "fragment", value: str = "normali
     Null and blank values are none. A null record is one record of its own. Repeated rows
     count as rows, not as records. An empty table gives no rows; other columns are ignored.
     """
-    normalise = F.pandas_udf(normal, "string")
-    pairs = (
-        rows.select(F.col(value).alias("_v"), F.col(record).cast("long").alias("_r"))
-        .where(F.col("_v").isNotNull())
-        .groupBy("_v", "_r")
-        .agg(F.count("*").alias("_n"))
-        .select(normalise("_v").alias("_t"), F.coalesce("_r", F.lit(-(2**63))).alias("_r"), "_n")
-        .where(F.col("_t").isNotNull())
-    )
+    given = rows.select(F.col(value).alias("_v"), F.coalesce(F.col(record).cast("long"), F.lit(-(2**63))).alias("_r")).where(F.col("_v").isNotNull())
+    pairs = given.mapInArrow(_terms, "_t string, _r long, _n long")
     spread = pairs.repartition("_t", F.pmod(F.xxhash64("_r"), F.lit(slices)))
     counted = spread.sortWithinPartitions("_t", "_r").mapInArrow(_count, "normalized string, n_rows long, n_records long")
     return counted.groupBy("normalized").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_records").alias("n_records"))
