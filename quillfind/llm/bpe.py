@@ -10,6 +10,7 @@ pair are merged exactly.
 from __future__ import annotations
 
 import base64
+import heapq
 import sys
 
 import numpy as np
@@ -28,13 +29,17 @@ REMEMBERED = 1 << 18
 _NONE = np.int64(1) << 62
 
 
+#: Bytes of a word from which on its pairs are kept in a heap.
+LONG = 48
+
+
 class Vocabulary:
     """Ranks of tokens, and the merge table derived from them."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.size = max(ranks.values()) + 1
-        self.longest = max(map(len, ranks))
+        self._lengths()
         self.left = np.full(self.size, -1, np.int64)
         self.right = np.full(self.size, -1, np.int64)
         pairs: dict[int, int] = {}
@@ -53,8 +58,29 @@ class Vocabulary:
             if len(token) == 1:
                 self.stable[rank] = True
 
+    def _lengths(self) -> None:
+        found: dict[bytes, set[int]] = {}
+        for token in self.ranks:
+            found.setdefault(token[:2], set()).add(len(token))
+        #: lengths of the tokens that start with these two bytes, the longest first
+        self.lengths = {k: sorted(v, reverse=True) for k, v in found.items()}
+
+    def parts(self) -> dict:
+        """Plain arrays and the ranks, as they are sent to the workers."""
+        return {"ranks": self.ranks, "left": self.left, "right": self.right, "keys": self.keys, "merged": self.merged, "stable": self.stable}
+
+    @classmethod
+    def of(cls, parts: dict) -> Vocabulary:
+        made = cls.__new__(cls)
+        made.__dict__.update(parts)
+        made.size = len(made.left)
+        made._lengths()
+        return made
+
     def merge(self, word: bytes, below: int = sys.maxsize) -> list[int]:
         """Exact merging: always the pair of lowest rank, the leftmost first."""
+        if len(word) >= LONG:
+            return self._merge_long(word, below)
         parts = [word[i : i + 1] for i in range(len(word))]
         while len(parts) > 1:
             best, at = below, -1
@@ -64,26 +90,55 @@ class Vocabulary:
                     best, at = rank, i
             if at < 0:
                 break
-            joined, i, out = parts[at] + parts[at + 1], 0, []
-            while i < len(parts):
-                if i + 1 < len(parts) and len(parts[i]) + len(parts[i + 1]) == len(joined) and parts[i] + parts[i + 1] == joined:
-                    out.append(joined)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def _merge_long(self, word: bytes, below: int) -> list[int]:
+        """The same with a heap of pairs and a linked list of parts: n log n for n bytes.
+
+        A part is named by its first byte. An entry of the heap is the rank of a pair, its
+        first byte and its end; it holds as long as the part that starts there and the next
+        one end there, however the bytes are split between them.
+        """
+        n, get = len(word), self.ranks.get
+        end = list(range(1, n + 1))  # 0: merged into the part before
+        before = list(range(-1, n - 1))
+        heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := get(word[i : i + 2])) is not None and rank < below]
+        heapq.heapify(heap)
+        while heap:
+            _, i, stop = heapq.heappop(heap)
+            middle = end[i]
+            if not middle or middle >= n or end[middle] != stop:
+                continue
+            end[i], end[middle] = stop, 0
+            if stop < n:
+                before[stop] = i
+                after = end[stop]
+                rank = get(word[i:after])
+                if rank is not None and rank < below:
+                    heapq.heappush(heap, (rank, i, after))
+            first = before[i]
+            if first >= 0:
+                rank = get(word[first:stop])
+                if rank is not None and rank < below:
+                    heapq.heappush(heap, (rank, first, stop))
+        found, i = [], 0
+        while i < n:
+            found.append(self.ranks[word[i : end[i]]])
+            i = end[i]
+        return found
+
     def longest_match(self, word: bytes) -> list[int]:
-        found, at, ranks = [], 0, self.ranks
-        while at < len(word):
-            for end in range(min(len(word), at + self.longest), at, -1):
-                rank = ranks.get(word[at:end])
-                if rank is not None:
+        found, at, ranks, n = [], 0, self.ranks, len(word)
+        while at < n:
+            for size in self.lengths.get(word[at : at + 2], ()):
+                if at + size <= n and (rank := ranks.get(word[at : at + size])) is not None:
                     found.append(rank)
-                    at = end
+                    at += size
                     break
+            else:
+                found.append(ranks[word[at : at + 1]])
+                at += 1
         return found
 
     def _joins(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -145,11 +200,11 @@ def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
-def encoder(ranks: dict[bytes, int], pattern: str = PATTERN):
+def encoder(vocabulary: Vocabulary, pattern: str = PATTERN):
     """texts -> lists of ids, remembering words between calls."""
     import regex
 
-    vocabulary, split, known = Vocabulary(ranks), regex.compile(pattern), {}
+    split, known = regex.compile(pattern), {}
 
     def run(texts: list) -> list[list[int]]:
         words = [split.findall(t) if t else [] for t in texts]
@@ -170,18 +225,15 @@ def encode(rows: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     file, whatever the corpus.
     """
     # the merge table is derived once here and sent, not once in each worker
-    shared = rows.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
-    name = f"quillfind-bpe-{vocabulary}"
+    shared = rows.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(vocabulary)).parts())
 
     def run(batches):
-        keep = sys.modules["pyspark"].__dict__.setdefault("_quillfind_cache", {})
-        if name not in keep:
-            keep[name] = encoder(shared.value)
+        encoded = encoder(Vocabulary.of(shared.value))
         for batch in batches:
             # a few rows at a time: one text may be very long
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = keep[name](part.column(1).to_pylist())
+                ids = encoded(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     picked = rows.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))

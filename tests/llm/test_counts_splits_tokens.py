@@ -1,6 +1,7 @@
 """Problems 3, 7 and 8: against brute force, exact round trips and the public tokenizer."""
 
 import random
+import time
 import unicodedata
 from collections import defaultdict
 
@@ -17,7 +18,7 @@ from quillfind.llm import bpe, splitter, termcount
 def brute(rows):
     total, seen, values = defaultdict(int), defaultdict(set), set()
     for record, value in rows:
-        v = termcount.normal([value])[0] if value is not None else None
+        v = termcount.normal(value)
         if v:
             total[v] += 1
             seen[v].add(record)
@@ -42,8 +43,8 @@ def test_frequencies_of_nothing(spark):
 
 
 def test_normal_form():
-    assert list(termcount.normal(["  Foo\t BAR ", "É", "　"])) == ["foo bar", "é", None]
-    assert unicodedata.is_normalized("NFC", termcount.normal(["Å ngström"])[0])
+    assert [termcount.normal(x) for x in ["  Foo\t BAR ", "É", "　"]] == ["foo bar", "é", None]
+    assert unicodedata.is_normalized("NFC", termcount.normal("Å ngström"))
 
 
 # --- splitting
@@ -88,7 +89,7 @@ def encoder_and_truth():
 
     truth = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
     truth.encode_special_tokens = True
-    return bpe.encoder(bpe.read_ranks()), lambda texts: [x.ids for x in truth.encode_batch(texts, add_special_tokens=False)]
+    return bpe.encoder(bpe.Vocabulary(bpe.read_ranks())), lambda texts: [x.ids for x in truth.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_ids_equal_the_public_tokenizer(spark):
@@ -112,3 +113,27 @@ def test_pair_check_equals_merging():
     a, b = rng.integers(0, 50256, 3000), rng.integers(0, 50256, 3000)
     want = [v.merge(inverse[x] + inverse[y]) == [x, y] for x, y in zip(a.tolist(), b.tolist())]
     assert v.compatible(a, b).tolist() == want
+
+
+def test_long_words_are_merged_in_n_log_n():
+    """A megabyte without a blank, and the same result as by scanning."""
+    v = bpe.Vocabulary(bpe.read_ranks())
+    rng = random.Random(7)
+    for n in (48, 60, 200, 500):
+        word = "".join(rng.choice("abcdeinorst") for _ in range(n)).encode()
+        parts = [word[i : i + 1] for i in range(n)]
+        while True:  # the pair of lowest rank, the leftmost first
+            ranked = [(v.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in v.ranks]
+            if not ranked:
+                break
+            at = min(ranked)[1]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        assert v.merge(word) == [v.ranks[p] for p in parts]
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20))
+    began = time.process_time()
+    ids = bpe.encoder(v)([word])[0]
+    assert time.process_time() - began < 20
+    inverse = {r: t for t, r in v.ranks.items()}
+    assert b"".join(inverse[i] for i in ids) == word.encode()
+    same = bpe.Vocabulary.of(v.parts())
+    assert same.merge(b"unbelievable" * 10) == v.merge(b"unbelievable" * 10)
