@@ -25,7 +25,7 @@ from email.utils import parsedate_to_datetime
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillfind.functions.session import written
@@ -36,6 +36,8 @@ from quillfind.functions.session import written
 EDITS, BOILERPLATE, SENDER_SHARE, TAIL_SHARE = 0.1, 5, 0.2, 0.7
 #: Bytes of a fingerprint, each the key of a table, and characters of an n-gram.
 TABLES, GRAM = 16, 3
+#: Rows of a few longs, or of a sentence, that are sent to all tasks at most; more are joined.
+SENT = 1 << 17
 
 #: Closing formulas, alone on their line.
 CLOSINGS = frozenset(
@@ -297,51 +299,56 @@ def _fingerprinted(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "keys"])
 
 
-def _tables(df: DataFrame, spread: bool) -> DataFrame:
-    """(text, ...) -> a row for each table, with `key` and `size`; spread: and for each class of length that holds texts near it."""
+def _tables(df: DataFrame) -> DataFrame:
+    """(text, ...) -> the same with `keys`, one for each table."""
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", keys array<int>"
-    sizes = F.array(*(_size("text") + d for d in ((-1, 0, 1) if spread else (0,))))
-    return df.mapInArrow(_fingerprinted, schema).withColumn("size", F.explode(sizes)).withColumn("key", F.explode("keys"))
+    return df.mapInArrow(_fingerprinted, schema)
 
 
-def _size(text: str):
+def _sent_if_small(df: DataFrame, rows: int = SENT) -> DataFrame:
+    """To be sent to all tasks if it is no larger; df must have been written."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def _size(text: Column) -> Column:
     """Class of a text's length: texts within the edits of each other are in the same class or in neighbouring ones."""
     return F.floor(F.log(F.greatest(F.length(text), F.lit(1)).cast("double")) / -math.log(1 - EDITS) + 1e-9).cast("int")
 
 
 def _near(a: str, b: str):
-    """Within the edits of each other, and met in the first table they share."""
-    x, y = F.length(f"{a}.text"), F.length(f"{b}.text")
+    """Within the edits of each other."""
+    x, y = F.length(a), F.length(b)
     most = F.floor(F.greatest(x, y) * EDITS).cast("int")
-    first = F.array_position(F.zip_with(f"{a}.keys", f"{b}.keys", lambda p, q: p == q), True)
-    here = F.floor(F.col(f"{a}.key") / 256) + 1 == first
-    return here & (F.abs(x - y) <= most) & (F.levenshtein(F.col(f"{a}.text"), F.col(f"{b}.text")) <= most)
-
-
-def _met(a: str, b: str, *on: str):
-    condition = F.col(f"{a}.key") == F.col(f"{b}.key")
-    for column in (*on, "size"):
-        condition &= F.col(f"{a}.{column}") == F.col(f"{b}.{column}")
-    return condition
+    return (F.abs(x - y) <= most) & (F.levenshtein(F.col(a), F.col(b)) <= most)
 
 
 def _inherited(read: DataFrame) -> DataFrame:
     """(id, place): sentences near an earlier one that another sender newly wrote in the same conversation."""
     # a conversation is what a person sent or got under a subject; only those of more than one time and sender
-    mine = read.where("subject IS NOT NULL AND sent_at IS NOT NULL AND sender IS NOT NULL").withColumn("person", F.explode("people"))
-    talks = mine.groupBy("subject", "person").agg(F.min("sent_at").alias("a"), F.max("sent_at").alias("b"), F.min("sender").alias("c"), F.max("sender").alias("d")).where("a < b AND c < d")
-    talked = (
-        mine.join(talks.select("subject", "person"), ["subject", "person"], "left_semi")
-        .select("id", "sender", "subject", "person", "sent_at", F.explode("sentences").alias("s"))
-        .select("id", "sender", "subject", "person", "sent_at", "s.place", "s.text", "s.new")
-    )
-    # equal sentences of one sender in one conversation are one entry: with the first time it was newly said, and with the last time it stood there
-    said = talked.where("new").groupBy("text", "subject", "person", "sender").agg(F.min("sent_at").alias("said_at"))
-    stood = talked.groupBy("text", "subject", "person", "sender").agg(F.max("sent_at").alias("stood_at"))
-    later, earlier = _tables(stood, True).alias("l"), _tables(said, False).alias("e")
-    alike = _met("l", "e", "subject", "person") & (F.col("e.sender") != F.col("l.sender")) & (F.col("e.said_at") < F.col("l.stood_at"))
-    heard = later.join(earlier, alike & _near("l", "e")).groupBy("l.subject", "l.person", "l.sender", "l.text").agg(F.min("e.said_at").alias("heard_at"))
-    return talked.join(heard, ["subject", "person", "sender", "text"]).where("sent_at > heard_at").select("id", "place")
+    known = read.where("subject IS NOT NULL AND sent_at IS NOT NULL AND sender IS NOT NULL")
+    mine = known.select("id", F.xxhash64("sender").alias("by"), "sent_at", "subject", F.explode("people").alias("person")).select("id", "by", "sent_at", F.xxhash64("subject", "person").alias("talk"))
+    talks = mine.groupBy("talk").agg(F.min("sent_at").alias("a"), F.max("sent_at").alias("b"), F.min("by").alias("c"), F.max("by").alias("d")).where("a < b AND c < d").select("talk")
+    pairs = written(mine.join(talks, "talk", "left_semi").distinct(), "talks")
+    said = known.select("id", F.explode("sentences").alias("s")).select("id", "s.place", "s.text", "s.new")
+    talked = written(said.join(_sent_if_small(pairs), "id").select("talk", "by", "id", "place", "sent_at", "new", "text", F.xxhash64("text").alias("h")), "talked")
+    # equal sentences of one sender in one conversation are one entry: the first time it was newly said, and the last time it stood there
+    entries = talked.groupBy("talk", "by", "h").agg(F.min(F.when(F.col("new"), F.col("sent_at"))).alias("said_at"), F.max("sent_at").alias("stood_at"))
+    texts = written(_tables(talked.groupBy("h").agg(F.first("text").alias("text")).select("text", "h")), "texts")
+    placed = entries.join(texts.select("h", "keys", _size(F.col("text")).alias("size"), F.length("text").alias("n")), "h")
+    later = placed.select("talk", "by", "h", "n", "stood_at", "size", F.explode("keys").alias("key"))
+    earlier = placed.where("said_at IS NOT NULL").withColumn("size", F.explode(F.array(*(F.col("size") + d for d in (-1, 0, 1))))).select("talk", "by", "h", "n", "said_at", "size", F.explode("keys").alias("key"))
+
+    def narrow(df: DataFrame, when: str) -> DataFrame:
+        return df.select(F.xxhash64("talk", "size", "key").alias("at"), "talk", "by", "h", "n", when)
+
+    met = (
+        narrow(later, "stood_at").alias("l").join(narrow(earlier, "said_at").alias("e"), "at")
+        .where("l.talk = e.talk AND l.by <> e.by AND e.said_at < l.stood_at").where(F.abs(F.col("l.n") - F.col("e.n")) <= F.greatest("l.n", "e.n") * EDITS)
+        .select(F.col("l.talk").alias("talk"), F.col("l.by").alias("by"), F.col("l.h").alias("h"), F.col("e.h").alias("other"), F.col("e.said_at").alias("said_at")).distinct()
+    )
+    text, other = texts.select("h", "text"), texts.select(F.col("h").alias("other"), F.col("text").alias("was"))
+    heard = met.join(text, "h").join(other, "other").where(_near("text", "was")).groupBy("talk", "by", "h").agg(F.min("said_at").alias("heard_at"))
+    return talked.join(heard, ["talk", "by", "h"]).where("sent_at > heard_at").select("id", "place")
 
 
 def _boilerplate(read: DataFrame, least: int) -> DataFrame:
@@ -350,21 +357,44 @@ def _boilerplate(read: DataFrame, least: int) -> DataFrame:
     Equal sentences are counted first, by their hashes; only what recurs gets a fingerprint
     to be met, so a sentence that a third of all mails hold is one entry.
     """
-    told = read.where("sender IS NOT NULL").select("id", "sender", "sent_at", F.explode("sentences").alias("s")).select("id", F.xxhash64("sender").alias("by"), "sent_at", "s.place", "s.tail", "s.text", F.xxhash64("s.text").alias("h"))
+    told = read.where("sender IS NOT NULL").select(F.xxhash64("sender").alias("by"), "id", "sent_at", F.explode("sentences").alias("s")).select("by", "id", "sent_at", "s.place", "s.tail", "s.text", F.xxhash64("s.text").alias("h"))
     counts = (F.count("*").alias("n"), (F.sum(F.col("tail").cast("long")) / (F.count("*") + 2)).alias("share"), F.min("sent_at").alias("a"), F.max("sent_at").alias("b"))
-    closing = (F.col("n") >= least) & (F.col("share") >= TAIL_SHARE) & (F.col("a") < F.col("b"))
+    closing = (F.col("share") >= TAIL_SHARE) & (F.col("a") < F.col("b"))
+    often = written(told.groupBy("h").agg(*counts, F.min("by").alias("c"), F.max("by").alias("d")).where(F.col("n") >= least), "often")
     # 0 stands for all senders
-    several = told.groupBy("h").agg(*counts, F.min("by").alias("c"), F.max("by").alias("d")).where(closing & (F.col("c") < F.col("d"))).select(F.lit(0).cast("long").alias("who"), "h")
+    several = often.where(closing & (F.col("c") < F.col("d"))).select(F.lit(0).cast("long").alias("who"), "h")
     mails = read.where("sender IS NOT NULL").groupBy(F.xxhash64("sender").alias("by")).agg(F.count("*").alias("mails"))
-    single = told.groupBy("by", "h").agg(*counts).where(closing).join(mails, "by").where(F.col("n") >= F.col("mails") * SENDER_SHARE).select(F.col("by").alias("who"), "h")
-    common = several.union(single)
-    exact = told.join(common.where("who = 0"), "h", "left_semi").select("id", "place").union(told.withColumn("who", F.col("by")).join(common, ["who", "h"], "left_semi").select("id", "place"))
+    single = told.join(_sent_if_small(often.select("h")), "h", "left_semi").groupBy("by", "h").agg(*counts).where(closing & (F.col("n") >= least)).join(mails, "by").where(F.col("n") >= F.col("mails") * SENDER_SHARE)
+    common = _sent_if_small(written(several.union(single.select(F.col("by").alias("who"), "h")), "common"))
+    whose = told.withColumn("who", F.explode(F.array(F.lit(0).cast("long"), "by")))
+    exact = whose.join(common, ["who", "h"], "left_semi")
     # near ones: the texts of what recurs, and what else ends a mail
-    ends = told.where("tail").groupBy("text", "by").agg(F.first("h").alias("h"))
-    known = ends.join(common.where("who = 0"), "h").select("text", "who").union(ends.withColumn("who", F.col("by")).join(common, ["who", "h"]).select("text", "who")).distinct()
-    others = ends.join(common.where("who = 0"), "h", "left_anti").select("text", F.explode(F.array(F.lit(0).cast("long"), "by")).alias("who"), "by")
-    met = _tables(others, False).alias("x").join(_tables(known, True).alias("c"), _met("x", "c", "who") & _near("x", "c")).select(F.col("x.text").alias("text"), F.col("x.by").alias("by")).distinct()
-    return exact.union(told.where("tail").join(met, ["text", "by"], "left_semi").select("id", "place"))
+    known = written(_tables(exact.groupBy("who", "h").agg(F.first("text").alias("text")).select("text", "who")), "known")
+    met_at = F.xxhash64("who", "size", "key").alias("at")
+    targets = known.select("text", "who", F.explode(F.array(*(_size(F.col("text")) + d for d in (-1, 0, 1)))).alias("size"), F.explode("keys").alias("key")).select(F.col("text").alias("was"), met_at)
+    targets = _sent_if_small(written(targets, "targets"))
+    ends = _tables(told.where("tail").join(common.where("who = 0").select("h"), "h", "left_anti").select("text", "id", "place", "by"))
+    ends = ends.select("text", "id", "place", _size(F.col("text")).alias("size"), F.explode(F.array(F.lit(0).cast("long"), "by")).alias("who"), "keys").select("text", "id", "place", "who", "size", F.explode("keys").alias("key"))
+    near = ends.select("text", "id", "place", met_at).join(targets, "at").where(_near("text", "was")).select("id", "place")
+    return exact.select("id", "place").union(near)
+
+
+def _decided(batches):
+    """(id, lines, sentences, gone) -> (id, line_no, way): a line goes if every sentence on it goes."""
+    for batch in batches:
+        ids, numbers, ways = [], [], []
+        for key, lines, sentences, gone in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            how = {g["place"]: g["way"] for g in sorted(gone or (), key=lambda g: -g["way"])}
+            on: dict[int, int] = {}
+            for said in sentences if how else ():
+                way = how.get(said["place"], 0)
+                for n in said["own"]:
+                    on[n] = min(on.get(n, way), way)
+            for line in lines:
+                ids.append(key)
+                numbers.append(line["n"])
+                ways.append({1: "inherited", 2: "boilerplate"}.get(on.get(line["n"], 0)) or ("new" if line["new"] else "old"))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(ways, pa.string())], names=["id", "line_no", "way"])
 
 
 def body_lines_by_origin(fragments: DataFrame, key: str = "id", text: str = "text", mimetype: str = "mimetype", boilerplate: int = BOILERPLATE, notices: bool = True) -> DataFrame:
@@ -380,13 +410,11 @@ def body_lines_by_origin(fragments: DataFrame, key: str = "id", text: str = "tex
     essence = F.lower(F.trim(F.split(F.col(mimetype), ";")[0]))
     mails = fragments.where((essence == "message/rfc822") & (F.length(text) > 0)).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     read = written(mails.mapInArrow(_reader(notices), _MAIL), "mails")
-    gone = _inherited(read).withColumn("way", F.lit(1)).union(_boilerplate(read, boilerplate).withColumn("way", F.lit(2))).groupBy("id", "place").agg(F.min("way").alias("way"))
-    # a line goes if every sentence on it goes
-    on = read.select("id", F.explode("sentences").alias("s")).select("id", "s.place", F.explode("s.own").alias("line_no"))
-    ways = on.join(gone, ["id", "place"], "left").groupBy("id", "line_no").agg(F.min("way").alias("way"), F.max(F.col("way").isNull()).alias("stays")).where("NOT stays")
-    lines = read.select("id", F.explode("lines").alias("l")).select("id", F.col("l.n").alias("line_no"), "l.new").distinct()
-    way = F.when(F.col("way") == 1, "inherited").when(F.col("way") == 2, "boilerplate").when(F.col("new"), "new").otherwise("old")
-    return lines.join(ways.select("id", "line_no", "way"), ["id", "line_no"], "left").select("id", "line_no", way.alias("way"))
+    gone = _inherited(read).withColumn("way", F.lit(1)).union(_boilerplate(read, boilerplate).withColumn("way", F.lit(2)))
+    # no more entries than a mail has sentences
+    gone = gone.groupBy("id").agg(F.collect_set(F.struct("place", "way")).alias("gone"))
+    places = F.transform("sentences", lambda x: F.struct(x["place"].alias("place"), x["own"].alias("own"))).alias("sentences")
+    return read.select("id", "lines", places).join(gone, "id", "left").mapInArrow(_decided, "id long, line_no int, way string").distinct()
 
 
 def written_lines(fragments: DataFrame, key: str = "id", text: str = "text", mimetype: str = "mimetype", boilerplate: int = BOILERPLATE, notices: bool = True) -> DataFrame:
