@@ -76,6 +76,17 @@ def test_segments_make_no_difference(spark):
     assert results[0] == want
 
 
+def test_clock_resets(spark):
+    """Two files of one call, each with a clock of its own; the second has a step back of a second."""
+    rows = [(1, i, 1 + i % 2, 10.0 * i, f"Said {i} words.") for i in range(1, 8)] + [(1, 10 + i, 1 + i // 3, [3.0, 9.0, 8.0, 12.0, 20.0][i], f"More {i} words.") for i in range(5)]
+    p = spark.createDataFrame([(1, 1, "Ann Lee", "host"), (1, 2, "Bob Ray", "guest")], PARTIES)
+    got = sorted(tuple(r) for r in transcripts.turns(spark.createDataFrame(rows, SENTENCES), p, resets=True).select("turn_no", "channel", "first_sentence_id", "last_sentence_id", "start_secs", "end_secs").collect())
+    assert [g[:4] for g in got] == [(1, 2, 1, 1), (2, 1, 2, 2), (3, 2, 3, 3), (4, 1, 4, 4), (5, 2, 5, 5), (6, 1, 6, 6), (7, 2, 7, 7), (8, 1, 10, 12), (9, 2, 13, 14)]
+    assert got[7][4:] == (3.0, 8.5)  # 9 and 8 are one level
+    cut = transcripts._in_files(spark.createDataFrame([(1, i, float(i % 5) * 100) for i in range(1, 21)], "call_id long, sentence_id long, start double"), block=3)
+    assert [r["_file"] for r in cut.orderBy("sentence_id").collect()] == [i // 5 for i in range(1, 21)]
+
+
 # --- broken pairs
 
 
