@@ -31,9 +31,11 @@ def build_session(name: str = "quillfind", cpus: str | int = 8, shuffle: int = 8
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where none is configured, as in tests, is one made."""
+    """The folder all executors share. Where none is configured one is made, on a local master only: other machines couldn't read it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillfind-")
         spark.conf.set("spark.checkpoint.dir", found)
     context = spark.sparkContext._jsc.sc()

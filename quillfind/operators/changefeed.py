@@ -7,9 +7,10 @@ replay of one (origin, key) is one hash-aggregated group: partial results are co
 before the shuffle, and a hot origin or key costs one row per input partition.
 
 Of an origin only the newest epoch counts. What is exposed ends at the committed
-watermark of (origin, epoch): with gaps="hold" the last sequence up to which no
-sequence is missing, with gaps="close" the last sequence seen (a compacted log never
-fills its gaps, so they are closed once the feed has been read whole).
+watermark of (origin, epoch): the last sequence up to which none is missing. A gap holds
+back what is behind it until it is filled, or closed by evidence: a completeness mark
+(origin, epoch, upto) says that nothing below `upto` is still to come, as a compacted log
+never fills its gaps. The marks of a log that has been read whole are its last sequences.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillfind.functions.session import present
+from quillfind.functions.session import present, written
 
 #: Kinds of records that withdraw their key when the tombstone is null.
 WITHDRAWING = ("source_gone", "stewardship_withdrawn")
 
 #: Sequences per block in the search for the first gap.
 GAP_BLOCK = 4096
+#: Watermarks that are sent to all tasks at most; more are joined.
+SENT = 1 << 18
 
 
 def _withdraws(tombstone: str, record: str, kinds: tuple[str, ...]) -> Column:
@@ -36,41 +39,47 @@ def accepted(log: DataFrame, origin: str = "origin", epoch: str = "epoch", seq:
     return log.where(present(F.col(origin)) & present(F.col(key)) & (F.col(epoch) > 0) & (F.col(seq) > 0))
 
 
-def watermarks(log: DataFrame, origin: str = "origin", epoch: str = "epoch", seq: str = "seq", key: str = "key") -> DataFrame:
+def positions(log: DataFrame, origin: str = "origin", epoch: str = "epoch", seq: str = "seq", key: str = "key") -> DataFrame:
+    """(origin, epoch, upto): the last sequence of the newest epoch of each origin: the completeness marks of a log read whole."""
+    last = accepted(log, origin, epoch, seq, key).groupBy(F.col(origin).alias("origin"), F.col(epoch).alias("epoch")).agg(F.max(F.col(seq)).alias("upto"))
+    # one row for each epoch here
+    return last.groupBy("origin").agg(F.max(F.struct("epoch", "upto")).alias("m")).select("origin", "m.epoch", "m.upto")
+
+
+def watermarks(log: DataFrame, origin: str = "origin", epoch: str = "epoch", seq: str = "seq", key: str = "key", complete: DataFrame | str | None = None) -> DataFrame:
     """(origin, epoch, last_seq, watermark) of the newest epoch of each origin.
 
     watermark is the last sequence of the unbroken run 1, 2, 3 ...; 0 if 1 is missing.
-    The first gap is found by counts of blocks of sequences: an origin's sequences are
-    never brought together, only its blocks are.
+    Sequences up to the mark of `complete` (origin, epoch, upto) count as present; "read"
+    marks the whole log. The first gap is found by counts of blocks of sequences: an
+    origin's sequences are never brought together, only its blocks are.
     """
-    rows = accepted(log, origin, epoch, seq, key).select(
-        F.col(origin).alias("origin"), F.col(epoch).alias("epoch"), F.col(seq).alias("seq")
-    )
-    newest = rows.groupBy("origin").agg(F.max("epoch").alias("epoch"))
-    seqs = rows.join(newest, ["origin", "epoch"], "left_semi").distinct()
+    heads = positions(log, origin, epoch, seq, key).withColumnRenamed("upto", "last_seq")
+    if isinstance(complete, str):
+        if complete != "read":
+            raise ValueError(f"complete is a DataFrame, 'read' or None, not {complete!r}")
+        return heads.withColumn("watermark", F.col("last_seq"))
+    if complete is None:
+        heads = heads.withColumn("upto", F.lit(0).cast("long"))
+    else:
+        marks = complete.groupBy("origin", "epoch").agg(F.max("upto").alias("upto"))
+        heads = heads.join(marks, ["origin", "epoch"], "left").withColumn("upto", F.greatest(F.lit(0), F.least(F.coalesce("upto", F.lit(0)), "last_seq")).cast("long"))
+    rows = accepted(log, origin, epoch, seq, key).select(F.col(origin).alias("origin"), F.col(epoch).alias("epoch"), F.col(seq).alias("seq"))
+    beyond = rows.join(heads.where("upto < last_seq").select("origin", "epoch", "upto"), ["origin", "epoch"]).where("seq > upto")
+    seqs = beyond.select("origin", "epoch", (F.col("seq") - F.col("upto")).alias("seq")).distinct()
     block = F.floor((F.col("seq") - 1) / GAP_BLOCK).alias("block")
     # within a block the unbroken run from its start ends where seq stops being its own rank
     runs = (
         seqs.groupBy("origin", "epoch", block)
-        .agg(F.array_sort(F.collect_list("seq")).alias("held"), F.max("seq").alias("top"))
+        .agg(F.array_sort(F.collect_list("seq")).alias("held"))
         .withColumn("base", F.col("block") * GAP_BLOCK)
-        .withColumn(
-            "run",
-            F.size(F.filter("held", lambda x, i: x == F.col("base") + i + 1)).cast("long"),
-        )
+        .withColumn("run", F.size(F.filter("held", lambda x, i: x == F.col("base") + i + 1)).cast("long"))
         .drop("held")
     )
     # a block that is not full ends the run; the first such block decides
     first_broken = F.min(F.when(F.col("run") < GAP_BLOCK, F.struct("block", "run")))
-    return (
-        runs.groupBy("origin", "epoch")
-        .agg(
-            F.max("top").alias("last_seq"),
-            first_broken.alias("broken"),
-            F.collect_set(F.when(F.col("run") == GAP_BLOCK, F.col("block"))).alias("full"),
-        )
-        .select("origin", "epoch", "last_seq", _watermark().alias("watermark"))
-    )
+    reached = runs.groupBy("origin", "epoch").agg(first_broken.alias("broken"), F.collect_set(F.when(F.col("run") == GAP_BLOCK, F.col("block"))).alias("full")).select("origin", "epoch", _watermark().alias("run"))
+    return heads.join(reached, ["origin", "epoch"], "left").select("origin", "epoch", "last_seq", (F.col("upto") + F.coalesce("run", F.lit(0))).alias("watermark"))
 
 
 def _watermark() -> Column:
@@ -89,20 +98,19 @@ def current_state(
     tombstone: str = "tombstone",
     record: str = "record",
     withdrawing: tuple[str, ...] = WITHDRAWING,
-    gaps: str = "close",
+    complete: DataFrame | str | None = "read",
     payload: bool = False,
 ) -> DataFrame:
     """(origin, epoch, seq, key[, record]): the entries that stand once the feed is applied.
 
-    Rows whose origin or key is null or blank, or whose epoch or seq is null or not
-    positive, are refused. Per (origin, key) of the newest epoch the largest seq decides.
+    State is exposed up to the committed watermark of each origin; `complete` closes gaps as
+    in `watermarks`. Rows whose origin or key is null or blank, or whose epoch or seq is null
+    or not positive, are refused. Per (origin, key) of the newest epoch the largest seq decides.
     A null tombstone is decided by the kind of the record; a record that is null or no
     JSON withdraws nothing. If deliveries of one sequence disagree, the withdrawal wins;
     of differing records the greatest text stays. An empty log gives no rows; other
     columns are ignored.
     """
-    if gaps not in ("close", "hold"):
-        raise ValueError(f"gaps is 'close' or 'hold', not {gaps!r}")
     rows = accepted(log, origin, epoch, seq, key).select(
         F.col(origin).alias("origin"),
         F.col(epoch).alias("epoch"),
@@ -111,20 +119,17 @@ def current_state(
         _withdraws(tombstone, record, withdrawing).alias("gone"),
         *([F.col(record).alias("record")] if payload else []),
     )
-    if gaps == "hold":
-        marks = watermarks(log, origin, epoch, seq, key).select("origin", "epoch", "watermark")
-        rows = rows.join(marks, ["origin", "epoch"]).where("seq <= watermark").drop("watermark")
+    # only the newest epoch of an origin has a watermark; there is one row for each origin
+    marks = written(watermarks(log, origin, epoch, seq, key, complete).select("origin", "epoch", "watermark"), "watermarks")
+    if marks.limit(SENT + 1).count() <= SENT:
+        marks = F.broadcast(marks)
+    rows = rows.join(marks, ["origin", "epoch"]).where("seq <= watermark").drop("watermark")
     # longs only: the aggregate stays in hash maps and combines before the shuffle
     folded = rows.groupBy("origin", "key", "epoch").agg(
         F.max(F.when(~F.col("gone"), F.col("seq"))).alias("seq"),
         F.max(F.when(F.col("gone"), F.col("seq"))).alias("gone_seq"),
         *([F.max(F.when(~F.col("gone"), F.struct("seq", "record"))).getField("record").alias("record")] if payload else []),
     )
-    newest = (
-        accepted(log, origin, epoch, seq, key)
-        .groupBy(F.col(origin).alias("origin"))
-        .agg(F.max(F.col(epoch)).alias("epoch"))
-    )
     standing = folded.where(F.col("seq") > F.coalesce("gone_seq", F.lit(0)))
     out = ["origin", "epoch", "seq", "key", *(["record"] if payload else [])]
-    return standing.join(newest, ["origin", "epoch"], "left_semi").select(*out)
+    return standing.select(*out)

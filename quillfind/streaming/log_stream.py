@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,28 +57,72 @@ def read_stream(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     return spark.readStream.schema(LOG).option("maxFilesPerTrigger", files).parquet(path)
 
 
+def _usable(rows: pd.DataFrame, origin) -> np.ndarray:
+    """Which rows of an origin have a whole identity."""
+    named = rows["key"].map(lambda k: isinstance(k, str) and bool(k.strip())).to_numpy(bool)
+    return named & (rows["epoch"] > 0).to_numpy(bool) & (rows["seq"] > 0).to_numpy(bool) & (isinstance(origin, str) and bool(origin.strip()))
+
+
 def applied_stream(stream: DataFrame) -> DataFrame:
     """(origin, applied, skipped, refused) of each micro-batch; the position of an origin is held in state.
 
-    Rows of a batch are taken in order of arrival, and chunks of a group one after another:
-    an origin's rows are never brought together. An entry at or before the position is
-    skipped, so a gap filled later is lost, as the log's protocol has it.
+    Rows of a micro-batch are taken in order of arrival, epoch and sequence, as arrays: the
+    size of a micro-batch is bounded by the source's trigger. An entry at or before the
+    position is skipped, so a gap filled later is lost, as the log's protocol has it;
+    `committed_stream` holds gaps instead.
     """
 
     def take(key: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([c[["epoch", "seq", "key", "arrived"]] for c in chunks]).sort_values(["arrived", "epoch", "seq"])
+        good = _usable(rows, key[0])
+        epoch, seq = (rows[c].to_numpy()[good].astype(np.int64) for c in ("epoch", "seq"))
         at = state.get if state.exists else (0, 0)
-        n = [0, 0, 0]
-        for rows in chunks:
-            for epoch, seq, name in rows.sort_values(["arrived", "epoch", "seq"])[["epoch", "seq", "key"]].itertuples(index=False):
-                if not isinstance(name, str) or not name.strip() or not isinstance(key[0], str) or not key[0].strip() or not epoch > 0 or not seq > 0:
-                    n[2] += 1
-                elif (int(epoch), int(seq)) > tuple(at):
-                    at = (int(epoch), int(seq))
-                    n[0] += 1
-                else:
-                    n[1] += 1
-        state.update(tuple(at))
-        yield pd.DataFrame({"origin": [key[0]], "applied": [n[0]], "skipped": [n[1]], "refused": [n[2]]})
+        # places in order, so that the highest one so far is a running maximum
+        places = np.unique(np.r_[np.array([at], np.int64), np.stack([epoch, seq], 1)], axis=0, return_inverse=True)
+        rank = places[1].ravel()
+        before = np.maximum.accumulate(rank)[:-1]
+        applied = int((rank[1:] > before).sum())
+        state.update(tuple(int(x) for x in places[0][rank.max()]))
+        yield pd.DataFrame({"origin": [key[0]], "applied": [applied], "skipped": [int(good.sum()) - applied], "refused": [int((~good).sum())]})
 
     picked = stream.select("origin", "epoch", "seq", "key", "arrived")
     return picked.groupBy("origin").applyInPandasWithState(take, "origin string, applied long, skipped long, refused long", "epoch long, seq long", "append", "NoTimeout")
+
+
+def committed_stream(stream: DataFrame) -> DataFrame:
+    """(origin, epoch, watermark, held) of each micro-batch: sequences beyond a gap are held in state until it is filled.
+
+    State is the watermark of the newest epoch and the ranges of sequences beyond it, so it
+    grows with the gaps, not with the entries. Repeats and any order of arrival make no
+    difference to the watermark. An older epoch is dropped. held: ranges beyond the watermark.
+    """
+
+    def take(key: tuple, chunks: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        epoch, mark, first, last = state.get if state.exists else (0, 0, [], [])
+        seen: dict[int, list] = {}
+        for rows in chunks:
+            good = rows[_usable(rows, key[0])]
+            for e, seqs in good.groupby("epoch")["seq"]:
+                if e >= epoch:
+                    seen.setdefault(int(e), []).append(np.unique(seqs.to_numpy(np.int64)))
+        if seen and max(seen) > epoch:
+            epoch, mark, first, last = max(seen), 0, [], []
+        new = np.unique(np.concatenate(seen.get(epoch, []) or [np.empty(0, np.int64)]))
+        begin = np.r_[new[:1], new[1:][np.diff(new) > 1]] if len(new) else new
+        end = np.r_[new[:-1][np.diff(new) > 1], new[-1:]] if len(new) else new
+        spans = sorted([(0, mark), *zip(first, last), *zip(begin.tolist(), end.tolist())])
+        joined = [list(spans[0])]
+        for a, b in spans[1:]:
+            if a <= joined[-1][1] + 1:
+                joined[-1][1] = max(b, joined[-1][1])
+            else:
+                joined.append([a, b])
+        mark = joined[0][1]
+        first, last = [int(a) for a, _ in joined[1:]], [int(b) for _, b in joined[1:]]
+        state.update((int(epoch), int(mark), first, last))
+        yield pd.DataFrame({"origin": [key[0]], "epoch": [epoch], "watermark": [mark], "held": [len(first)]})
+
+    picked = stream.select("origin", "epoch", "seq", "key")
+    return picked.groupBy("origin").applyInPandasWithState(
+        take, "origin string, epoch long, watermark long, held long", "epoch long, watermark long, first array<long>, last array<long>", "append", "NoTimeout"
+    )

@@ -72,10 +72,23 @@ def test_watermark_stops_at_the_first_gap(spark, monkeypatch):
     df = spark.createDataFrame(rows, SCHEMA)
     marks = {r["origin"]: (r["watermark"], r["last_seq"]) for r in changefeed.watermarks(df).collect()}
     assert marks == {"full": (11, 11), "gap": (5, 9), "late": (0, 3), "jump": (4, 10)}
-    held = {(r["origin"], r["key"]) for r in changefeed.current_state(df, gaps="hold").collect()}
+    held = {(r["origin"], r["key"]) for r in changefeed.current_state(df, complete=None).collect()}
     assert held == {("full", "k"), *(("gap", f"k{s}") for s in range(1, 6)), ("jump", "k")}
 
 
 def test_extra_columns_with_clashing_names(spark):
     df = spark.createDataFrame([("o", 1, 1, "k", False, None, 5, 6)], SCHEMA + ", gone int, gone_seq int")
     assert found(changefeed.current_state(df)) == {("o", 1, 1, "k")}
+
+
+def test_gaps_close_by_evidence(spark, monkeypatch):
+    """A mark closes the gaps below it, whatever stands behind it holds until its own gaps are filled."""
+    monkeypatch.setattr(changefeed, "GAP_BLOCK", 4)
+    rows = [("gap", 2, s, f"k{s}", False, None) for s in (2, 3, 7, 8, 9, 11, 12)] + [("gap", 1, 50, "old", False, None), ("other", 1, 3, "k", False, None)]
+    log = spark.createDataFrame(rows, SCHEMA)
+    for upto, want in ((0, 0), (1, 3), (5, 5), (6, 9), (10, 12), (99, 12)):
+        marks = spark.createDataFrame([("gap", 2, upto), ("gap", 2, 0), ("gap", 1, 99), ("unknown", 1, 5)], "origin string, epoch long, upto long")
+        found_at = {r["origin"]: r["watermark"] for r in changefeed.watermarks(log, complete=marks).collect()}
+        assert found_at == {"gap": want, "other": 0}, upto
+        assert {r["key"] for r in changefeed.current_state(log, complete=marks).collect()} == {f"k{s}" for s in (2, 3, 7, 8, 9, 11, 12) if s <= want}
+    assert {(r["origin"], r["watermark"]) for r in changefeed.watermarks(log, complete="read").collect()} == {("gap", 12), ("other", 3)}

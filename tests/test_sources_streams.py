@@ -82,3 +82,18 @@ def test_positions_in_state(spark, tmp_path):
     q.awaitTermination(120)
     total = [sum(x) for x in zip(*[(r["applied"], r["skipped"], r["refused"]) for r in spark.table("taken").collect()])]
     assert total == [4, 0, 1] or total == [3, 1, 1]  # the two files come in either order within a batch
+
+
+def test_watermark_in_state(spark, tmp_path):
+    """Gaps are held until they are filled, over micro-batches that come one file at a time, as in the batch."""
+    path, rng = str(tmp_path / "log"), random.Random(3)
+    rows = [("a", 2, s, "k") for s in range(1, 60) if s not in (17, 41)] + [("a", 1, 99, "k"), ("b", 1, 2, "k"), ("b", 1, 0, "k"), ("b", 1, 1, " ")] * 2
+    rng.shuffle(rows)
+    for i in range(4):
+        spark.createDataFrame([(*r, False, None, None) for r in rows[i::4]], log_stream.LOG).coalesce(1).write.mode("append").parquet(path)
+    q = log_stream.committed_stream(log_stream.read_stream(spark, path, 1)).writeStream.format("memory").queryName("committed").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    told = [(r["origin"], r["epoch"], r["watermark"], r["held"]) for r in spark.table("committed").collect()]
+    want = {(r["origin"], r["epoch"], r["watermark"]) for r in changefeed.watermarks(spark.read.parquet(path)).collect()}
+    assert want == {("a", 2, 16), ("b", 1, 0)} and max(t for t in told if t[0] == "a") == ("a", 2, 16, 2)
+    assert all(b[2] >= a[2] for a, b in zip([t for t in told if t[:2] == ("a", 2)], [t for t in told if t[:2] == ("a", 2)][1:]))
