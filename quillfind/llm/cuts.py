@@ -40,7 +40,7 @@ LABELS = ("tags", "labels", "keywords", "categories", "organisation", "organizat
 #: Closing formulas that stand as a line of their own.
 FORMULAS = re.compile(r"(?i)^(?:to be continued|(?:to )?continued(?: (?:on|in|below|overleaf)\b.*)?|more (?:on|about) (?:this|that|it)\b.*|more (?:soon|later|to (?:come|follow))|(?:the )?end(?: of \w+)?|fin|done|n/?a|tbd|tba)$")
 
-#: Prefixes asked for, and values near them, up to which they are sent to the tasks: 16 bytes each.
+#: Prefixes asked for up to which they are sent to the tasks: 16 bytes each.
 ASKED = 1 << 20
 
 #: So many different texts with the same closing line make it a formula.
@@ -168,7 +168,9 @@ def _judge(batches):
             texts = part.column(1).to_pylist()
             states, tails = zip(*map(ending, texts))
             bodies = [split_mark(t)[0] if t and t.strip() else None for t in texts]
-            digests = [None if b is None else hashlib.md5(b.encode("utf-8", "replace")).hexdigest() for b in bodies]
+            # line ends as the last character in order: of several longer values one that goes on within the line comes first
+            flat = [None if b is None else b.replace("\r", _LINE_END).replace("\n", _LINE_END) for b in bodies]
+            digests = [None if b is None else hashlib.md5(b.encode("utf-8", "replace")).hexdigest() for b in flat]
             # a segment once for all the texts of a part
             seen: set[str] = set()
             segments = []
@@ -177,8 +179,8 @@ def _judge(batches):
                 seen |= own
                 segments.append(sorted(own))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(states, pa.int32()), pa.array(tails, pa.string()), pa.array(digests, pa.string()), pa.array(bodies, pa.string()), pa.array(segments, pa.list_(pa.string()))],
-                names=["doc_id", "state", "tail", "digest", "body", "segments"],
+                [part.column(0), pa.array(states, pa.int32()), pa.array(tails, pa.string()), pa.array(digests, pa.string()), pa.array(flat, pa.string()), pa.array(segments, pa.list_(pa.string()))],
+                names=["doc_id", "state", "tail", "digest", "flat", "segments"],
             )
 
 
@@ -205,28 +207,21 @@ def _ends(rows):
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(value, pa.string()), pa.array(follows, pa.string()), pa.array(part, pa.int32())], names=["kind", "value", "follows", "part"])
 
 
-def _prefixes(value: Column, longest: bool = False) -> Column:
-    """Hashes of the prefixes of a value whose lengths are powers of two; longest: of the longest one only."""
-    top = F.floor(F.log2(F.length(value).cast("double")) + 1e-9).cast("int")
-
-    def hashed(k: Column) -> Column:
-        return F.xxhash64(F.substring(value, F.lit(1), F.pow(F.lit(2.0), k).cast("int")), k)
-
-    return hashed(top) if longest else F.transform(F.sequence(F.lit(0), top), hashed)
+#: The hash of the prefix of 2**k characters, and the largest k of a value.
+_PREFIX, _LONGEST = "xxhash64(substring(value, 1, shiftleft(1, k)), k)", "cast(floor(log2(length(value)) + 1e-9) AS int)"
 
 
 def _near(values: DataFrame) -> DataFrame:
     """(value, asked): the asked-for values, and those that share a hashed prefix with one and are longer; each once."""
-    some = values.where("asked").select("value", _prefixes(F.col("value"), True).alias("p"), F.length("value").alias("n"))
-    wanted = some.groupBy("p").agg(F.min("n").alias("least"))
-    keyed = values.select("value", F.length("value").alias("n")).select(F.xxhash64("value").alias("h"), "n", F.explode(_prefixes(F.col("value"))).alias("p"))
+    some = values.where("asked").select("value").distinct()
+    wanted = written(some.selectExpr(f"{_LONGEST} AS k", "value").selectExpr(f"{_PREFIX} AS p", "length(value) AS n").groupBy("p").agg(F.min("n").alias("least")), "wanted")
+    keyed = values.selectExpr("value", f"explode(sequence(0, {_LONGEST})) AS k")
     if wanted.limit(ASKED + 1).count() <= ASKED:
-        wanted = F.broadcast(wanted)
-    longer = keyed.join(wanted, "p").where("n > least").select("h").distinct()
-    if longer.limit(ASKED + 1).count() <= ASKED:
-        longer = F.broadcast(longer)
-    others = values.withColumn("h", F.xxhash64("value")).join(longer, "h", "left_semi").select("value", "asked")
-    return others.union(some.select("value", F.lit(True).alias("asked"))).groupBy("value").agg(F.max("asked").alias("asked"))
+        longer = keyed.selectExpr("value", f"{_PREFIX} AS p").join(F.broadcast(wanted), "p").where("length(value) > least").select("value")
+    else:
+        found = keyed.selectExpr("xxhash64(value) AS h", "length(value) AS n", f"{_PREFIX} AS p").join(wanted, "p").where("n > least").select("h").distinct()
+        longer = values.withColumn("h", F.xxhash64("value")).join(found, "h", "left_semi").select("value")
+    return longer.select("value", F.lit(False).alias("asked")).union(some.select("value", F.lit(True).alias("asked"))).groupBy("value").agg(F.max("asked").alias("asked"))
 
 
 def strict_prefixes(values: DataFrame, value: str = "value", asked: str = "asked") -> DataFrame:
@@ -253,11 +248,6 @@ def _word(char: Column) -> Column:
     return char.rlike(r"[\p{L}\p{N}\p{M}]")
 
 
-def _flat(text: str) -> Column:
-    """Line ends as the last character in order: of several longer values one that goes on within the line comes first."""
-    return F.translate(text, "\r\n", _LINE_END * 2)
-
-
 def cut_documents(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, state, tail, longer_copy, goes_on, cut, way) of every document.
 
@@ -268,12 +258,11 @@ def cut_documents(documents: DataFrame, key: str = "doc_id", text: str = "text")
     """
     docs = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     # each text is read once; what follows reads the narrow columns it needs
-    judged = written(docs.mapInArrow(_judge, "doc_id long, state int, tail string, digest string, body string, segments array<string>"), "endings")
+    judged = written(docs.mapInArrow(_judge, "doc_id long, state int, tail string, digest string, flat string, segments array<string>"), "endings")
     # whole texts; a whole end can't go on within a word or a sentence
-    flat = judged.where("body IS NOT NULL").select(_flat("body").alias("value"), (F.col("state") != WHOLE).alias("asked"))
-    longer = strict_prefixes(flat).where(F.col("follows") != _LINE_END)
-    copies = longer.select(F.md5(F.encode("value", "UTF-8")).alias("flat")).distinct()
-    copied = judged.where(F.col("state") != WHOLE).withColumn("flat", F.md5(F.encode(_flat("body"), "UTF-8"))).join(copies, "flat", "left_semi").select("doc_id").distinct().withColumn("longer_copy", F.lit(True))
+    texts = judged.where("flat IS NOT NULL").select(F.col("flat").alias("value"), (F.col("state") != WHOLE).alias("asked"))
+    copies = strict_prefixes(texts).where(F.col("follows") != _LINE_END).select(F.md5(F.encode("value", "UTF-8")).alias("digest")).distinct()
+    copied = judged.where(F.col("state") != WHOLE).join(copies, "digest", "left_semi").select("doc_id").distinct().withColumn("longer_copy", F.lit(True))
     # closing segments that don't end, against all segments
     open_ = judged.where(F.col("state").isin(OPEN, DOUBT, ALONE) & (F.length("tail") > 0)).select("doc_id", "state", F.col("tail").alias("value"), "digest")
     segments = judged.select(F.explode("segments").alias("value"), F.lit(False).alias("asked"))
