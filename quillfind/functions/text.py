@@ -20,8 +20,8 @@ EXTENSIONS = {
     "mp3": "audio/mpeg", "mp4": "video/mp4", "eml": "message/rfc822", "ics": "text/calendar", "vcf": "text/vcard",
 }
 
-#: Extensions of source code, read as plain text.
-CODE = ("c", "cc", "cpp", "cs", "css", "go", "h", "hpp", "java", "js", "kt", "lua", "php", "pl", "py", "rb", "rs", "scala", "sh", "sql", "swift", "ts", "tsx")
+#: Extensions of source code and settings, read as plain text.
+CODE = ("bash", "c", "canvas", "cc", "cfg", "conf", "cpp", "cs", "css", "env", "fish", "go", "h", "hpp", "ini", "java", "js", "jsx", "kt", "lock", "lua", "php", "pl", "py", "rb", "rs", "scala", "sh", "sql", "swift", "ts", "tsx", "zsh")
 
 #: Structured types that are text all the same.
 TEXTUAL = ("application/json", "application/xml", "application/yaml", "application/toml", "application/javascript", "application/x-sh", "application/sql", "application/rtf", "message/rfc822")

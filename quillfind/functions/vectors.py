@@ -49,21 +49,35 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
+def hashed_vectors(texts: list, dims: int) -> np.ndarray:
+    """(text, dimension): tokens by FNV-1a: the remainder gives the dimension, bit 32 the sign; length one, or zero without a token.
+
+    Each distinct token is hashed once.
+    """
+    at: dict[str, int] = {}
+    owner, token = [], []
+    for i, text in enumerate(texts):
+        for w in re.findall(r"[^\W_]+", (text or "").lower()):
+            owner.append(i)
+            token.append(at.setdefault(w, len(at)))
+    hashes = np.fromiter((fnv1a(w.encode("utf-8", "replace")) for w in at), np.uint64, len(at))
+    place, sign = (hashes % np.uint64(dims)).astype(np.int64), 1.0 - 2.0 * ((hashes >> np.uint64(32)) & np.uint64(1)).astype(np.float64)
+    owner, token = np.array(owner, np.int64), np.array(token, np.int64)
+    v = np.bincount(owner * dims + place[token], sign[token], len(texts) * dims).reshape(len(texts), dims) if len(owner) else np.zeros((len(texts), dims))
+    size = np.linalg.norm(v, axis=1, keepdims=True)
+    return v / np.where(size > 0, size, 1)
+
+
 def hashed_vector(text: str | None, dims: int) -> np.ndarray:
-    """Tokens by FNV-1a: the remainder gives the dimension, bit 32 the sign; length one, or zero without a token."""
-    v = np.zeros(dims, np.float64)
-    for token in re.findall(r"[^\W_]+", (text or "").lower()):
-        h = fnv1a(token.encode())
-        v[h % dims] += -1.0 if h >> 32 & 1 else 1.0
-    size = np.linalg.norm(v)
-    return v / size if size else v
+    return hashed_vectors([text], dims)[0]
 
 
 def hashed_embedding(c: Column, dims: int = 256) -> Column:
     """The hashed embedding of a text, in Arrow batches."""
 
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([hashed_vector(t, dims).astype(np.float32) for t in texts])
+        # a few texts at a time: the vectors of a batch are dense
+        return pd.Series([v for at in range(0, len(texts), 1024) for v in hashed_vectors(list(texts.iloc[at : at + 1024]), dims).astype(np.float32)], dtype=object)
 
     return F.pandas_udf(run, "array<float>")(c)
 

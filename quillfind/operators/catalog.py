@@ -191,14 +191,16 @@ def upsert(stored: DataFrame, seen: DataFrame, remote: bool = False) -> DataFram
 
     change is new, updated, touched (only `observed` differs) or kept; new, updated and
     touched rows take the seen values, and the first two are to be indexed anew. A remote
-    upsert never overwrites a row of our own.
+    upsert updates rows that are themselves remote, and never a row of our own: one whose
+    `origin` in the stored table is null, or all of them where it has no such column.
     """
     fields = ("content_type", "modified", "raw_bytes")
     cols = ["host", "locator", *fields, "observed", "indexed"]
-    old = stored.select("host", "locator", *(F.col(c).alias(f"_{c}") for c in (*fields, "observed", "indexed")), F.lit(True).alias("_old"))
+    owner = F.col("origin") if "origin" in stored.columns else F.lit(None).cast("string")
+    old = stored.select("host", "locator", *(F.col(c).alias(f"_{c}") for c in (*fields, "observed", "indexed")), owner.alias("_origin"), F.lit(True).alias("_old"))
     both = seen.select(*cols).withColumn("_new", F.lit(True)).join(old, ["host", "locator"], "full_outer")
     same = reduce(lambda a, b: a & b, (F.col(f).eqNullSafe(F.col(f"_{f}")) for f in fields))
-    guarded = F.col("_old").isNotNull() if remote else F.lit(False)
+    guarded = F.col("_origin").isNull() if remote else F.lit(False)
     change = F.when(F.col("_new").isNull() | (guarded & F.col("_old").isNotNull()), "kept").when(F.col("_old").isNull(), "new").when(~same, "updated").when(F.col("observed").eqNullSafe(F.col("_observed")), "kept").otherwise("touched")
     taken = F.col("change").isin("new", "updated", "touched")
     values = [F.when(taken, F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in (*fields, "observed")]
@@ -243,6 +245,22 @@ def relink(fragments: DataFrame, sources: DataFrame) -> DataFrame:
     return entries.join(roots, "address").select("src", F.lit("contains").alias("kind"), "dst")
 
 
+def report(decisions: DataFrame) -> DataFrame:
+    """(host, seen, skipped, catalogued, deep): what an index run does with the sources of each host; decisions as `dirty` gives them."""
+    of = lambda d: F.count_if(F.col("decision") == d)
+    return decisions.groupBy("host").agg(F.count("*").alias("seen"), of("skip").alias("skipped"), of("catalog").alias("catalogued"), of("deep").alias("deep"))
+
+
+def content_page(fragments: DataFrame, after: int, limit: int) -> DataFrame:
+    """(id, source, text) of content fragments past `after`, in the order of ids, `limit` of them: one page, by its key.
+
+    Derived and keyed fragments are no content. Only the rows past the key are read on, and
+    each task keeps its own first `limit`.
+    """
+    content = fragments.where(F.col("source").isNotNull() & (F.length(F.trim("text")) > 0) & ~F.coalesce(F.col("mimetype").startswith(X.DERIVED), F.lit(False)))
+    return content.where(F.col("id") > after).select("id", "source", "text").orderBy("id").limit(limit)
+
+
 def insert_ignore(cache: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """The rows that a cache doesn't hold yet, one per key (the least): what is to be appended."""
     values = [c for c in rows.columns if c not in keys]

@@ -5,19 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillfind.functions.session import cut
 from quillfind.operators import graph as G
 from quillfind.operators import search as S
 
+#: Least cosine of a row and of a cluster, and clusters of a query.
+VECTOR_FLOOR, CLUSTER_FLOOR, CLUSTERS_EACH = 0.25, 0.55, 3
 
-def seed_lists(rows: DataFrame, queries: DataFrame, vocabulary: DataFrame | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, k: int = S.SEEDS) -> DataFrame:
-    """(query_id, channel, id, rank): the ranked lists of every channel that has its tables."""
+
+def seed_lists(
+    rows: DataFrame, queries: DataFrame, vocabulary: DataFrame | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, clusters: DataFrame | None = None, k: int = S.SEEDS
+) -> DataFrame:
+    """(query_id, channel, id, rank): the ranked lists of every channel that has its tables.
+
+    prose and lexical from the rows, exact from the vocabulary, vector from (id, vector) of
+    the rows, cluster from (id, vector) of the clusters and the vocabulary's members.
+    """
     lists = S.by_role(rows, queries, k).select("query_id", "channel", "id", "rank")
     if vocabulary is not None:
         exact = S.exact_grounding(queries, vocabulary).select("query_id", F.lit("exact").alias("channel"), F.col("fragment").alias("id"), "rank")
         lists = lists.union(exact)
     if vectors is not None and query_vectors is not None:
-        near = S.nearest_rows(query_vectors, vectors, k, 0.25).select("query_id", F.lit("vector").alias("channel"), "id", "rank")
+        near = S.nearest_rows(query_vectors, vectors, k, VECTOR_FLOOR).select("query_id", F.lit("vector").alias("channel"), "id", "rank")
         lists = lists.union(near)
+    if clusters is not None and query_vectors is not None and vocabulary is not None:
+        matched = S.nearest_rows(query_vectors, clusters, CLUSTERS_EACH, CLUSTER_FLOOR)
+        members = S.cluster_members(matched, vocabulary).select("query_id", F.lit("cluster").alias("channel"), F.col("fragment").alias("id"), "rank")
+        lists = lists.union(members)
     return S.gate(lists)
 
 
@@ -37,7 +51,8 @@ def ledger(lists: DataFrame, relations: DataFrame, hops: int = 2, hub: int = G.H
     seeds = fused_by_channel(lists)
     starts = seeds.select("query_id", F.concat(F.lit("f"), F.col("id").cast("string")).alias("id"), "channel", "weight")
     edges = G.neighbourhood(relations, starts.select("query_id", "id"), hops, hub)
-    mass = G.walk(G.build(edges), starts).where(F.col("id").startswith("f"))
+    starts = cut(starts)
+    mass = G.walked(cut(G.build(edges)), starts).where(F.col("id").startswith("f"))
     walked = mass.select("query_id", F.substring("id", 2, 20).cast("long").alias("id"), "channel", F.col("mass").alias("walked"))
     return seeds.withColumnRenamed("weight", "seed").join(walked, ["query_id", "id", "channel"], "full_outer").select("query_id", "id", "channel", F.coalesce("seed", F.lit(0.0)).alias("seed"), F.coalesce("walked", F.lit(0.0)).alias("walked"))
 

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from quillfind.functions.session import cut
 
-#: Hops at most, degree from which a vertex is a hub, damping, rounds, and the change at which the walk rests.
-MAX_HOPS, HUB, DAMPING, ROUNDS, REST = 4, 500, 0.5, 12, 1e-6
+#: Hops at most, degree from which a vertex is a hub, damping, and rounds of the walk.
+MAX_HOPS, HUB, DAMPING, ROUNDS = 4, 500, 0.5, 12
 #: How well a kind of relation conducts, and one that isn't named.
 KIND_WEIGHTS = {"contains": 1.0, "derives": 1.0, "mentions": 0.5, "links-to": 0.7, "resolves-to": 0.7, "authored": 0.5, "faceted": 0.3, "aliases": 0.8, "transcribes": 1.0}
 OTHER_KIND = 0.5
-#: Edges of one query up to which its walk is one task; larger ones are walked by joins.
-SLICE = 20_000
+#: Edges of one query up to which its walk is one task; larger ones are walked by joins, with the same result.
+SLICE = 200_000
 
 
 def touching(relations: DataFrame, ids: DataFrame) -> DataFrame:
@@ -83,8 +83,8 @@ def build(edges: DataFrame, weights: dict[str, float] = KIND_WEIGHTS, vertex: Da
     return both.where("weight > 0").groupBy("query_id", "src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def walk_kernel(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, restart: np.ndarray, total: np.ndarray, damping: float, rounds: int, rest: float) -> np.ndarray:
-    """Mass of each vertex (row) and channel (column). `total` is the restart that mass without a way out returns to."""
+def walk_kernel(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, restart: np.ndarray, damping: float, rounds: int) -> np.ndarray:
+    """Mass of each vertex (row) and channel (column). What a channel loses at vertices without a way out returns by its own restart."""
     n = len(restart)
     out = np.bincount(src, weight, n)
     share = weight / out[src] if len(src) else weight
@@ -93,21 +93,15 @@ def walk_kernel(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, restart: n
         spread = np.zeros_like(p)
         for c in range(p.shape[1]):
             spread[:, c] = np.bincount(dst, p[src, c] * share, n)
-        lost = p[out == 0].sum(0)
-        q = (1 - damping) * restart + damping * (spread + total[:, None] * lost[None])
-        moved = np.abs(q - p).sum()
-        p = q
-        if moved < rest:
-            break
+        p = (1 - damping) * restart + damping * (spread + p[out == 0].sum(0)[None] * restart)
     return p
 
 
-def walk(graph: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, rest: float = REST) -> DataFrame:
+def walk(graph: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """(query_id, id, channel, mass) of the queries, each walked in one task.
 
     seeds: (query_id, id, channel, weight). The weights of a query are scaled to one over
-    all its channels, so the channels of a vertex add up to the plain walk, and each channel
-    gives its lost mass back to all seeds alike. Queries without seeds have no mass.
+    all its channels. All rounds are run, whatever the size. Queries without seeds have no mass.
     """
     seeds = seeds.select(*(F.col(c).alias(c) for c in ("query_id", "id", "channel", "weight")))  # fresh columns: both sides may share a plan
     q = seeds.schema["query_id"].dataType.simpleString()
@@ -117,13 +111,13 @@ def walk(graph: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: i
         starts = starts[starts["weight"] > 0]
         if not len(starts):
             return pd.DataFrame({"query_id": [], "id": [], "channel": [], "mass": []})
-        names, at = np.unique(np.concatenate([edges["src"], edges["dst"], starts["id"]]), return_inverse=True)
         m = len(edges)
+        at, names = pd.factorize(np.concatenate([edges["src"], edges["dst"], starts["id"]]))
         channels = sorted(starts["channel"].unique())
         restart = np.zeros((len(names), len(channels)))
         np.add.at(restart, (at[2 * m :], [channels.index(c) for c in starts["channel"]]), starts["weight"].to_numpy(float))
         restart /= restart.sum()
-        p = walk_kernel(at[:m], at[m : 2 * m], edges["weight"].to_numpy(float), restart, restart.sum(1), damping, rounds, rest)
+        p = walk_kernel(at[:m], at[m : 2 * m], edges["weight"].to_numpy(float), restart, damping, rounds)
         v, c = np.nonzero(p)
         return pd.DataFrame({"query_id": starts["query_id"].iloc[0], "id": names[v], "channel": [channels[k] for k in c], "mass": p[v, c]})
 
@@ -131,12 +125,11 @@ def walk(graph: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: i
 
 
 def walk_large(graph: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, every: int = 2) -> DataFrame:
-    """The same by joins: for graphs that fit no task. Runs all rounds; lineage is cut every few of them."""
+    """The same by joins: for graphs that fit no task. Lineage is cut every few rounds."""
     scale = seeds.where("weight > 0").groupBy("query_id").agg(F.sum("weight").alias("_t"))
     # what every round reads again is written once
     restart = cut(seeds.where("weight > 0").join(scale, "query_id").groupBy("query_id", "id", "channel").agg(F.sum(F.col("weight") / F.col("_t")).alias("r")))
     graph = cut(graph.select("query_id", "src", "dst", "weight"))
-    total = restart.groupBy("query_id", "id").agg(F.sum("r").alias("total"))
     out = graph.groupBy("query_id", "src").agg(F.sum("weight").alias("_out"))
     share = cut(graph.join(out, ["query_id", "src"]).select("query_id", F.col("src").alias("id"), "dst", (F.col("weight") / F.col("_out")).alias("share")))
     leaving = cut(out.select("query_id", F.col("src").alias("id"), F.lit(True).alias("_leaves")))
@@ -144,7 +137,7 @@ def walk_large(graph: DataFrame, seeds: DataFrame, damping: float = DAMPING, rou
     for k in range(1, rounds + 1):
         spread = p.join(share, ["query_id", "id"]).select("query_id", F.col("dst").alias("id"), "channel", (F.col("mass") * F.col("share") * damping).alias("mass"))
         lost = p.join(leaving, ["query_id", "id"], "left").where("_leaves IS NULL").groupBy("query_id", "channel").agg(F.sum("mass").alias("_lost"))
-        back = total.join(lost, "query_id").select("query_id", "id", "channel", (F.col("total") * F.col("_lost") * damping).alias("mass"))
+        back = restart.join(lost, ["query_id", "channel"]).select("query_id", "id", "channel", (F.col("r") * F.col("_lost") * damping).alias("mass"))
         again = restart.select("query_id", "id", "channel", (F.col("r") * (1 - damping)).alias("mass"))
         p = spread.union(back).union(again).groupBy("query_id", "id", "channel").agg(F.sum("mass").alias("mass"))
         if k % every == 0:
@@ -152,14 +145,19 @@ def walk_large(graph: DataFrame, seeds: DataFrame, damping: float = DAMPING, rou
     return p
 
 
-def pagerank(graph: DataFrame, seeds: DataFrame, slice_edges: int = SLICE, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(query_id, id, mass): small graphs in one task each, those beyond `slice_edges` edges by joins."""
-    sizes = graph.groupBy("query_id").agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > slice_edges).select("query_id")
+def walked(graph: DataFrame, seeds: DataFrame, slice_edges: int = SLICE, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    """(query_id, id, channel, mass): small graphs in one task each, those beyond `slice_edges` edges by joins; the same either way."""
+    large = graph.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") > slice_edges).select("query_id")
+    if large.isEmpty():
+        return walk(graph, seeds, damping, rounds)
+    large = cut(large)
     out = walk(graph.join(large, "query_id", "left_anti"), seeds.join(large, "query_id", "left_anti"), damping, rounds)
-    if not large.isEmpty():
-        out = out.union(walk_large(graph.join(large, "query_id", "left_semi"), seeds.join(large, "query_id", "left_semi"), damping, rounds).select("query_id", "id", "channel", "mass"))
-    return out.groupBy("query_id", "id").agg(F.sum("mass").alias("mass"))
+    return out.union(walk_large(graph.join(large, "query_id", "left_semi"), seeds.join(large, "query_id", "left_semi"), damping, rounds).select("query_id", "id", "channel", "mass"))
+
+
+def pagerank(graph: DataFrame, seeds: DataFrame, slice_edges: int = SLICE, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+    """(query_id, id, mass) of all channels together."""
+    return walked(graph, seeds, slice_edges, damping, rounds).groupBy("query_id", "id").agg(F.sum("mass").alias("mass"))
 
 
 def arrivals(graph: DataFrame, mass: DataFrame, damping: float = DAMPING) -> DataFrame:
@@ -169,13 +167,17 @@ def arrivals(graph: DataFrame, mass: DataFrame, damping: float = DAMPING) -> Dat
     return flows.select("query_id", "src", "dst", (damping * F.col("mass") * F.col("weight") / F.col("_out")).alias("arrived"))
 
 
-def expand(relations: DataFrame, fragments: DataFrame, sources: DataFrame) -> DataFrame:
+def expand(relations: DataFrame, fragments: DataFrame, sources: DataFrame, hub: int = HUB) -> DataFrame:
     """(source, fragment, neighbour, kind, neighbour_source): edges of each source's fragments that lead to fragments of other sources.
 
-    The vertices are fragment ids here: two fragments are neighbours if they mention one value.
+    The vertices are fragment ids here: two fragments are neighbours if they mention one
+    value. Values of more than `hub` edges conduct nothing, so no value joins more than that
+    many fragments with each other.
     """
+    calm = without_hubs(relations, hub)
     owned = fragments.where("source IS NOT NULL").select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("v"), "source")
-    named = relations.join(owned.withColumnRenamed("v", "src"), "src").select("src", "source", "kind", "dst")
+    named = calm.join(owned.withColumnRenamed("v", "src"), "src").select("src", "source", "kind", "dst")
+    asked = named.join(sources.select(F.col("id").alias("source")), "source", "left_semi")
     other = named.select(F.col("src").alias("neighbour"), F.col("source").alias("neighbour_source"), "kind", "dst")
-    met = named.join(other, ["kind", "dst"]).where("source <> neighbour_source")
-    return met.join(sources.select(F.col("id").alias("source")), "source", "left_semi").select("source", F.col("src").alias("fragment"), "neighbour", "kind", "neighbour_source").distinct()
+    met = asked.join(other, ["kind", "dst"]).where("source <> neighbour_source")
+    return met.select("source", F.col("src").alias("fragment"), "neighbour", "kind", "neighbour_source").distinct()

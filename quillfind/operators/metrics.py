@@ -54,11 +54,25 @@ def attribution(entries: DataFrame, gold: DataFrame) -> DataFrame:
     return named.groupBy("channel", F.coalesce("hit", F.lit(False)).alias("hit")).agg(F.count("*").alias("n"), F.sum(F.col("seed") + F.col("walked")).alias("mass"))
 
 
-def phases(timed: DataFrame, phase: str, value: str) -> DataFrame:
-    """(phase, n, median, p95, most): p95 is the nearest rank."""
-    w = Window.partitionBy(phase).orderBy(value)
-    placed = timed.where(F.col(value).isNotNull()).select(F.col(phase).alias("phase"), F.col(value).alias("v"), F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy(phase)).alias("n"))
-    return placed.groupBy("phase").agg(
-        F.max("n").alias("n"), F.avg(F.when(F.col("i").isin(0) | (F.col("i") == F.floor((F.col("n") + 1) / 2)) | (F.col("i") == F.ceil((F.col("n") + 1) / 2)), F.col("v"))).alias("median"),
-        F.max(F.when(F.col("i") == F.ceil(0.95 * F.col("n")), F.col("v"))).alias("p95"), F.max("v").alias("most"),
-    )
+def phases(timed: DataFrame, phase: str, value: str, bins: int = 1024) -> DataFrame:
+    """(phase, n, median, p95, most): p95 is the nearest rank.
+
+    The values of a phase are counted in bins of equal width; only the bins that hold the
+    wanted ranks are put in order.
+    """
+    v = timed.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(phase).alias("phase"), F.col(value).alias("v"))
+    spans = v.groupBy(F.coalesce(F.col("phase").cast("string"), F.lit("")).alias("_p"), F.col("phase").isNull().alias("_null")).agg(F.count("*").alias("n"), F.min("v").alias("_lo"), F.max("v").alias("most"))
+    width = F.col("most") - F.col("_lo")
+    bin_ = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("_lo")) / width * bins), F.lit(bins - 1))).otherwise(F.lit(0)).alias("_bin")
+    placed = v.withColumn("_p", F.coalesce(F.col("phase").cast("string"), F.lit(""))).withColumn("_null", F.col("phase").isNull()).join(spans, ["_p", "_null"]).select("phase", "_p", "_null", "v", "n", "most", bin_)
+    keys = ["_p", "_null"]
+    counts = placed.groupBy(*keys, "_bin").agg(F.count("*").alias("_c"), F.max("n").alias("n"))
+    until = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_c")
+    wanted = F.array(F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2), F.ceil(0.95 * F.col("n")))
+    held = counts.withColumn("_until", until).where(F.exists(wanted, lambda r: (r > F.col("_until")) & (r <= F.col("_until") + F.col("_c")))).select(*keys, "_bin", "_until")
+    rank = F.col("_until") + F.row_number().over(Window.partitionBy(*keys, "_bin").orderBy("v"))
+    ranked = placed.join(held, [*keys, "_bin"]).withColumn("i", rank)
+    middle = (F.col("i") == F.floor((F.col("n") + 1) / 2)) | (F.col("i") == F.ceil((F.col("n") + 1) / 2))
+    return ranked.groupBy("phase").agg(
+        F.max("n").alias("n"), F.avg(F.when(middle, F.col("v"))).alias("median"), F.max(F.when(F.col("i") == F.ceil(0.95 * F.col("n")), F.col("v"))).alias("p95"), F.max("most").alias("most")
+    )

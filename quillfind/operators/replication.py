@@ -9,6 +9,8 @@ from quillfind.operators.changefeed import _withdraws, accepted
 
 #: Fixed value: entries of one delta at most.
 DELTA = 2000
+#: Seconds of a block of deliveries.
+BLOCK_SECS = 3600
 
 
 def entries(log: DataFrame) -> DataFrame:
@@ -57,14 +59,21 @@ def applied(log: DataFrame, order: str = "arrived") -> DataFrame:
 
     An entry is applied if the node lacks it: of a newer epoch than any before, or of the
     same epoch and beyond the sequence reached. A gap that is filled later is lost: the
-    position has moved on. The highest position before a row is a running maximum.
+    position has moved on. The highest position before a row is a running maximum, taken
+    within blocks of time and then over the blocks, so an origin is many groups.
     """
     whole = F.coalesce(F.length(F.trim("origin")) > 0, F.lit(False)) & F.coalesce(F.length(F.trim("key")) > 0, F.lit(False)) & F.coalesce(F.col("epoch") > 0, F.lit(False)) & F.coalesce(F.col("seq") > 0, F.lit(False))
-    w = Window.partitionBy("origin").orderBy(order, "epoch", "seq", "key", F.coalesce("tombstone", F.lit(False)), F.coalesce("record", F.lit(""))).rowsBetween(Window.unboundedPreceding, -1)
+    block = F.coalesce(F.floor(F.col(order).cast("double") / BLOCK_SECS), F.lit(-(1 << 40)))  # nulls come first
     place = F.when(F.col("_whole"), F.struct("epoch", "seq"))
-    told = log.withColumn("_whole", whole).withColumn("_at", F.max(place).over(w))
+    told = log.select("origin", "epoch", "seq", order, "key", F.coalesce("tombstone", F.lit(False)).alias("tombstone"), F.coalesce("record", F.lit("")).alias("record")).withColumn("_whole", whole).withColumn("_block", block)
+    tops = told.groupBy("origin", "_block").agg(F.max(place).alias("_top"))
+    earlier = Window.partitionBy("origin").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(F.coalesce("origin", F.lit("")).alias("_o"), F.col("origin").isNull().alias("_null"), "_block", F.max("_top").over(earlier).alias("_before"))
+    inside = Window.partitionBy("origin", "_block").orderBy(order, "epoch", "seq", "key", "tombstone", "record").rowsBetween(Window.unboundedPreceding, -1)
+    met = told.withColumn("_o", F.coalesce("origin", F.lit(""))).withColumn("_null", F.col("origin").isNull()).join(tops, ["_o", "_null", "_block"])
+    at = F.greatest("_before", F.max(place).over(inside))
     taken = F.col("_whole") & (F.col("_at").isNull() | (F.struct("epoch", "seq") > F.col("_at")))
-    return told.groupBy("origin").agg(F.count_if(taken).alias("applied"), F.count_if(F.col("_whole") & ~taken).alias("skipped"), F.count_if(~F.col("_whole")).alias("refused"))
+    return met.withColumn("_at", at).groupBy("origin").agg(F.count_if(taken).alias("applied"), F.count_if(F.col("_whole") & ~taken).alias("skipped"), F.count_if(~F.col("_whole")).alias("refused"))
 
 
 def materialized(state: DataFrame) -> DataFrame:

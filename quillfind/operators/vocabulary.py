@@ -50,9 +50,11 @@ def matches(documents: DataFrame, vocabulary: DataFrame, key: str = "doc_id", te
     grams = documents.select(F.col(key).alias("id"), F.explode(ngrams(F.transform(X.vocabulary_tokens(F.col(text)), lambda w: F.lower(w)), 1, most)).alias("g")).select("id", F.col("g.gram").alias("spelling"))
     known = vocabulary.select(X.normalize_spelling(F.col("normalized")).alias("spelling")).distinct()
     found = grams.join(known, "spelling", "left_semi")
+    df = found.groupBy("spelling").agg(F.count("*").alias("df"))
+    # each task keeps its own first ones of a spelling before they are brought together
     w = Window.partitionBy("spelling").orderBy("id")
-    first = found.withColumn("_k", F.row_number().over(w))
-    return first.groupBy("spelling").agg(F.count("*").alias("df"), F.array_sort(F.collect_list(F.when(F.col("_k") <= SAMPLES, F.col("id")))).alias("samples"))
+    first = found.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= SAMPLES)
+    return first.groupBy("spelling").agg(F.array_sort(F.collect_list("id")).alias("samples")).join(df, "spelling").select("spelling", "df", "samples")
 
 
 def recounted(vocabulary: DataFrame) -> DataFrame:
@@ -80,12 +82,13 @@ def cluster_text(vocabulary: DataFrame, most: int = 64) -> DataFrame:
 
 
 def clustered(terms: DataFrame, sightings: DataFrame) -> DataFrame:
-    """(term, cluster): greedy clusters of co-occurring terms.
+    """(term, cluster): greedy clusters of co-occurring terms; a term that finds no room has none.
 
     terms: (term, df); sightings: (term, source), at most 256 sources a term. In the order of
     df and spelling a term joins the cluster seen in the largest share, of half at least, of
-    its sources that has room; else it founds one, up to 10,000. The order is sequential by
-    nature: one task, over a table bounded by the band and the samples.
+    its sources that has room; else it founds one, up to 10,000; a source remembers 32 of
+    its clusters. Each choice depends on all before it, so this is one task; its rows are the
+    terms of the band, which grow with the corpus, with a sample of each.
     """
     w = Window.partitionBy("term").orderBy("source")
     sampled = sightings.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= SAMPLES)
@@ -108,6 +111,7 @@ def clustered(terms: DataFrame, sightings: DataFrame) -> DataFrame:
                 cluster = len(sizes)
                 sizes.append(0)
             else:
+                out.append((term, None))
                 continue
             sizes[cluster] += 1
             out.append((term, cluster))
@@ -115,17 +119,47 @@ def clustered(terms: DataFrame, sightings: DataFrame) -> DataFrame:
                 held = seen.setdefault(s, [])
                 if cluster not in held and len(held) < 32:
                     held.append(cluster)
-        return pd.DataFrame(out, columns=["term", "cluster"])
+        return pd.DataFrame({"term": [t for t, _ in out], "cluster": pd.array([c for _, c in out], "Int32")})
 
     return rows.groupBy("_one").applyInPandas(run, "term string, cluster int")
 
 
-def facets(documents: DataFrame) -> DataFrame:
-    """(key, kind, relation, source): authors as people, everything else of the envelope as facets."""
-    pair = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), X.normalize_spelling(F.col(c)).alias("v")) for k, c in (("lang", "lang"), ("source", "source"), ("host", "host")))))
-    rows = documents.select(F.col("doc_id").alias("source_id"), pair.alias("p")).where("p.v IS NOT NULL AND p.v <> ''")
-    person = F.col("p.k") == "author"
-    return rows.select(F.when(person, F.concat(F.lit("entity:person:"), F.col("p.v"))).otherwise(F.concat(F.lit("facet:"), "p.k", F.lit(":"), "p.v")).alias("key"), F.when(person, "authored").otherwise("faceted").alias("relation"), F.col("source_id").alias("source"))
+def facets(documents: DataFrame, authors: DataFrame | None = None) -> DataFrame:
+    """(key, relation, source): authors as people, everything else of the envelope as facets.
+
+    authors: (doc_id, author), as the envelope names them.
+    """
+    pair = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), X.normalize_spelling(F.col(k)).alias("v")) for k in ("lang", "source", "host"))))
+    rows = documents.select(F.col("doc_id").alias("source_id"), pair.alias("p")).select("source_id", "p.k", "p.v")
+    if authors is not None:
+        rows = rows.union(authors.select(F.col("doc_id").alias("source_id"), F.lit("author").alias("k"), X.normalize_spelling(F.col("author")).alias("v")))
+    person = F.col("k") == "author"
+    return rows.where("v IS NOT NULL AND v <> ''").select(F.when(person, F.concat(F.lit("entity:person:"), F.col("v"))).otherwise(F.concat(F.lit("facet:"), "k", F.lit(":"), "v")).alias("key"), F.when(person, "authored").otherwise("faceted").alias("relation"), F.col("source_id").alias("source"))
+
+
+def display_spellings(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, spelling): how a mined term is shown: the spelling of the strongest shape, of these the one of most documents, of these the least."""
+    token = documents.select(F.col(key).alias("id"), F.explode(F.array_distinct(X.vocabulary_tokens(F.col(text)))).alias("token"))
+    shaped = token.withColumn("shape", X.shape_of(F.col("token"))).where("shape IS NOT NULL")
+    each = shaped.groupBy("token", "shape").agg(F.count("*").alias("n"))
+    return each.groupBy(F.lower("token").alias("term")).agg(F.min(F.struct("shape", (-F.col("n")).alias("n"), "token")).getField("token").alias("spelling"))
+
+
+def retracted(vocabulary: DataFrame, relations: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, relations) without the rows of `gone` (normalized): values that the band no longer names; relations lose every edge at them."""
+    values = gone.select(X.normalize_spelling(F.col("normalized")).alias("_v")).distinct()
+    kept = vocabulary.withColumn("_v", X.normalize_spelling(F.col("normalized"))).join(values, "_v", "left_anti").drop("_v")
+    ids = values.select(F.concat(F.lit("v"), "_v").alias("id"))
+    edges = relations.join(ids.withColumnRenamed("id", "src"), "src", "left_anti").join(ids.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "kind", "dst")
+    return kept, edges
+
+
+def without_mined_anchors(relations: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Relations without the mentions of values that were mined only: the full-text index is their anchor."""
+    value = X.normalize_spelling(F.col("normalized"))
+    by = vocabulary.where(F.length(value) > 0).groupBy(F.concat(F.lit("v"), value).alias("dst")).agg(F.bool_and(F.coalesce(F.col("origin") == "mined", F.lit(False))).alias("_mined"))
+    mined = by.where("_mined").select("dst", F.lit("mentions").alias("kind"))
+    return relations.join(mined, ["kind", "dst"], "left_anti").select("src", "kind", "dst")
 
 
 def merged_rows(relations: DataFrame, merges: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from quillfind.functions import dates as D
 from quillfind.functions import text as X
 from quillfind.functions import vectors as V
 from quillfind.operators import metrics as M
+from quillfind.operators import model
 from quillfind.operators import replication as R
 from quillfind.operators import search as S
 from quillfind.operators import vocabulary as Y
@@ -51,7 +52,7 @@ def _texts(s, d):
     t = F.col("text")
     return _t(s, d, "documents").select(
         "doc_id", X.truncate_chars(t, 40).alias("short"), X.preview(t, 80).alias("preview"), X.count_lines(t).alias("n_lines"), X.slice_lines(t, 2, 3).alias("lines_2_3"),
-        X.normalize_spelling(F.col("locator")).alias("spelling"), X.essence(F.col("mimetype")).alias("essence"), X.is_textual(F.col("mimetype")).alias("textual"), X.strip_links(F.substring("locator", 1, 50)).alias("unlinked"),
+        X.normalize_spelling(F.col("locator")).alias("spelling"), X.essence(F.col("mimetype")).alias("essence"), X.is_textual(F.col("mimetype")).alias("textual"), X.strip_links(t).alias("unlinked"),
     )
 
 
@@ -64,7 +65,10 @@ def queries() -> dict:
         "cluster_recount": lambda s, d: Y.recounted(_t(s, d, "vocabulary_rows")),
         "cluster_text": lambda s, d: Y.cluster_text(_t(s, d, "vocabulary_rows")),
         "clustering": lambda s, d: Y.clustered(*_terms(s, d)),
-        "facet_planting": lambda s, d: Y.facets(_t(s, d, "documents")),
+        "facet_planting": lambda s, d: Y.facets(_t(s, d, "documents"), _authors(s, d)),
+        "display_spelling": lambda s, d: Y.display_spellings(_t(s, d, "documents")),
+        "vocabulary_retract": lambda s, d: Y.retracted(_t(s, d, "vocabulary_rows"), _relations(s, d), _rare(s, d))[1],
+        "mined_anchor_drop": lambda s, d: Y.without_mined_anchors(_relations(s, d), _t(s, d, "vocabulary_rows")),
         "log_compact": lambda s, d: R.compacted(_log(s, d)),
         "log_positions": lambda s, d: R.positions(_log(s, d)),
         "log_counts": lambda s, d: R.counts(_log(s, d)),
@@ -83,6 +87,22 @@ def queries() -> dict:
     }
 
 
+def _authors(s, d):
+    """Who a mail is from, by its header."""
+    sender = X.sender_name(F.regexp_extract("text", r"^From: ([^\r\n]*)", 1))
+    return _t(s, d, "documents").where("mimetype LIKE 'message/rfc822%' AND text LIKE 'From: %'").select("doc_id", sender.alias("author"))
+
+
+def _relations(s, d):
+    return model.relations_of(_t(s, d, "fragments"), _t(s, d, "vocabulary_rows"))
+
+
+def _rare(s, d):
+    """Values of less than three fragments: below the band."""
+    rows = _t(s, d, "vocabulary_rows").select(X.normalize_spelling(F.col("normalized")).alias("normalized"), "fragment").where("normalized <> ''").distinct()
+    return rows.groupBy("normalized").agg(F.count("*").alias("n")).where("n < 3")
+
+
 def _terms(s, d):
     rows = _t(s, d, "vocabulary_rows").select(X.normalize_spelling(F.col("normalized")).alias("term"), F.col("fragment").alias("source")).where("term <> ''").distinct()
     terms = rows.groupBy("term").agg(F.count("*").alias("df")).where("df >= 3")
@@ -96,6 +116,8 @@ def oracle_sql() -> dict[str, str]:
     tokens = """list_filter(list_transform(string_split_regex(text, '[\\s,;:!?()\\[\\]{}<>"“”|=+*&^%$#@~`\\\\]+'), lambda w: regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')), lambda w: w <> '' AND length(w) <= 64)"""
     mined = f"""tok AS (SELECT doc_id AS id, unnest(list_distinct({tokens})) AS token FROM documents), shp AS (SELECT id, token, {shape} AS shape FROM tok),
  once AS (SELECT lower(token) AS term, id, min(shape) AS shape FROM shp WHERE shape IS NOT NULL GROUP BY 1, 2), mined AS (SELECT term, min(shape) AS shape, count(*) AS df FROM once GROUP BY term)"""
+    rel = f"""val AS (SELECT DISTINCT fragment, lower(trim(regexp_replace(normalized, '{SPACES}', ' ', 'g'))) AS v FROM vocabulary_rows),
+ rel AS (SELECT 's' || source AS src, 'contains' AS kind, 'f' || id AS dst FROM fragments WHERE source IS NOT NULL UNION ALL SELECT 'f' || fragment, 'mentions', 'v' || v FROM val WHERE length(v) > 0)"""
     acc = "acc AS (SELECT * FROM sync_log WHERE regexp_matches(origin, '\\S') AND regexp_matches(key, '\\S') AND epoch > 0 AND seq > 0)"
     old = "oldv AS (SELECT origin, epoch AS e, max(seq) AS s FROM acc WHERE arrived < '2026-06-15' AND (origin, epoch) IN (SELECT (origin, max(epoch)) FROM acc WHERE arrived < '2026-06-15' GROUP BY origin) GROUP BY 1, 2)"
     vals = f"vals AS (SELECT DISTINCT cluster_id, fragment, lower(trim(regexp_replace(normalized, '{SPACES}', ' ', 'g'))) AS v FROM vocabulary_rows WHERE cluster_id IS NOT NULL AND normalized IS NOT NULL)"
@@ -115,8 +137,25 @@ def oracle_sql() -> dict[str, str]:
  SELECT spelling, count(*) AS df, list(doc_id ORDER BY doc_id) FILTER (WHERE k <= 256) AS samples FROM f GROUP BY spelling""",
         "vocabulary_counts": "SELECT kind, count(*) AS n, count(cluster_id) AS clustered, count(gloss) AS glossed FROM vocabulary_rows GROUP BY kind",
         "cluster_recount": f"WITH {vals}, e AS (SELECT cluster_id, v, count(*) AS df, min(fragment) AS low FROM vals WHERE v <> '' GROUP BY 1, 2) SELECT cluster_id, count(*) AS members, CAST(sum(df) AS BIGINT) AS document_frequency, arg_min(v, struct_pack(a := -df, b := low, c := v)) AS label FROM e GROUP BY cluster_id",
-        "facet_planting": f"""WITH p AS (SELECT doc_id, k, lower(trim(regexp_replace(v, '{SPACES}', ' ', 'g'))) AS v FROM (SELECT doc_id, 'lang' AS k, lang AS v FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents UNION ALL SELECT doc_id, 'host', host FROM documents))
- SELECT 'facet:' || k || ':' || v AS key, 'faceted' AS relation, doc_id AS source FROM p WHERE v <> ''""",
+        "facet_planting": f"""WITH p AS (SELECT doc_id, k, lower(trim(regexp_replace(v, '{SPACES}', ' ', 'g'))) AS v FROM (SELECT doc_id, 'lang' AS k, lang AS v FROM documents UNION ALL SELECT doc_id, 'source', source FROM documents UNION ALL SELECT doc_id, 'host', host FROM documents
+   UNION ALL SELECT doc_id, 'author', CASE WHEN length(trim(regexp_extract(f, '^([^<]*)<[^>]*>', 1), ' ')) > 0 THEN regexp_replace(trim(regexp_extract(f, '^([^<]*)<[^>]*>', 1), ' '), '^"|"$', '', 'g') ELSE trim(regexp_replace(f, '[<>]', '', 'g'), ' ') END
+     FROM (SELECT doc_id, regexp_extract(text, '^From: ([^\r\n]*)', 1) AS f FROM documents WHERE mimetype LIKE 'message/rfc822%' AND text LIKE 'From: %')))
+ SELECT CASE k WHEN 'author' THEN 'entity:person:' || v ELSE 'facet:' || k || ':' || v END AS key, CASE k WHEN 'author' THEN 'authored' ELSE 'faceted' END AS relation, doc_id AS source FROM p WHERE v <> ''""",
+        "display_spelling": f"""WITH {mined}, e AS (SELECT lower(token) AS term, token, shape, count(*) AS n FROM shp WHERE shape IS NOT NULL GROUP BY 1, 2, 3)
+ SELECT term, token AS spelling FROM e QUALIFY row_number() OVER (PARTITION BY term ORDER BY shape, n DESC, token COLLATE "C") = 1""",
+        "vocabulary_retract": f"""WITH {rel}, rare AS (SELECT 'v' || v AS id FROM val WHERE v <> '' GROUP BY v HAVING count(*) < 3) SELECT src, kind, dst FROM rel WHERE src NOT IN (SELECT id FROM rare) AND dst NOT IN (SELECT id FROM rare)""",
+        "mined_anchor_drop": f"""WITH {rel}, m AS (SELECT 'v' || lower(trim(regexp_replace(normalized, '{SPACES}', ' ', 'g'))) AS id FROM vocabulary_rows WHERE normalized IS NOT NULL GROUP BY 1 HAVING bool_and(coalesce(origin = 'mined', false)))
+ SELECT src, kind, dst FROM rel WHERE kind <> 'mentions' OR dst NOT IN (SELECT id FROM m)""",
+        "hashed_embedding": """WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS t FROM documents WHERE text IS NOT NULL),
+ fnv AS MATERIALIZED (SELECT t, list_reduce(list_concat([14695981039346656037::HUGEINT], list_transform(range(octet_length(encode(t))), lambda i: ('0x' || substr(hex(encode(t)), CAST(2 * i + 1 AS INTEGER), 2))::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS h FROM (SELECT DISTINCT t FROM tok)),
+ c AS (SELECT doc_id, CAST(h % 64 AS INTEGER) AS dim, sum(CASE WHEN (h // 4294967296) % 2 = 1 THEN -1 ELSE 1 END) AS x FROM tok JOIN fnv USING (t) GROUP BY 1, 2),
+ z AS (SELECT doc_id, CASE WHEN sum(x * x) > 0 THEN sqrt(sum(x * x)) ELSE 1 END AS size FROM c GROUP BY doc_id),
+ g AS (SELECT doc_id, dim FROM documents, (SELECT unnest(generate_series(0, 63)) AS dim) WHERE text IS NOT NULL)
+ SELECT doc_id, list(CAST(coalesce(x / size, 0) AS FLOAT) ORDER BY dim) AS vector FROM g LEFT JOIN c USING (doc_id, dim) LEFT JOIN z USING (doc_id) GROUP BY doc_id""",
+        "cluster_text": f"""WITH r AS (SELECT cluster_id, fragment, gloss, lower(trim(regexp_replace(normalized, '{SPACES}', ' ', 'g'))) AS v FROM vocabulary_rows WHERE cluster_id IS NOT NULL AND normalized IS NOT NULL),
+ e AS (SELECT cluster_id, v, count(DISTINCT fragment) AS df, max(gloss COLLATE "C") AS gloss FROM r WHERE v <> '' GROUP BY 1, 2),
+ t AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY df DESC, v COLLATE "C") AS k FROM e)
+ SELECT cluster_id, string_agg(CASE WHEN gloss IS NULL THEN v ELSE v || ': ' || gloss END, ', ' ORDER BY k) AS text FROM t WHERE k <= 64 GROUP BY cluster_id""",
         "log_compact": f"WITH {acc} SELECT origin, epoch, key, max(seq) AS seq FROM acc GROUP BY 1, 2, 3",
         "log_positions": f"WITH {acc} SELECT origin, epoch, max(seq) AS seq FROM acc GROUP BY 1, 2",
         "log_counts": f"WITH {acc} SELECT origin, count(*) AS n FROM acc GROUP BY 1",
@@ -135,7 +174,7 @@ def oracle_sql() -> dict[str, str]:
         "phase_percentiles": "SELECT event_type AS phase, count(*) AS n, median(value) AS median, list_sort(list(value))[CAST(ceil(0.95 * count(*)) AS INT)] AS p95, max(value) AS most FROM events WHERE value IS NOT NULL GROUP BY 1",
         "text_functions": f"""SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE rtrim(substring(text, 1, 39), ' ') || '…' END AS short, CASE WHEN length({flat}) <= 80 THEN {flat} ELSE rtrim(substring({flat}, 1, 79), ' ') || '…' END AS preview,
  CAST(len({line}) AS INT) AS n_lines, CASE WHEN len({line}) >= 2 THEN array_to_string(list_transform(({line})[2:3], lambda x: regexp_replace(x, '\\r$', '')), chr(10)) END AS lines_2_3,
- lower(trim(regexp_replace(locator, '{SPACES}', ' ', 'g'))) AS spelling, lower(trim(string_split(mimetype, ';')[1])) AS essence, mimetype LIKE 'text/%' AS textual, substring(locator, 1, 50) AS unlinked FROM documents""",
+ lower(trim(regexp_replace(locator, '{SPACES}', ' ', 'g'))) AS spelling, lower(trim(string_split(mimetype, ';')[1])) AS essence, mimetype LIKE 'text/%' AS textual, regexp_replace(text, '\\[([^\\[\\]]*)\\]\\([^()\\s]*\\)', '\\1', 'g') AS unlinked FROM documents""",
         "shape_of": f"WITH t AS (SELECT DISTINCT normalized AS token FROM vocabulary_rows WHERE normalized IS NOT NULL) SELECT token, {shape} AS shape FROM t",
         "epoch_ymd": "SELECT doc_id, strftime(modified AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, CAST(epoch(date_trunc('day', modified AT TIME ZONE 'UTC')) AS BIGINT) AS midnight, CAST(floor(epoch(modified)) AS BIGINT) AS seconds FROM documents",
     }

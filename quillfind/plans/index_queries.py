@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillfind.functions import vectors as V
 from quillfind.operators import index as I
 from quillfind.operators import model
 from quillfind.operators import replication as R
@@ -14,13 +15,18 @@ def _t(s, d, name):
     return s.read.parquet(f"{d}/{name}.parquet")
 
 
+def _labelled(s, d):
+    """Clusters with the hashed embedding of their label in place of their vector."""
+    return _t(s, d, "clusters").where("length(label) > 0").select("id", V.hashed_embedding(F.col("label"), 64).alias("vector"), "member_count", "changed_sweep")
+
+
 def queries() -> dict:
     return {
         "adopt_keyed": lambda s, d: I.adopted(_t(s, d, "fragments"), _t(s, d, "vocabulary_rows")),
         "envelope_df": lambda s, d: I.document_frequencies(_t(s, d, "vocabulary_rows"), _t(s, d, "fragments")),
         "embedding_stage": lambda s, d: I.embedded(model.search_rows_of(_t(s, d, "fragments")), _t(s, d, "embedding_cache"), "hash-64", 64).select("id", "digest", "fresh", F.size("vector").alias("dims")),
         "stale_vectors": lambda s, d: I.stale_vectors(_t(s, d, "embedding_cache"), "hash-64", 64),
-        "cluster_merges": lambda s, d: I.merges(_t(s, d, "clusters"), 0),
+        "cluster_merges": lambda s, d: I.merges(_labelled(s, d), 0),
         "log_authority": lambda s, d: I.authorised(R.entries(_t(s, d, "sync_log"))).groupBy("kind", "allowed").agg(F.count("*").alias("n")),
         "log_hosts": lambda s, d: R.hosts_with_stewards(R.entries(_t(s, d, "sync_log")).where("NOT gone")).select("host", F.size("stewards").alias("n"), F.array_join("stewards", ",").alias("stewards")),
     }
