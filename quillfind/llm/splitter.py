@@ -71,21 +71,30 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
                 break
 
 
+#: Bytes of text put out at a time, besides a text's own.
+OUT_BYTES = 8 << 20
+
+
 def _split(limit: int, overlap: int):
+    def put(ids, numbers, texts, first, last):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string()), pa.array(first, pa.int64()), pa.array(last, pa.int64())],
+            names=["id", "piece_no", "text", "first_pos", "last_pos"],
+        )
+
     def run(batches):
         for batch in batches:
-            ids, numbers, texts, first, last = [], [], [], [], []
+            columns, size = ([], [], [], [], []), 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for k, (a, b, x, y) in enumerate(pieces(text, limit, overlap), 1):
-                    ids.append(key)
-                    numbers.append(k)
-                    texts.append(text[a:b])
-                    first.append(x)
-                    last.append(y)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string()), pa.array(first, pa.int64()), pa.array(last, pa.int64())],
-                names=["id", "piece_no", "text", "first_pos", "last_pos"],
-            )
+                    for column, value in zip(columns, (key, k, text[a:b], x, y)):
+                        column.append(value)
+                    size += y - x
+                    if size > OUT_BYTES:
+                        yield put(*columns)
+                        columns, size = ([], [], [], [], []), 0
+            if columns[0]:
+                yield put(*columns)
 
     return run
 
