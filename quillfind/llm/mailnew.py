@@ -276,16 +276,19 @@ def fingerprints(texts: list[str]) -> np.ndarray:
         for k in range(GRAM):
             total = (total + code[k : k + len(total)] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
             total ^= total >> np.uint64(29)
-        start = np.r_[0, np.cumsum(sizes[begin:end])[:-1]]
+        # n-grams over the edge of two texts belong to none
+        ends = np.cumsum(sizes[begin:end])
+        inside = np.ones(len(total), bool)
+        inside[(ends[:-1, None] - np.arange(1, GRAM)).ravel()] = False
+        total, count = total[inside], sizes[begin:end] - GRAM + 1
+        start = np.r_[0, np.cumsum(count)[:-1]]
         parts = np.empty((len(total), TABLES // 8), np.uint64)
         for k in range(TABLES // 8):
             mixed = (total + np.uint64(k + 1)) * np.uint64(0xBF58476D1CE4E5B9)
             mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             parts[:, k] = mixed ^ (mixed >> np.uint64(31))
         bits = np.unpackbits(parts.view(np.uint8), axis=1)
-        # n-grams over the edge of two texts count for the first; they are two, and of its own last letter
         ones = np.add.reduceat(bits, start, axis=0, dtype=np.int32)
-        count = np.diff(np.r_[start, len(total)])
         out[begin:end] = np.packbits(2 * ones > count[:, None], axis=1)
         begin = end
     return out

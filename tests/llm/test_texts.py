@@ -222,6 +222,37 @@ def test_near_copies_in_replies_to_others_and_in_notices(spark):
     assert {(i, n) for i, n in got if i >= 10} == {(10 + i, 6) for i in range(8)}
 
 
+def test_fingerprints():
+    """Equal texts are equal, a changed word turns few bits, other texts half of them; lengths and scripts of any kind."""
+    base = "The quarterly figures of the northern branch were sent to every member of the board yesterday."
+    texts = [base, base.replace("northern", "southern"), base.upper(), "Nobody reopened the roster while the greenhouse was being rebuilt, so we waited.", "x", "İstanbul é漢字", "\ud800", base * 5000]
+    bits = np.unpackbits(mailnew.fingerprints(texts), axis=1)
+    apart = lambda a, b: int((bits[a] != bits[b]).sum())
+    assert apart(0, 2) == 0 and apart(0, 1) < 32 < 45 < apart(0, 3) and bits.shape == (8, 8 * mailnew.TABLES)
+    assert (mailnew.fingerprints(texts[3:4]) == mailnew.fingerprints(texts)[3]).all() and len(mailnew.fingerprints([])) == 0
+    # near sentences share a table nearly always
+    rng = random.Random(2)
+    words = [f"{rng.choice('bcdfglmnprst')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice(['er', 'ing', 'ate', 'ion', ''])}" for _ in range(300)]
+    told = [" ".join(rng.choices(words, k=rng.randint(8, 20))) for _ in range(400)]
+    near = [t.replace(w, w + "s", 1) for t in told for w in [rng.choice(t.split())]]
+    a, b = mailnew.fingerprints(told), mailnew.fingerprints(near)
+    assert (a == b).any(1).mean() > 0.98
+
+
+def test_lines_by_origin(spark):
+    """A quoted sentence is found in the earlier mail, a notice by its recurrence; the grammar knows neither here."""
+    def mail(i, sender, to, day, subject, body):
+        return (i, f"From: <{sender}>\nTo: <{to}>\nSubject: {subject}\nDate: Thu, {day:02d} Jul 2026 07:00:00 +0000\n\n{body}", "message/rfc822")
+
+    notice = "Every word of this letter belongs to the house that sent it."
+    rows = [mail(1, "a@x", "b@x", 1, "figures", "The figures of the northern branch were sent to the board."), mail(2, "b@x", "a@x", 2, "Re: figures", "Thanks for that.\n\n> The figures of the northern branch were sent to the board.\n> Nobody ever said this one.")]
+    rows += [mail(10 + i, f"s{i % 4}@x", f"f{i}@x", 1 + i, f"subject {i}", f"Something new was said about number {i} today.\n\n{notice}") for i in range(9)]
+    got = {(r["id"], r["line_no"]): r["way"] for r in mailnew.body_lines_by_origin(spark.createDataFrame(rows, "id long, text string, mimetype string"), notices=False).collect()}
+    assert got[1, 6] == "new" and got[2, 6] == "new" and got[2, 8] == "inherited" and got[2, 9] == "old"
+    assert all(got[10 + i, 6] == "new" and got[10 + i, 8] == "boilerplate" for i in range(9))
+    assert set(got.values()) == {"new", "old", "inherited", "boilerplate"}
+
+
 # --- leaks
 
 
@@ -295,6 +326,9 @@ def test_cut_documents(spark):
     df = spark.createDataFrame([(i, t, None if i % 2 else "s", 1) for i, t in rows], "doc_id long, text string, source string, cut int")
     got = {r["doc_id"] for r in cuts.cut_documents(df).where("cut").collect()}
     assert got == {2, 11, 12, 17, 18, 20, 21, 22}
+    ways = {r["doc_id"]: r["way"] for r in cuts.cut_documents(df).where("cut").collect()}
+    assert ways[22] == "join" and ways[2] == "join" and ways[18] == "grammar"
+    assert cuts.split_mark("the report was" + "." * 500 + " [truncated] …\ufffd")[0] == "the report was" and cuts.split_mark("done [end]")[1] == ""
     share = {r["source"]: (r["documents"], r["cut"]) for r in cuts.share_by_source(df).collect()}
     assert share == {None: (13, 3), "s": (11, 5)}
     assert cuts.cut_documents(df.limit(0)).count() == 0
