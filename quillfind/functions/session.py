@@ -50,13 +50,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables this process has written, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to parquet in the shared folder and read it back: a columnar cut of the lineage."""
+    """Write to parquet in the shared folder and read it back: a columnar cut of the lineage. `forget` deletes it."""
     path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
+def forget(spark: SparkSession) -> int:
+    """Delete the tables written so far, once the results that read them have been taken; how many there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
+
+
 def small(df: DataFrame, limit: int) -> list | None:
     """All rows if there are at most `limit`, else None: the size check before a broadcast."""
     rows = df.limit(limit + 1).collect()

@@ -152,6 +152,11 @@ def oracle_sql() -> dict[str, str]:
  z AS (SELECT doc_id, CASE WHEN sum(x * x) > 0 THEN sqrt(sum(x * x)) ELSE 1 END AS size FROM c GROUP BY doc_id),
  g AS (SELECT doc_id, dim FROM documents, (SELECT unnest(generate_series(0, 63)) AS dim) WHERE text IS NOT NULL)
  SELECT doc_id, list(CAST(coalesce(x / size, 0) AS FLOAT) ORDER BY dim) AS vector FROM g LEFT JOIN c USING (doc_id, dim) LEFT JOIN z USING (doc_id) GROUP BY doc_id""",
+        "strip_html": r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?is)<!--.*?-->', ' ', 'g') AS t FROM documents WHERE mimetype = 'text/html'),
+ b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|blockquote|section|article|header|footer|pre|hr)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM a),
+ c AS (SELECT doc_id, replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS t FROM b),
+ d AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[ \t\r\f]+', ' ', 'g'), ' ?\n ?', chr(10), 'g') AS t FROM c)
+ SELECT doc_id, trim(regexp_replace(regexp_replace(t, '\n+', chr(10), 'g'), '^\n|\n$', '', 'g'), ' ') AS plain FROM d""",
         "cluster_text": f"""WITH r AS (SELECT cluster_id, fragment, gloss, lower(trim(regexp_replace(normalized, '{SPACES}', ' ', 'g'))) AS v FROM vocabulary_rows WHERE cluster_id IS NOT NULL AND normalized IS NOT NULL),
  e AS (SELECT cluster_id, v, count(DISTINCT fragment) AS df, max(gloss COLLATE "C") AS gloss FROM r WHERE v <> '' GROUP BY 1, 2),
  t AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY df DESC, v COLLATE "C") AS k FROM e)

@@ -97,3 +97,15 @@ def test_extractive_kernels():
     assert "red fox" in extract.keywords(t) and "red" not in extract.keywords(t)
     assert extract.keywords(None) == [] and extract.select("", 10) == ""
     assert extract.title_and_body("A title\n\nBody here.") == ("A title", "Body here.")
+
+
+def test_written_tables_are_forgotten(spark):
+    import os
+
+    from quillfind.functions import session
+
+    session.forget(spark)
+    df = session.written(spark.range(3), "three")
+    assert df.count() == 3
+    path = session._WRITTEN[spark.sparkContext.applicationId][0].removeprefix("file://")
+    assert os.path.isdir(path) and session.forget(spark) == 1 and not os.path.exists(path) and session.forget(spark) == 0
