@@ -23,18 +23,23 @@ def clean_line(line: str) -> str:
 
 
 def sections(text: str) -> list[list[str]]:
-    """Sentences by section; headings begin a section, fences and rules are skipped."""
-    found, fenced, n = [[]], False, 0
-    for line in text.splitlines():
+    """Sentences by section; headings begin a section, paragraphs do where there is none; fences and rules are skipped."""
+    lines = text.splitlines()
+    headed = any(line.lstrip().startswith("#") for line in lines)
+    found, fenced, n, fresh = [[]], False, 0, False
+    for line in lines:
         if line.lstrip().startswith(("```", "~~~")):
             fenced = not fenced
         elif fenced or _RULE.match(line):
             continue
-        elif _HEADING.match(line):
-            if found[-1] and len(found) < SECTIONS:
-                found.append([])
+        elif not line.strip():
+            fresh = not headed
         else:
-            for sentence in _END.split(clean_line(line)):
+            heading = bool(_HEADING.match(line))
+            if (heading or fresh) and found[-1] and len(found) < SECTIONS:
+                found.append([])
+            fresh = False
+            for sentence in () if heading else _END.split(clean_line(line)):
                 if sentence and n < SENTENCES:
                     found[-1].append(sentence)
                     n += 1
@@ -42,34 +47,44 @@ def sections(text: str) -> list[list[str]]:
 
 
 def terms(sentence: str) -> list[str | None]:
-    """Words of 3 to 40 characters with a letter; a stop word is a break (None)."""
-    out: list[str | None] = []
-    for w in re.findall(r"[\w'’-]+", sentence.lower()):
-        if w in _STOP:
-            out.append(None)
-        elif 3 <= len(w) <= 40 and re.search(r"[^\W\d_]", w):
-            out.append(w)
-    return out
+    """Words of 3 to 40 characters with a letter; whatever else stands between them is a break (None)."""
+    words = (w.strip("'").lower() for w in re.split(r"[^\w']|_", sentence))
+    return [w if w not in _STOP and 3 <= len(w) <= 40 and any(map(str.isalpha, w)) else None for w in words if w]
+
+
+def units(sentence: str) -> list[str]:
+    """The terms of a sentence, each with the pair it begins; no word is paired with itself."""
+    ws = [*terms(sentence), None]
+    return [u for a, b in zip(ws, ws[1:]) if a for u in ((a, f"{a} {b}") if b and b != a else (a,))]
+
+
+def weighted(sentences: list[str]) -> tuple[list[dict[str, float]], dict[str, float]]:
+    """(the units of each sentence with their weights, all weights): count times ln(1 + sentences / spread).
+
+    Pairs need two sightings and have a bonus. Units are in the order of their first sight.
+    """
+    held = [units(s) for s in sentences]
+    count: dict[str, int] = {}
+    spread: dict[str, int] = {}
+    for us in held:
+        for u in us:
+            count[u] = count.get(u, 0) + 1
+        for u in set(us):
+            spread[u] = spread.get(u, 0) + 1
+    weight = {u: 0.0 if " " in u and n < 2 else n * math.log(1 + len(held) / spread[u]) * (PAIR_BONUS if " " in u else 1.0) for u, n in count.items()}
+    return [{u: weight[u] for u in us} for us in held], weight
 
 
 def keywords(text: str | None, most: int = 8) -> list[str]:
-    """The weightiest words and word pairs: count times ln(1 + sentences / spread); pairs need two sightings.
+    """The weightiest words and word pairs.
 
     A pair takes up its words; ties stay in the order of first sight.
     """
     if not text:
         return []
-    every = [terms(s) for section in sections(text) for s in section]
-    count: dict[str, int] = {}
-    spread: dict[str, set] = {}
-    for i, ws in enumerate(every):
-        units = [w for w in ws if w] + [f"{a} {b}" for a, b in zip(ws, ws[1:]) if a and b]
-        for u in units:
-            count[u] = count.get(u, 0) + 1
-            spread.setdefault(u, set()).add(i)
-    weight = {u: n * math.log(1 + len(every) / len(spread[u])) * (PAIR_BONUS if " " in u else 1.0) for u, n in count.items() if " " not in u or n >= 2}
+    weight = weighted([s for section in sections(text) for s in section])[1]
     chosen: list[str] = []
-    for u in sorted(weight, key=lambda u: -weight[u]):
+    for u in sorted((u for u, w in weight.items() if w > 0), key=lambda u: -weight[u]):
         if any(u in c.split() for c in chosen):
             continue
         if " " in u:
@@ -81,55 +96,53 @@ def keywords(text: str | None, most: int = 8) -> list[str]:
 
 
 def select(text: str | None, most: int = 400) -> str:
-    """The whole text if it fits; else one best sentence of each section, then the most novel relevant ones, in order."""
-    flat = " ".join((text or "").split())
-    if len(flat) <= most:
-        return flat
+    """The whole text if it fits; else one best sentence of each section, then the most novel relevant ones, in order.
+
+    A sentence is as relevant as its weights are together, over the root of their number and
+    one. Sections are lines of their own. If no sentence fits, the best one is cut.
+    """
+    if len(text or "") <= most:
+        return (text or "").strip()
     parts = [(i, s) for i, section in enumerate(sections(text)) for s in section]
-    bags = []
-    for _, s in parts:
-        bag: dict[str, int] = {}
-        for w in terms(s):
-            if w:
-                bag[w] = bag.get(w, 0) + 1
-        bags.append(bag)
-    whole: dict[str, int] = {}
-    for bag in bags:
-        for w, n in bag.items():
-            whole[w] = whole.get(w, 0) + n
-    size = [math.sqrt(sum(n * n for n in b.values())) for b in bags]
-    all_size = math.sqrt(sum(n * n for n in whole.values()))
-    relevance = [sum(n * whole[w] for w, n in b.items()) / (z * all_size) if z else 0.0 for b, z in zip(bags, size)]
+    if not parts:
+        return ""
+    vectors, _ = weighted([s for _, s in parts])
+    size = [math.sqrt(sum(w * w for w in v.values())) for v in vectors]
+    relevance = [sum(v.values()) / math.sqrt(len(v) + 1) for v in vectors]
+    top = max(relevance)
+    relevance = [r / top for r in relevance] if top > 0 else relevance
     nearest = [0.0] * len(parts)  # the likeness to the chosen sentence most like it
-    chosen: list[int] = []
     taken = [False] * len(parts)
     room = most
+    # only sentences that share a unit are alike
+    holding: dict[str, list[int]] = {}
+    for k, v in enumerate(vectors):
+        for u in v:
+            holding.setdefault(u, []).append(k)
 
     def take(i: int) -> None:
         nonlocal room
-        chosen.append(i)
         taken[i] = True
-        room -= len(parts[i][1]) + 1
-        for k, b in enumerate(bags):
-            if not taken[k] and size[k] and size[i]:
-                small, large = (b, bags[i]) if len(b) < len(bags[i]) else (bags[i], b)
-                likeness = sum(n * large[w] for w, n in small.items() if w in large) / (size[k] * size[i])
-                nearest[k] = max(nearest[k], likeness)
-
-    best: dict[int, int] = {}
-    for k, (i, sentence) in enumerate(parts):
-        if i not in best or relevance[k] > relevance[best[i]]:
-            if len(sentence) + 1 <= room:
-                best[i] = k
-    for k in best.values():
-        if len(parts[k][1]) + 1 <= room:
-            take(k)
-    while True:
-        left = [k for k in range(len(parts)) if not taken[k] and len(parts[k][1]) + 1 <= room]
-        if not left:
-            break
-        take(max(left, key=lambda k: (RELEVANCE * relevance[k] - (1 - RELEVANCE) * nearest[k], -k)))
-    return " ".join(parts[k][1] for k in sorted(chosen)) or flat[: most - 1].rstrip() + "…"
+        room -= len(parts[i][1])
+        shared: dict[int, float] = {}
+        for u, w in vectors[i].items():
+            for k in holding[u] if w else ():
+                shared[k] = shared.get(k, 0.0) + w * w
+        for k, s in shared.items():
+            nearest[k] = max(nearest[k], s / (size[k] * size[i]))
+
+    of: dict[int, list[int]] = {}
+    for k, (i, _) in enumerate(parts):
+        of.setdefault(i, []).append(k)
+    for inside in of.values():
+        if fit := [k for k in inside if len(parts[k][1]) <= room]:
+            take(max(fit, key=lambda k: (relevance[k], k)))
+    while fit := [k for k in range(len(parts)) if not taken[k] and len(parts[k][1]) <= room]:
+        take(max(fit, key=lambda k: (RELEVANCE * relevance[k] - (1 - RELEVANCE) * nearest[k], k)))
+    if not any(taken):
+        best = parts[max(range(len(parts)), key=lambda k: (relevance[k], k))][1]
+        return best if len(best) <= most else best[: most - 1].rstrip() + "…"
+    return "\n".join(" ".join(parts[k][1] for k in inside if taken[k]) for inside in of.values() if any(taken[k] for k in inside))
 
 
 def title_and_body(text: str) -> tuple[str | None, str]:

@@ -8,6 +8,7 @@ import os
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -29,34 +30,92 @@ def admitted(scope: str, roots: list[str]) -> str:
     raise ValueError(f"{scope!r} lies in no configured root")
 
 
+def _below(root: str):
+    """The path of a file below a folder of any filesystem: schemes and authorities are left out."""
+    base = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?", "", root if "://" in root or root.startswith("file:") else os.path.abspath(root)).rstrip("/")
+    return F.regexp_replace(F.regexp_replace("path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?", ""), "^" + re.escape(base) + "/*", "")
+
+
+def _rules(lines: list[str]) -> list[tuple[int, bool, str]]:
+    """(order, whether it is a negation, pattern below the folder) of the lines of an ignore file.
+
+    A pattern with a slash inside is of the folder itself, any other of whatever lies below.
+    """
+    found = []
+    for i, line in enumerate(lines):
+        glob = line.rstrip()
+        if not glob.strip() or glob.startswith("#"):
+            continue
+        negated = glob.startswith("!")
+        glob = glob[1:] if negated else glob.removeprefix("\\")
+        anchored = "/" in glob.rstrip("/")
+        glob = glob.strip("/")
+        if glob:
+            found.append((i, negated, X.glob_regex(glob if anchored else f"**/{glob}")))
+    return found
+
+
+def ignored_paths(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """(locator) of the paths that ignore rules leave out.
+
+    rules: (folder, order, negated, pattern). On each path and each folder above it the last
+    rule decides, of the deepest folder that has one, that matches it below its own folder;
+    what lies in a folder that is left out can't be taken in again.
+    """
+    parts = F.split("locator", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    prefixes = paths.select("locator", F.explode(above).alias("p"))
+    own = F.split("p", "/")
+    folders = F.transform(F.sequence(F.lit(0), F.size(own) - 1), lambda n: F.struct(F.array_join(F.slice(own, F.lit(1), n), "/").alias("folder"), n.alias("depth")))
+    held = prefixes.select("p").distinct().select("p", F.explode(folders).alias("f")).select("p", "f.folder", "f.depth").join(rules, "folder")
+    below = F.expr("CASE WHEN folder = '' THEN p ELSE substring(p, length(folder) + 2) END")
+    last = held.where(F.rlike(below, F.col("pattern"))).groupBy("p").agg(F.max_by("negated", F.struct("depth", "order")).alias("negated"))
+    return prefixes.join(last.where("NOT negated").select("p"), "p", "left_semi").select("locator").distinct()
+
+
 def enumerate_files(spark: SparkSession, root: str, patterns: list[str] | None = None) -> DataFrame:
     """(locator, content_type, raw_bytes, modified) of the files below a folder, without their contents.
 
-    Hidden files and folders, empty files, and what the patterns (or an ignore file at the
-    root) match are left out. Only the metadata columns are read.
+    Hidden files and folders, empty files, and what the patterns or the ignore files of the
+    folder and those below match are left out. Only the metadata columns are read, and the
+    contents of ignore files.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
-    base = os.path.abspath(root)
-    locator = F.regexp_replace("path", "^file:" + re.escape(base) + "/?", "")
-    rules = list(patterns or [])
-    ignore = os.path.join(root, IGNORE_FILE)
-    if os.path.exists(ignore):
-        with open(ignore) as f:
-            rules += [x.strip() for x in f if x.strip() and not x.startswith("#")]
-    kept = files.select(locator.alias("locator"), "length", "modificationTime").where((F.col("length") > 0) & ~F.col("locator").rlike(r"(^|/)\."))
-    for rule in rules:
-        glob = rule.strip("/")
-        regex = X.glob_regex(glob if "/" in glob else f"**/{glob}")[:-1] + "(?:/.*)?$"
-        kept = kept.where(~F.col("locator").rlike(regex))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(_below(root).alias("locator"), "length", "modificationTime")
+    kept = files.where((F.col("length") > 0) & ~F.col("locator").rlike(r"(^|/)\."))
+    schema = "folder string, order int, negated boolean, pattern string"
+
+    uri = root if "://" in root else "file://" + os.path.abspath(root.removeprefix("file:"))
+
+    def parse(batches):
+        from pyarrow import fs
+
+        # hidden files aren't listed, so each folder is asked for its own; any filesystem will do
+        system, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            rows = []
+            for folder in batch.column(0).to_pylist():
+                path = "/".join(x for x in (base.rstrip("/"), folder, IGNORE_FILE) if x)
+                if system.get_file_info(path).type == fs.FileType.File:
+                    with system.open_input_stream(path) as f:
+                        rows += [(folder, *r) for r in _rules(f.readall().decode("utf-8", "replace").splitlines())]
+            columns = list(zip(*rows)) or [()] * 4
+            kinds = (pa.string(), pa.int32(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["folder", "order", "negated", "pattern"])
+
+    parts = F.split("locator", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    rules = kept.select(F.explode(above).alias("folder")).distinct().mapInArrow(parse, schema)
+    if patterns:
+        rules = rules.union(spark.createDataFrame([("", i - len(patterns), n, p) for i, n, p in _rules(patterns)], schema))
+    kept = kept.join(ignored_paths(kept.select("locator"), rules), "locator", "left_anti")
     return kept.select("locator", X.detect_type(F.col("locator")).alias("content_type"), F.col("length").alias("raw_bytes"), F.unix_seconds("modificationTime").alias("modified"))
 
 
 def read_texts(spark: SparkSession, root: str) -> DataFrame:
     """(locator, text): contents as text; what is no UTF-8 is replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = os.path.abspath(root)
     decode = F.udf(lambda b: bytes(b).decode("utf-8", "replace"), "string", useArrow=True)
-    return files.select(F.regexp_replace("path", "^file:" + re.escape(base) + "/?", "").alias("locator"), decode("content").alias("text"))
+    return files.select(_below(root).alias("locator"), decode("content").alias("text"))
 
 
 def public_host(pattern: str, host: str) -> bool:
@@ -122,10 +181,12 @@ class _PagedReader(DataSourceReader):
                 body = json.load(f)
             for item in body.get(key, []):
                 if items <= 0:
-                    return
+                    raise ValueError(f"more items than items_max behind {partition.first}")
                 items -= 1
                 yield page, json.dumps(item, sort_keys=True)
             page, pages = body.get("nextPageToken"), pages - 1
+        if page:
+            raise ValueError(f"more pages than pages_max behind {partition.first}")
 
 
 def register(spark: SparkSession) -> None:

@@ -109,3 +109,14 @@ def test_written_tables_are_forgotten(spark):
     assert df.count() == 3
     path = session._WRITTEN[spark.sparkContext.applicationId][0].removeprefix("file://")
     assert os.path.isdir(path) and session.forget(spark) == 1 and not os.path.exists(path) and session.forget(spark) == 0
+
+
+def test_selection_covers_sections_and_prefers_the_new():
+    fox = "The red fox met the red hen near the old barn."
+    text = f"{fox} {fox[:-1]} again.\nA word more.\n\nOnly owls live in that tower, owls and mice.\n\n" + "Rain fell over the hills for many days. " * 8
+    got = extract.select(text, 150)
+    assert got == "The red fox met the red hen near the old barn again. A word more.\nOnly owls live in that tower, owls and mice.\nRain fell over the hills for many days."
+    assert sum(map(len, got.split("\n"))) <= 150 and extract.select("x" * 30, 10) == "x" * 9 + "…"
+    assert extract.sections("# A\n\nOne. Two.\n\nThree.\n# B\nFour.") == [["One.", "Two.", "Three."], ["Four."]]
+    assert extract.sections("One. Two.\n\nThree.\n```\ncode\n```\nFour.") == [["One.", "Two."], ["Three.", "Four."]]
+    assert extract.units("Risk of prostate cancer, cancer cancer 12") == ["risk", "prostate", "prostate cancer", "cancer", "cancer", "cancer"]

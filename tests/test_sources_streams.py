@@ -28,7 +28,23 @@ def test_paged_source(spark, tmp_path):
     (tmp_path / "1.json").write_text(json.dumps({"items": [{"id": 3}]}))
     connectors.register(spark)
     read = lambda **o: sorted(json.loads(r["item"])["id"] for r in spark.read.format("paged").options(path=str(tmp_path), **o).load().collect())
-    assert read() == [1, 2, 3] and read(pages_max=1) == [1, 2] and read(items_max=1) == [1]
+    assert read() == [1, 2, 3] == read(pages_max=2, items_max=3)
+    for bound in ({"pages_max": 1}, {"items_max": 2}):  # nothing is left out silently
+        with pytest.raises(Exception, match="more"):
+            read(**bound)
+
+
+def test_nested_ignore_files(spark, tmp_path):
+    for name, body in {
+        ".gitignore": "*.log\n/top.txt\nbuild/\n!keep.log\ndocs/*.tmp\n", "sub/.gitignore": "!again.log\nb.txt\n# no rule\n\n", "a.log": "x", "keep.log": "x", "top.txt": "x", "sub/top.txt": "x", "sub/again.log": "x",
+        "sub/deep/again.log": "x", "sub/b.txt": "x", "b.txt": "x", "build/keep.log": "x", "sub/build/x.txt": "x", "docs/a.tmp": "x", "docs/deep/a.tmp": "x", "c.md": "x",
+    }.items():
+        p = tmp_path / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(body)
+    got = {r["locator"] for r in connectors.enumerate_files(spark, str(tmp_path), ["*.md"]).collect()}
+    assert got == {"keep.log", "sub/top.txt", "sub/again.log", "sub/deep/again.log", "b.txt", "docs/deep/a.tmp"}
+    assert {r["locator"] for r in connectors.enumerate_files(spark, f"file://{tmp_path}/sub").collect()} == {"top.txt", "again.log", "deep/again.log", "build/x.txt"}
 
 
 def test_web_and_hosts():
