@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from dataclasses import fields as declared
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,38 +19,6 @@ def clamp(limit: int, most: int = QUERY_MOST) -> int:
     return max(1, min(limit, most))
 
 
-@dataclass(frozen=True)
-class FinderConfig:
-    """Settings of the Finder that a query may override."""
-
-    seeds: int = 60
-    k: float = 60.0
-    damping: float = 0.5
-    rounds: int = 12
-    hops: int = 2
-    hub: int = 500
-    limit: int = 10
-    weights_prose: float = 1.0
-    weights_lexical: float = 0.1
-
-    def overridden(self, settings: list[str]) -> FinderConfig:
-        """With `a.b=value` settings, at most 32; an unknown name or a value out of bounds is an error."""
-        if len(settings) > 32:
-            raise ValueError("at most 32 overrides")
-        kinds = {f.name: type(getattr(self, f.name)) for f in declared(self)}
-        values = {}
-        for s in settings:
-            name, sep, value = s.partition("=")
-            name = name.strip().replace(".", "_")
-            if not sep or name not in kinds:
-                raise ValueError(f"unknown setting {s!r}")
-            values[name] = kinds[name](value.strip())
-        made = FinderConfig(**{**{n: getattr(self, n) for n in kinds}, **values})
-        if not 0 < made.damping < 1 or made.hops not in range(1, 5) or min(made.seeds, made.rounds, made.limit) < 1 or made.k <= 0:
-            raise ValueError("a setting is out of bounds")
-        return made
-
-
 def scan(rows: DataFrame, start: int, end: int, key: str = "id", text: str = "text") -> DataFrame:
     """(id, first, last, content) of lines start..end of each text, at most 2,000 of them; texts without such lines are left out."""
     if not 1 <= start <= end:

@@ -59,6 +59,10 @@ def _embedded(df, text, *keep):
     return df.where(F.length(text) > 0).select(*keep, V.hashed_embedding(F.col(text), DIMS).alias("vector"))
 
 
+#: A query may weigh its lists otherwise, and walk less far.
+OVERRIDES = ["weights.lexical=0.5", "weights.vector=0.25", "damping=0.3", "hops=1", "limit=5"]
+
+
 def _seed_lists(s, d, asked):
     """All five lists: rows and questions by their hashed embeddings, clusters by those of their labels."""
     return finder.seed_lists(
@@ -132,6 +136,7 @@ def queries() -> dict:
         "crossnode_merge": lambda s, d: _rounded(S.merge_nodes(_nodes(s, d), 10), "score"),
         "finder_lean": lambda s, d: _rounded(finder.discover(_lists(s, d), _rows(s, d), model.sources_of(_t(s, d, "documents"))), "score", "share"),
         "finder_end_to_end": lambda s, d: _rounded(finder.discover(_lists(s, d), _rows(s, d), model.sources_of(_t(s, d, "documents")), _relations(s, d)), "score", "share"),
+        "finder_overrides": lambda s, d: _rounded(finder.discover(_lists(s, d), _rows(s, d), model.sources_of(_t(s, d, "documents")), _relations(s, d), finder.FinderConfig().overridden(OVERRIDES)), "score", "share"),
         "finder_ledger": lambda s, d: _rounded(finder.source_ledger(finder.ledger(_lists(s, d), _relations(s, d)), _rows(s, d)), "seed", "walked"),
         "vertex_degree": lambda s, d: G.degrees(_relations(s, d)),
         "hub_list": lambda s, d: G.hubs(_relations(s, d), 100),
@@ -264,6 +269,8 @@ def oracle_sql() -> dict[str, str]:
         "crossnode_merge": f"WITH {far} SELECT query_id, address, round(score, 6) AS score, node, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, address) AS rank FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, address) <= 10",
         "finder_lean": f"WITH {final} {told}",
         "finder_end_to_end": f"WITH {ledger}, {walked}, {ranked} {told}",
+        "finder_overrides": (f"WITH {ledger}, {walked}, {ranked} {told}".replace("WHEN 'lexical' THEN 0.1 WHEN 'cluster' THEN 0.5 ELSE", "WHEN 'lexical' THEN 0.5 WHEN 'vector' THEN 0.25 WHEN 'cluster' THEN 0.5 ELSE").replace("0.5 * mass * w", "0.3 * mass * w").replace("0.5 * r * coalesce(lost, 0) + 0.5 * r", "0.3 * r * coalesce(lost, 0) + 0.7 * r")
+          .replace("UNION ALL SELECT *, 2 FROM h2)", ")").replace("WHERE rank <= 10)", "WHERE rank <= 5)")),
         "finder_ledger": f"WITH {ledger}, {walked} SELECT query_id, source, channel, round(sum(seed * [1.0, 0.1, 0.05][k]), 6) AS seed, round(sum(walked * [1.0, 0.1, 0.05][k]), 6) AS walked FROM entries JOIN owned o USING (query_id, id) WHERE k <= 3 GROUP BY query_id, source, channel",
         "vertex_degree": f"WITH {rel} SELECT id, degree FROM deg",
         "hub_list": f"WITH {rel} SELECT id, degree FROM deg WHERE degree > 100",

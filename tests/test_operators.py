@@ -175,11 +175,11 @@ def test_vocabulary_and_replication(spark):
 
 def test_ladder():
     assert ladder.clamp(0) == 1 and ladder.clamp(999) == 50
-    c = ladder.FinderConfig().overridden(["damping=0.25", "weights.prose=2"])
+    c = finder.FinderConfig().overridden(["damping=0.25", "weights.prose=2"])
     assert c.damping == 0.25 and c.weights_prose == 2.0
     for bad in ("nope=1", "damping=2", "damping"):
         with pytest.raises(ValueError):
-            ladder.FinderConfig().overridden([bad])
+            finder.FinderConfig().overridden([bad])
     s = ladder.Session()
     assert s.retain(["a", "b"]) == {"a": 1, "b": 2} and s.retain(["b", "c"]) == {"b": 2, "c": 3}
     text = "one\ntwo\nthree\nfour"
