@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pairs drawn for training (at most twice as many by chance), buckets of features, part held out for the thresholds, precision they are set for.
-SAMPLE, BUCKETS, HELD_OUT, PRECISION = 500, 1 << 16, 0.25, 0.99
+#: Pairs drawn for training (at most twice as many by chance), buckets of features, parts of which each is held out for the thresholds, precision they are set for.
+SAMPLE, BUCKETS, FOLDS, PRECISION = 500, 1 << 16, 3, 0.99
 #: Rounds of a fit; by how much the profile of a sentence's language must beat all others; by how much languages may explain a question less well and still be its own; score from which a real pair is doubted.
 ROUNDS, CLEAR, NEARLY, DOUBT = 8, 5.0, 4.0, -1.0
 #: Labelled texts drawn for each language, labels at most, buckets of character n-grams, longest n-gram.
@@ -492,15 +492,23 @@ def broken(real: list[tuple], foreign: list[tuple[str, str]], languages: Languag
     return pairs, *(np.array([m[k] for m in made], np.int64) for k in (3, 4, 5))
 
 
+def clear_sentences(labelled: list[tuple[str, str]], languages: Languages) -> list[tuple[str, str]]:
+    """(label, sentence) of whole sentences whose profile says clearly what their label says.
+
+    Labels may be wrong, and sentences of names and numbers say nothing.
+    """
+    found = [(label.strip().lower()[:2], s) for label, text in labelled if label and text for s in sentences(text) if _STOP.search(s) and "@" not in s and (3 <= len(s.split()) <= 40 or (not s.isascii() and 8 <= len(s) <= 200))]
+    if len(languages.names) < 2 or not found:
+        return found
+    top = languages.scores([s for _, s in found])
+    clear = np.diff(np.sort(top, axis=1)[:, -2:], axis=1)[:, 0] > CLEAR
+    return [x for x, name, sure in zip(found, top.argmax(1), clear) if sure and x[0] == languages.names[name]]
+
+
 def fit(real: list[tuple], labelled: list[tuple[str, str]], precision: float = PRECISION) -> Classifier:
     """A classifier from real pairs (question, answer, gold) and labelled texts (language, text)."""
     languages = Languages.fit(labelled)
-    found = [(label.strip().lower()[:2], s) for label, text in labelled if label and text for s in sentences(text) if _STOP.search(s) and "@" not in s and (3 <= len(s.split()) <= 40 or (not s.isascii() and 8 <= len(s) <= 200))]
-    # a sentence stands for its label only if its profile says so too: labels may be wrong, and sentences of names and numbers say nothing
-    if len(languages.names) > 1 and found:
-        top = languages.scores([s for _, s in found])
-        clear = np.diff(np.sort(top, axis=1)[:, -2:], axis=1)[:, 0] > CLEAR
-        found = [x for x, name, sure in zip(found, top.argmax(1), clear) if sure and x[0] == languages.names[name]]
+    found = clear_sentences(labelled, languages)
     featured = Featured(languages)
     # real pairs that a fit on the other half of the questions finds broken are no sound ones
     pairs, y, group, own = broken(real, found, languages, unsaid=False)
@@ -514,13 +522,14 @@ def fit(real: list[tuple], labelled: list[tuple[str, str]], precision: float = P
     if clean.any():
         pairs, y, group, own = broken([r for r, keep in zip(real, clean) if keep], found, languages)
         rows, hot = _Rows(*featured.of(pairs)), _hot(y)
-    held = group % 100 < 100 * HELD_OUT
-    learn, asked = np.flatnonzero(~held), np.flatnonzero(held)
     whole = _fitted(rows, hot, ROUNDS)
-    if not len(learn) or not len(asked):
-        return Classifier(whole, np.zeros(len(DEFECTS), np.float32), languages)
-    score = rows.at(asked).scored(_fitted(rows.at(learn), hot[learn], ROUNDS))
-    threshold = [_calibrated(score[:, k], y[asked] == k, precision) if (y == k).any() else np.inf for k in range(len(DEFECTS))]
+    # each part of the questions and wordings is scored by a fit on the others
+    score, part = np.zeros((len(y), len(DEFECTS)), np.float32), group % FOLDS
+    for k in range(FOLDS):
+        learn, asked = np.flatnonzero(part != k), np.flatnonzero(part == k)
+        if len(learn) and len(asked):
+            score[asked] = rows.at(asked).scored(_fitted(rows.at(learn), hot[learn], ROUNDS))
+    threshold = [_calibrated(score[:, k], y == k, precision) if (y == k).any() else np.inf for k in range(len(DEFECTS))]
     return Classifier(whole, np.array(threshold, np.float32), languages)
 
 

@@ -119,7 +119,7 @@ def test_classifier_on_held_out_pairs(spark, model):
     sound = [r for r, d in zip(rows, model.defects(rows)) if d is None]
     assert len(sound) > 0.9 * len(rows)
     texts = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang IN ('de', 'es', 'fr', 'it', 'nl', 'pt', 'ja', 'ru') AND length(text) > 0 AND mimetype = 'text/plain'").select("lang", "text").limit(200).collect()
-    foreign = [(r[0], x) for r in texts for x in pairs.sentences(r[1]) if x.endswith((".", "。")) and "@" not in x and (len(x.split()) > 3 or r[0] == "ja")]
+    foreign = pairs.clear_sentences([tuple(r) for r in texts], model.featured.languages)
     made, y, _, _ = pairs.broken(sound, foreign, model.featured.languages, unsaid=False, seed=99)
     found = model.defects(made)
     for k, defect in enumerate(pairs.DEFECTS):
