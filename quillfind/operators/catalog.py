@@ -238,6 +238,20 @@ def replace_subtrees(fragments: DataFrame, planned: DataFrame) -> DataFrame:
     return kept.unionByName(planned.select(*kept.columns))
 
 
+def deleted(gone: DataFrame, fragments: DataFrame, vocabulary: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fragments, vocabulary, relations) once the sources of `gone` (id) are deleted.
+
+    Their fragments go, with the vocabulary rows of those, and every edge at one of them;
+    values that nothing mentions any more are left to `orphans`.
+    """
+    away = fragments.join(gone.select(F.col("id").alias("source")), "source", "left_semi").select("id")
+    kept = fragments.join(away, "id", "left_anti")
+    rows = vocabulary.join(away.select(F.col("id").alias("fragment")), "fragment", "left_anti")
+    ends = away.select(F.concat(F.lit("f"), F.col("id").cast("string")).alias("v")).union(gone.select(F.concat(F.lit("s"), F.col("id").cast("string")))).distinct()
+    edges = relations.join(ends.withColumnRenamed("v", "src"), "src", "left_anti").join(ends.withColumnRenamed("v", "dst"), "dst", "left_anti").select("src", "kind", "dst")
+    return kept, rows, edges
+
+
 def relink(fragments: DataFrame, sources: DataFrame) -> DataFrame:
     """(src, kind, dst): entries that refer to the address of a source contain its root."""
     entries = fragments.where("content_address IS NOT NULL").select(F.col("id").alias("src"), F.col("content_address").alias("address"))

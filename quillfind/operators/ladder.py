@@ -39,6 +39,16 @@ def fetch(rows: DataFrame, ids: list[int], key: str = "id") -> DataFrame:
     return rows.where(F.col(key).isin(*ids) & F.col("text").isNotNull())
 
 
+def fetch_bytes(rows: DataFrame, first: int, end: int, key: str = "id", text: str = "text") -> DataFrame:
+    """(id, first, end, content): bytes first..end of each text in UTF-8, from 0, the end exclusive; texts that end before are left out."""
+    if not 0 <= first < end:
+        raise ValueError("bytes are counted from 0, and the end comes behind the start")
+    raw = F.encode(F.col(text), "UTF-8")
+    size = F.octet_length(F.col(text))
+    part = F.substring(raw, first + 1, end - first)
+    return rows.where(size > first).select(F.col(key).alias("id"), F.lit(first).cast("long").alias("first"), F.least(F.lit(end), size).cast("long").alias("end"), part.alias("content"))
+
+
 def summaries(fragments: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(source, summary): the summary that derives from each root; of several the one of the lowest id. roots: (source, root)."""
     told = fragments.where(F.col("mimetype").startswith(f"{X.DERIVED}summary")).select(F.col("id").alias("dst"), "text")

@@ -214,7 +214,11 @@ def anchors(needles: DataFrame, rows: DataFrame) -> DataFrame:
     return met.union(missed).distinct()
 
 
-def deepest(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """(source, at, id): for each point the narrowest span of its source that holds it. points: (source, at); spans: (source, id, first, last)."""
-    held = points.join(spans, "source").where(F.col("at").between(F.col("first"), F.col("last")))
+def deepest(points: DataFrame, spans: DataFrame, block: int = 64) -> DataFrame:
+    """(source, at, id): for each point the narrowest span of its source that holds it. points: (source, at); spans: (source, id, first, last).
+
+    Spans are cut into blocks of positions, so a point meets the spans of its own block only.
+    """
+    of = spans.where("first <= last").withColumn("_b", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor(F.col("last") / block))))
+    held = points.select("source", "at", F.floor(F.col("at") / block).alias("_b")).join(of, ["source", "_b"]).where(F.col("at").between(F.col("first"), F.col("last")))
     return held.groupBy("source", "at").agg(F.min(F.struct((F.col("last") - F.col("first")).alias("w"), F.col("id").alias("id"))).getField("id").alias("id"))

@@ -76,6 +76,7 @@ def queries() -> dict:
         "keyset_page": lambda s, d: C.content_page(_t(s, d, "fragments"), 100, 200),
         "keyed_get_or_create": lambda s, d: C.keyed_first(_t(s, d, "vocabulary_rows")),
         "orphan_keyed_gc": lambda s, d: C.orphans(_t(s, d, "fragments"), _t(s, d, "vocabulary_rows")),
+        "source_delete": lambda s, d: C.deleted(_sources(s, d).where("source_type = 'web'"), _t(s, d, "fragments"), _t(s, d, "vocabulary_rows"), _relations(s, d))[2],
         "folder_relink": lambda s, d: C.relink(_entries(s, d), _sources(s, d)),
         "cache_insert_ignore": lambda s, d: C.insert_ignore(_t(s, d, "clusters").select(F.col("text_digest").alias("digest")), _t(s, d, "embedding_cache").select("digest", "id"), ["digest"]),
         "detect_types": lambda s, d: _t(s, d, "documents").select("doc_id", X.detect_type(F.col("locator")).alias("detected")),
@@ -135,6 +136,9 @@ def oracle_sql() -> dict[str, str]:
   CASE WHEN change = 'kept' THEN ov ELSE nv END AS observed, CASE WHEN change IN ('new', 'updated') THEN false ELSE oi END AS indexed, change FROM c""",
         "keyed_get_or_create": f"WITH {rel} SELECT kind || ':' || v AS key, min(fragment) AS fragment, kind, v AS normalized FROM value WHERE length(v) > 0 GROUP BY kind, v",
         "orphan_keyed_gc": "SELECT id FROM fragments WHERE source IS NULL AND id NOT IN (SELECT fragment FROM vocabulary_rows WHERE fragment IS NOT NULL)",
+        "source_delete": f"""WITH {rel}, edges AS (SELECT 's' || source AS src, 'contains' AS kind, 'f' || id AS dst FROM fragments WHERE source IS NOT NULL UNION ALL SELECT DISTINCT 'f' || fragment, 'mentions', 'v' || v FROM value WHERE length(v) > 0),
+ gone AS (SELECT doc_id FROM documents WHERE source = 'web'), ends AS (SELECT 's' || doc_id AS v FROM gone UNION SELECT 'f' || id FROM fragments WHERE source IN (SELECT doc_id FROM gone))
+ SELECT src, kind, dst FROM edges WHERE src NOT IN (SELECT v FROM ends) AND dst NOT IN (SELECT v FROM ends)""",
         "folder_relink": f"WITH {src} SELECT DISTINCT host || '/' || locator AS src, 'contains' AS kind, id AS dst FROM src WHERE locator LIKE '%/%' AND host IS NOT NULL",
         "cache_insert_ignore": "SELECT digest, min(id) AS id FROM embedding_cache WHERE digest NOT IN (SELECT text_digest FROM clusters WHERE text_digest IS NOT NULL) GROUP BY digest",
         "detect_types": f"WITH e AS (SELECT doc_id, lower(regexp_extract(locator, '\\.([A-Za-z0-9]+)$', 1)) AS e FROM documents) SELECT doc_id, CASE e {extensions} ELSE CASE WHEN e IN ({code}) THEN 'text/plain' ELSE 'application/octet-stream' END END AS detected FROM e",

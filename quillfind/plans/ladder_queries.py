@@ -22,6 +22,7 @@ def _summaries(s, d):
 def queries() -> dict:
     return {
         "scan_lines": lambda s, d: L.scan(_t(s, d, "documents"), 2, 4, "doc_id"),
+        "fetch_bytes": lambda s, d: L.fetch_bytes(_t(s, d, "documents"), 10, 90, "doc_id").withColumn("content", F.hex("content")),
         "scan_stand_in": lambda s, d: L.stand_ins(_t(s, d, "fragments")).select("source", "id"),
         "source_summaries": _summaries,
         "entity_anchors": lambda s, d: T.anchors(_t(s, d, "fragments").where("source IS NOT NULL").select("source", F.lit("museum").alias("needle"), (-F.col("source")).alias("input")).distinct(), _t(s, d, "fragments").select("source", "id", "text")),
@@ -42,6 +43,7 @@ def _points(s, d):
 def oracle_sql() -> dict[str, str]:
     line = "CASE WHEN string_split(text, chr(10))[-1] = '' THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END"
     return {
+        "fetch_bytes": "SELECT doc_id AS id, CAST(10 AS BIGINT) AS first, CAST(least(90, octet_length(encode(text))) AS BIGINT) AS \"end\", substr(hex(encode(text)), 21, 160) AS content FROM documents WHERE octet_length(encode(text)) > 10",
         "scan_lines": f"SELECT doc_id AS id, 2 AS first, CAST(least(4, len({line})) AS INT) AS last, array_to_string(list_transform(({line})[2:4], lambda x: regexp_replace(x, '\\r$', '')), chr(10)) AS content FROM documents WHERE len({line}) >= 2",
         "scan_stand_in": "SELECT source, arg_max(id, struct_pack(a := length(text), b := id)) AS id FROM fragments WHERE length(text) > 0 AND source IS NOT NULL AND mimetype NOT LIKE 'text/x-derived-%' GROUP BY source",
         "entity_anchors": """WITH f AS (SELECT * FROM fragments WHERE source IS NOT NULL), m AS (SELECT DISTINCT source, 'museum' AS needle, id FROM f WHERE contains(lower(text), 'museum'))

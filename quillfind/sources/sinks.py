@@ -34,6 +34,18 @@ def publish(tables: dict[str, DataFrame], root: str) -> int:
     return version
 
 
+def prune(spark: SparkSession, root: str, keep: int = 2) -> list[int]:
+    """Delete all but the newest versions, the mark of each before its tables; what was deleted."""
+    if keep < 1:
+        raise ValueError("one version is kept at least")
+    old = versions(spark, root)[:-keep]
+    for version in old:
+        for name in (f"{version}.done", f"v={version}"):
+            fs, p, _ = _hadoop(spark, os.path.join(root, name))
+            fs.delete(p, True)
+    return old
+
+
 def snapshot(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
     """A table of the newest version, or a given one."""
     known = versions(spark, root)

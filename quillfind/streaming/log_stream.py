@@ -32,12 +32,13 @@ def standing(state: DataFrame) -> DataFrame:
     return state.join(newest, ["origin", "epoch"], "left_semi").where(F.col("seq") > F.coalesce("gone_seq", F.lit(0))).select("origin", "epoch", "seq", "key")
 
 
-def keep_state(stream: DataFrame, root: str):
+def keep_state(stream: DataFrame, root: str, keep: int = 2):
     """A streaming query that folds every micro-batch into a new published version of the state.
 
     A version holds the number of the batch that made it; a batch that is delivered again
     after a failure is not folded twice. (Folding twice would change nothing either: the
-    state takes maxima.)
+    state takes maxima.) The newest `keep` versions stay, so a reader of the one before the
+    newest isn't cut off.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
@@ -49,6 +50,7 @@ def keep_state(stream: DataFrame, root: str):
                 return
             state = merged(sinks.snapshot(spark, root, "state"), state)
         sinks.publish({"state": state, "batch": spark.range(number, number + 1)}, root)
+        sinks.prune(spark, root, keep)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", os.path.join(root, "_progress")).trigger(availableNow=True).start()
 

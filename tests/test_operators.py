@@ -221,3 +221,34 @@ def test_merges_of_more_than_ten_thousand_clusters(spark):
     rows = [(i, v[i % 5100].tolist(), 1 + i // 5100, 1) for i in range(10200)]
     got = {tuple(r) for r in index.merges(spark.createDataFrame(rows, "id long, vector array<float>, member_count long, changed_sweep long"), 1).collect()}
     assert got == {(i, i + 5100) for i in range(5100)}
+
+
+def test_remote_upsert_guards_our_own_rows(spark):
+    fields = "host string, locator string, content_type string, modified long, observed long, raw_bytes long, indexed boolean"
+    stored = spark.createDataFrame([("h", "ours", "t", 1, 1, 5, True, None), ("h", "theirs", "t", 1, 1, 5, True, "n2"), ("h", "kept", "t", 1, 1, 5, True, "n2")], fields + ", origin string")
+    seen = spark.createDataFrame([("h", "ours", "t", 2, 2, 6, False), ("h", "theirs", "t", 2, 2, 6, False), ("h", "new", "t", 2, 2, 6, False)], fields)
+    got = {r["locator"]: (r["change"], r["raw_bytes"], r["indexed"]) for r in catalog.upsert(stored, seen, remote=True).collect()}
+    assert got == {"ours": ("kept", 5, True), "theirs": ("updated", 6, False), "kept": ("kept", 5, True), "new": ("new", 6, False)}
+    assert {r["change"] for r in catalog.upsert(stored.drop("origin"), seen, remote=True).collect()} == {"kept", "new"}
+    assert {r["locator"]: r["change"] for r in catalog.upsert(stored, seen).collect()}["ours"] == "updated"
+
+
+def test_deletion_and_pages(spark):
+    fragments = spark.createDataFrame([(1, 10, "text/plain", "a"), (2, 10, "text/plain", "b"), (3, 11, "text/plain", "c"), (4, None, "text/plain", "d"), (5, 11, "text/x-derived-summary", "e"), (6, 11, "text/plain", " ")], "id long, source long, mimetype string, text string")
+    words = spark.createDataFrame([(1, "x"), (3, "x"), (4, "y")], "fragment long, normalized string")
+    edges = spark.createDataFrame([("s10", "contains", "f1"), ("s11", "contains", "f3"), ("f1", "mentions", "vx"), ("f3", "mentions", "vx"), ("f3", "links-to", "f2")], "src string, kind string, dst string")
+    left, rows, kept = catalog.deleted(spark.createDataFrame([(10,)], "id long"), fragments, words, edges)
+    assert {r["id"] for r in left.collect()} == {3, 4, 5, 6} and {r["fragment"] for r in rows.collect()} == {3, 4}
+    assert rows_of(kept) == {("s11", "contains", "f3"), ("f3", "mentions", "vx")}
+    assert [r["id"] for r in catalog.content_page(fragments, 1, 1).collect()] == [2] and [r["id"] for r in catalog.content_page(fragments, 2, 9).collect()] == [3]
+    raw = ladder.fetch_bytes(spark.createDataFrame([(1, "aé漢"), (2, "ab"), (3, None)], "id long, text string"), 2, 5).collect()
+    assert [(r["id"], r["first"], r["end"], bytes(r["content"])) for r in raw] == [(1, 2, 5, "aé漢".encode()[2:5])]
+
+
+def test_percentiles_over_bins(spark):
+    rng = random.Random(1)
+    values = [rng.choice([1.0, 2.0, 1e6]) if rng.random() < 0.4 else rng.uniform(0, 100) for _ in range(501)]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 7.0)] * 4 + [(None, 1.0), ("c", None)], "p string, v double")
+    got = {r["phase"]: (r["n"], r["median"], r["p95"], r["most"]) for r in metrics.phases(df, "p", "v").collect()}
+    s = sorted(values)
+    assert got == {"a": (501, s[250], s[int(-(-0.95 * 501 // 1)) - 1], s[-1]), "b": (4, 7.0, 7.0, 7.0), None: (1, 1.0, 1.0, 1.0)}

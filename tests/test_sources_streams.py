@@ -87,7 +87,7 @@ def test_stream_equals_batch(spark, tmp_path):
     log_stream.keep_state(log_stream.read_stream(spark, str(tmp_path / "log")), root).awaitTermination(120)
     got = {tuple(r) for r in log_stream.standing(sinks.snapshot(spark, root, "state")).collect()}
     want = {tuple(r) for r in changefeed.current_state(spark.read.parquet(str(tmp_path / "log"))).collect()}
-    assert got == want and len(want) > 5 and len(sinks.versions(spark, root)) == 3
+    assert got == want and len(want) > 5 and sinks.versions(spark, root) == [2, 3]
 
 
 def test_positions_in_state(spark, tmp_path):
