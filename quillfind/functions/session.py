@@ -71,6 +71,17 @@ def forget(spark: SparkSession) -> int:
     return len(paths)
 
 
+def spread(df: DataFrame, most: int = 1 << 28) -> DataFrame:
+    """A table of at most `most` bytes in fewer files than half the cores, spread over all cores; any other as it is.
+
+    For work on each row that a scan of few files would leave to few tasks.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    files = len(df._jdf.inputFiles()) if size <= most else cores
+    return df.repartition(cores) if 0 < 2 * files <= cores else df
+
+
 def small(df: DataFrame, limit: int) -> list | None:
     """All rows if there are at most `limit`, else None: the size check before a broadcast."""
     rows = df.limit(limit + 1).collect()

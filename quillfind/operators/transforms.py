@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillfind.functions import extract as E
+from quillfind.functions.session import spread
 
 #: Bounds of one subtree, and the chunker's target and hard limit in bytes.
 DEPTH, FRAGMENTS, TARGET, HARD = 6, 400, 1600, 3200
@@ -181,7 +182,32 @@ def subtrees(documents: DataFrame, key: str = "doc_id", text: str = "text", mime
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split(" ")[0] for f in SUBTREE.split(", ")])
 
     picked = documents.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.col(mimetype).alias("m"))
-    return picked.mapInArrow(run, SUBTREE)
+    return spread(picked).mapInArrow(run, SUBTREE)
+
+
+def summarized(documents: DataFrame, key: str = "doc_id", text: str = "text", most: int = 400) -> DataFrame:
+    """(doc_id, summary, provenance) of every text; null and blank ones give an empty summary."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                told = [E.summary(t, most) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s for s, _ in told], pa.string()), pa.array([p for _, p in told], pa.string())], names=["doc_id", "summary", "provenance"])
+
+    return spread(documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))).mapInArrow(run, "doc_id long, summary string, provenance string")
+
+
+def keyworded(documents: DataFrame, key: str = "doc_id", text: str = "text", most: int = 8) -> DataFrame:
+    """(doc_id, keywords) of every text; null and blank ones have none."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([E.keywords(t, most) for t in part.column(1).to_pylist()], pa.list_(pa.string()))], names=["doc_id", "keywords"])
+
+    return spread(documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))).mapInArrow(run, "doc_id long, keywords array<string>")
 
 
 def fragments_of(trees: DataFrame) -> DataFrame:

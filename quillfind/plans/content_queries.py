@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillfind.functions import extract as E
 from quillfind.operators import transforms as T
 from quillfind.sources import render
 
@@ -17,11 +16,6 @@ def _documents(s, d):
     return _t(s, d, "documents")
 
 
-def _summaries(s, d):
-    told = F.udf(E.summary, "struct<summary:string,provenance:string>", useArrow=True)
-    return _documents(s, d).select("doc_id", told(F.col("text")).alias("s")).select("doc_id", "s.summary", "s.provenance")
-
-
 def queries() -> dict:
     return {
         "subtree_plan": lambda s, d: T.subtrees(_documents(s, d)),
@@ -29,8 +23,8 @@ def queries() -> dict:
         "subtree_edges": lambda s, d: T.edges_of(T.subtrees(_documents(s, d))),
         "section_counts": lambda s, d: T.subtrees(_documents(s, d)).groupBy("source").agg(F.count("*").alias("fragments"), F.count_if(F.col("mimetype") == "text/uri-list").alias("links")),
         "shape_stamps": lambda s, d: T.stamps(_documents(s, d)),
-        "summarize": _summaries,
-        "keywords": lambda s, d: _documents(s, d).select("doc_id", F.udf(E.keywords, "array<string>", useArrow=True)(F.col("text")).alias("keywords")),
+        "summarize": lambda s, d: T.summarized(_documents(s, d)),
+        "keywords": lambda s, d: T.keyworded(_documents(s, d)),
         "call_transcripts": lambda s, d: render.transcripts(_t(s, d, "sentences")),
         "contact_cards": lambda s, d: render.cards(_t(s, d, "call_parties")),
     }

@@ -120,3 +120,13 @@ def test_selection_covers_sections_and_prefers_the_new():
     assert extract.sections("# A\n\nOne. Two.\n\nThree.\n# B\nFour.") == [["One.", "Two.", "Three."], ["Four."]]
     assert extract.sections("One. Two.\n\nThree.\n```\ncode\n```\nFour.") == [["One.", "Two."], ["Three.", "Four."]]
     assert extract.units("Risk of prostate cancer, cancer cancer 12") == ["risk", "prostate", "prostate cancer", "cancer", "cancer", "cancer"]
+
+
+def test_small_tables_in_few_files_are_spread(spark, tmp_path):
+    from quillfind.functions.session import spread
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(100).repartition(4).write.parquet(str(tmp_path / "four"))
+    one, four = spark.read.parquet(str(tmp_path / "one")), spark.read.parquet(str(tmp_path / "four"))
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and spread(one).count() == 100
+    assert spread(four) is four and spread(one, most=10) is one and spread(df := spark.range(5)) is df
