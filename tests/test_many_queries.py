@@ -33,3 +33,19 @@ def test_metrics_shuffle_no_pairs_of_a_question_and_a_document(spark, sf):
     for name in ("mrr_hit",):
         text = plan(corpus_queries.queries()[name](spark, sf))
         assert "term#" not in text.replace("AS term", ""), name
+
+
+def test_phrases_equal_brute_force_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(search, "PHRASES", 10)
+    monkeypatch.setattr(search, "PUT_OUT", 5)
+    rng = random.Random(4)
+    rows = texts(rng, 120, 8)
+    spoken = [(i, rng.choice([" ", "-"]).join(rng.choices(WORDS, k=rng.randint(1, 4)))) for i in range(60)] + [(60, None), (61, "..."), (62, "W1 w2"), (63, "w1, w2"), (64, "nowhere w1"), (65, "über")]
+    got = search.phrase_search(spark.createDataFrame(rows, "id long, text string").repartition(3), spark.createDataFrame(spoken, "phrase_id long, text string"))
+    import re
+
+    tokens = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+    flat = lambda t: f" {' '.join(tokens(t))} "
+    want = [(p, i) for p, a in spoken for i, b in rows if tokens(a) and flat(a) in flat(b)]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert "hashpartitioning" not in plan(got)
