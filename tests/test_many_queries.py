@@ -2,7 +2,7 @@
 
 import random
 
-from quillfind.operators import search
+from quillfind.operators import search, vocabulary
 from quillfind.plans import corpus_queries
 
 WORDS = [f"w{i}" for i in range(12)]
@@ -49,3 +49,21 @@ def test_phrases_equal_brute_force_without_a_shuffle(spark, monkeypatch):
     want = [(p, i) for p, a in spoken for i, b in rows if tokens(a) and flat(a) in flat(b)]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert "hashpartitioning" not in plan(got)
+
+
+def test_matches_equal_brute_force_and_bring_no_sightings_together(spark, monkeypatch):
+    monkeypatch.setattr(search, "PHRASES", 10)
+    monkeypatch.setattr(vocabulary, "KEPT", 50)
+    monkeypatch.setattr(vocabulary, "SAMPLES", 6)
+    rng = random.Random(5)
+    rows = texts(rng, 150, 8)
+    spoken = [" ".join(rng.choices(WORDS, k=rng.randint(1, 4))) for _ in range(50)] + [None, "", " ", " W1  w2 ", "w1 w2", "nowhere w1", "über"]
+    got = vocabulary.matches(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([(w,) for w in spoken], "normalized string"))
+    flat = lambda t: f" {' '.join(w.strip('.-') for w in (t or '').lower().split())} "
+    want = {}
+    for s in {" ".join(s.lower().split()) for s in spoken if s and s.strip()}:
+        if ids := sorted(i for i, t in rows if f" {s} " in flat(t)):
+            want[s] = (len(ids), ids[:6])
+    assert {r["spelling"]: (r["df"], r["samples"]) for r in got.collect()} == want
+    assert "Window" not in plan(got)  # a task would hold all sightings of a spelling
+    assert vocabulary.matches(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "normalized string")).count() == 0
