@@ -51,14 +51,14 @@ def watermarks(log: DataFrame, origin: str = "origin", epoch: str = "epoch", seq
 
     watermark is the last sequence of the unbroken run 1, 2, 3 ...; 0 if 1 is missing.
     Sequences up to the mark of `complete` (origin, epoch, upto) count as present; "read"
-    marks the whole log. The first gap is found by counts of blocks of sequences: an
+    takes as marks what `positions` tells of the log. The first gap is found by counts of blocks of sequences: an
     origin's sequences are never brought together, only its blocks are.
     """
     heads = positions(log, origin, epoch, seq, key).withColumnRenamed("upto", "last_seq")
     if isinstance(complete, str):
         if complete != "read":
             raise ValueError(f"complete is a DataFrame, 'read' or None, not {complete!r}")
-        return heads.withColumn("watermark", F.col("last_seq"))
+        complete = positions(log, origin, epoch, seq, key)
     if complete is None:
         heads = heads.withColumn("upto", F.lit(0).cast("long"))
     else:
@@ -89,6 +89,33 @@ def _watermark() -> Column:
     return lead * GAP_BLOCK + F.coalesce(inside, F.lit(0))
 
 
+def assembled(
+    log: DataFrame,
+    origin: str = "origin",
+    epoch: str = "epoch",
+    seq: str = "seq",
+    key: str = "key",
+    tombstone: str = "tombstone",
+    record: str = "record",
+    withdrawing: tuple[str, ...] = WITHDRAWING,
+    payload: bool = False,
+) -> DataFrame:
+    """(origin, epoch, seq, key, gone[, record]): the transactions of the accepted rows, each of its keys once, whatever was delivered how often.
+
+    If deliveries disagree, the withdrawal wins; of differing records the greatest text stays.
+    """
+    rows = accepted(log, origin, epoch, seq, key).select(
+        F.col(origin).alias("origin"),
+        F.col(epoch).alias("epoch"),
+        F.col(seq).alias("seq"),
+        F.col(key).alias("key"),
+        _withdraws(tombstone, record, withdrawing).alias("gone"),
+        *([F.col(record).alias("record")] if payload else []),
+    )
+    said = [F.max(F.when(~F.col("gone"), F.col("record"))).alias("record")] if payload else []
+    return rows.groupBy("origin", "epoch", "seq", "key").agg(F.max("gone").alias("gone"), *said)
+
+
 def current_state(
     log: DataFrame,
     origin: str = "origin",
@@ -111,14 +138,7 @@ def current_state(
     of differing records the greatest text stays. An empty log gives no rows; other
     columns are ignored.
     """
-    rows = accepted(log, origin, epoch, seq, key).select(
-        F.col(origin).alias("origin"),
-        F.col(epoch).alias("epoch"),
-        F.col(key).alias("key"),
-        F.col(seq).alias("seq"),
-        _withdraws(tombstone, record, withdrawing).alias("gone"),
-        *([F.col(record).alias("record")] if payload else []),
-    )
+    rows = assembled(log, origin, epoch, seq, key, tombstone, record, withdrawing, payload)
     # only the newest epoch of an origin has a watermark; there is one row for each origin
     marks = written(watermarks(log, origin, epoch, seq, key, complete).select("origin", "epoch", "watermark"), "watermarks")
     if marks.limit(SENT + 1).count() <= SENT:
