@@ -13,7 +13,7 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, sf: str) -> DataFrame:
-    return transcripts.turns(_read(spark, sf, "sentences"), _read(spark, sf, "call_parties"))
+    return transcripts.turns(_read(spark, sf, "sentences"), _read(spark, sf, "call_parties"), resets=None)
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

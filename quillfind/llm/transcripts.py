@@ -13,9 +13,10 @@ segments, and the segments of a call are stitched by their first and last speake
 
 With `resets` a call is a chain of files, each with a clock of its own: a start that falls
 back by more than `RESET` seconds behind the one before, in order of the sentences' ids,
-begins a new file, and times are repaired in the order of ids within each. Without, as
-where ids are in no order of time, all of a call is one file and its sentences are taken in
-order of their starts.
+begins a new file, and times are repaired in the order of ids within each, for every channel
+apart, as channels are recognised apart; the repaired times put the channels together.
+Without, as where ids are in no order of time, all of a call is one file and its sentences
+are taken in order of their starts. `chains` tells which calls are evidently made of files.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from quillfind.functions.session import written
 
 SEGMENT_SECS, RESET = 3600.0, 60.0
+#: Sentences that each file must hold before a call counts as a chain of files, and the share of steps back among them at most.
+FILE, STEPS_BACK = 8, 0.125
 
 #: Sounds and remarks of the recogniser, as they stand in brackets.
 SOUNDS = (
@@ -201,11 +204,17 @@ def _runs(batches):
 
 
 def _segment(at, rows):
-    # (start, sentence, speaker, clock, words); a start that the clock contradicts gives way to it
-    times = isotonic([c if c is not None and abs(s - c) > 1.5 else s for s, _, _, c, _ in rows])
+    # (start, sentence, speaker, clock, words, stream); a start that the clock contradicts gives way to it
+    streams: dict = {}
+    for i, row in enumerate(rows):
+        streams.setdefault(row[5], []).append(i)
+    times = [0.0] * len(rows)
+    for held in streams.values():
+        for i, t in zip(held, isotonic([c if c is not None and abs(s - c) > 1.5 else s for s, _, _, c, _, _ in (rows[i] for i in held)])):
+            times[i] = t
     runs: list[list] = []
-    # repaired times never step back in the order of the segment, so that is the order of times
-    for (_, sentence, speaker, _, words), time in sorted(zip(rows, times), key=lambda x: x[1]):
+    # repaired times never step back within a stream; they put the streams together
+    for (_, sentence, speaker, _, words, _), time in sorted(zip(rows, times), key=lambda x: x[1]):
         if runs and runs[-1][1] == speaker:
             runs[-1][3:5] = sentence, time
             runs[-1][6].append(words)
@@ -219,7 +228,7 @@ def _segment(at, rows):
     )
 
 
-def turns(sentences: DataFrame, parties: DataFrame, segment_secs: float = SEGMENT_SECS, resets: bool = False) -> DataFrame:
+def turns(sentences: DataFrame, parties: DataFrame, segment_secs: float = SEGMENT_SECS, resets: bool | None = False) -> DataFrame:
     """(call_id, turn_no, channel, first_sentence_id, last_sentence_id, start_secs, end_secs, text): the turns of each call.
 
     Of rows with one start the smallest id stands. A sentence without words belongs to no
@@ -227,8 +236,18 @@ def turns(sentences: DataFrame, parties: DataFrame, segment_secs: float = SEGMEN
     no such party it is a speaker of its own, with channel null. A sentence without a start
     and a written clock comes last in its call, by id. resets: files of a call are told by
     clocks that fall back, see above. Rows without call or id are left out. Null texts have
-    no words. Empty tables give no turns.
+    no words. Empty tables give no turns. resets=None: the calls that `chains` names are
+    taken as chains of files, all others by their starts.
     """
+    if resets is None:
+        files = written(chains(sentences), "chains")
+        if files.isEmpty():
+            return turns(sentences, parties, segment_secs)
+        rest = sentences.join(files, F.col("call_id") == F.col("_chain"), "left_anti")
+        again = Window.partitionBy("call_id", "start_secs", "text")
+        chained = sentences.join(files, F.col("call_id") == F.col("_chain"), "left_semi").withColumn("_id", F.min("sentence_id").over(again))
+        chained = chained.where("_id = sentence_id OR start_secs IS NULL").drop("_id")
+        return turns(rest, parties, segment_secs).union(turns(chained, parties, segment_secs, True))
     read = sentences_of(sentences)
     known = parties.where("call_id IS NOT NULL").select(F.col("call_id").cast("long").alias("call_id"), F.col("channel").cast("int").alias("channel"), F.lit(1).alias("_known")).distinct()
     named = (
@@ -240,11 +259,14 @@ def turns(sentences: DataFrame, parties: DataFrame, segment_secs: float = SEGMEN
     )
     if resets:
         # the order within a file is that of ids; a file is a segment of its own
-        named = _in_files(named.where("start < 1e12"))
-        segment, order = F.col("_file"), ["call_id", "segment", "sentence_id", "same"]
+        timed = _in_files(named.where("start < 1e12"))
+        # sentences without any time come last, by id
+        named = timed.select(*named.columns, "_file").union(named.where("start >= 1e12").withColumn("_file", F.lit(1 << 38)))
+        segment, stream, order = F.col("_file"), F.coalesce("channel", F.lit(-1)), ["call_id", "segment", "sentence_id", "same"]
     else:
+        stream = F.lit(0)
         segment, order = F.least(F.floor(F.col("start") / segment_secs), F.lit(1 << 38)), ["call_id", "segment", "start", "sentence_id"]
-    placed = named.select("call_id", segment.alias("segment"), "start", "sentence_id", "same", "speaker", "clock", "words")
+    placed = named.select("call_id", segment.alias("segment"), "start", "sentence_id", "same", "speaker", "clock", "words", stream.alias("stream"))
     # read twice below
     runs = written(
         placed.repartition("call_id", "segment").sortWithinPartitions(*order).mapInArrow(_runs, "call_id long, segment long, run long, speaker int, first long, last long, begins double, ends double, words string"), "runs"
@@ -270,6 +292,26 @@ def turns(sentences: DataFrame, parties: DataFrame, segment_secs: float = SEGMEN
     )
 
 
+def chains(sentences: DataFrame) -> DataFrame:
+    """(_chain): the calls that are evidently chains of files.
+
+    In order of ids their clocks fall back at least once, every fall leads to the first RESET
+    seconds of a clock, and between falls stand FILE sentences or more, in order of time but
+    for a share of STEPS_BACK. Where ids are in no order of time, or a single sentence stands
+    at a wrong place, that isn't so.
+    """
+    given = F.col("start_secs").cast("double")
+    rows = sentences.where(given.isNotNull() & ~F.isnan(given) & F.col("call_id").isNotNull() & F.col("sentence_id").isNotNull())
+    # sentences delivered again don't count
+    once = rows.groupBy(F.col("call_id").cast("long").alias("call_id"), given.alias("start"), F.xxhash64("text").alias("_text")).agg(F.min(F.col("sentence_id").cast("long")).alias("sentence_id"))
+    long = once.groupBy("call_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= 2 * FILE).select("call_id")
+    steps = Window.partitionBy("call_id", "_file").orderBy("sentence_id")
+    filed = _in_files(once.join(long, "call_id", "left_semi")).withColumn("_back", (F.col("start") < F.lag("start").over(steps)).cast("int"))
+    files = filed.groupBy("call_id", "_file").agg(F.count("*").alias("n"), F.coalesce(F.sum("_back"), F.lit(0)).alias("back"), F.min_by("start", "sentence_id").alias("first"))
+    told = files.groupBy("call_id").agg(F.count("*").alias("files"), F.min("n").alias("least"), F.max(F.col("back") / F.col("n")).alias("back"), F.max(F.when(F.col("_file") > 0, F.col("first"))).alias("latest"))
+    return told.where((F.col("files") > 1) & (F.col("least") >= FILE) & (F.col("back") <= STEPS_BACK) & (F.col("latest") <= RESET)).select(F.col("call_id").alias("_chain"))
+
+
 def _in_files(rows: DataFrame, block: int = 1 << 14) -> DataFrame:
     """With `_file`: how many clocks were begun anew in the call up to the sentence, in order of ids.
 
