@@ -29,6 +29,29 @@ def test_best_rows_equal_the_ranking_of_all_pairs(spark, monkeypatch):
     assert search.bm25_best(docs.limit(0), asked, 3).count() == 0 and search.bm25_best(docs, asked.limit(0), 3).count() == 0
 
 
+def shuffled(spark):
+    """Bytes that this application has written to shuffles so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty(30_000)
+    executors = context.statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_texts_of_few_files_are_not_shuffled(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "HELD", 5000)
+    rng = random.Random(6)
+    other = lambda n: " ".join("%012x" % rng.getrandbits(48) for _ in range(n))
+    docs = [(i, f"{other(60)} {' '.join(rng.choices(WORDS, k=rng.randint(0, 6)))}") for i in range(3000)] + [(3000, None), (3001, ""), (3002, "ẞ Über 1"), (3003, "zzz")]
+    spark.createDataFrame(docs, "id long, text string").coalesce(1).write.parquet(str(tmp_path / "docs"))
+    rows = spark.read.parquet(str(tmp_path / "docs"))
+    for terms in (WORDS, WORDS + [f"v{i}" for i in range(1 << 15)]):  # their numbers take two bytes or four
+        asked = spark.createDataFrame([(i, " ".join(rng.choices(WORDS, k=3))) for i in range(40)] + [(40, None), (41, "über über"), (42, " ".join(terms))], "query_id long, text string")
+        before = shuffled(spark)
+        got = {(r["query_id"], r["id"], round(r["score"], 8), r["rank"]) for r in search.bm25_best(rows, asked, 5).collect()}
+        assert len(terms) > 1 << 15 or shuffled(spark) - before < sum(len(t or "") for _, t in docs) / 4
+        assert got == {(r["query_id"], r["id"], round(r["score"], 8), r["rank"]) for r in search.ranked(search.bm25(rows, asked), 5).collect()}
+
+
 def test_metrics_shuffle_no_pairs_of_a_question_and_a_document(spark, sf):
     for name in ("mrr_hit", "ndcg_map_recall"):
         text = plan(corpus_queries.queries()[name](spark, sf))
