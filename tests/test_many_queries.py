@@ -90,3 +90,8 @@ def test_matches_equal_brute_force_and_bring_no_sightings_together(spark, monkey
     assert {r["spelling"]: (r["df"], r["samples"]) for r in got.collect()} == want
     assert "Window" not in plan(got)  # a task would hold all sightings of a spelling
     assert vocabulary.matches(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "normalized string")).count() == 0
+
+
+def test_mrr_hit_asks_every_question(spark, sf):
+    got = corpus_queries.queries()["mrr_hit"](spark, sf).first()
+    assert got["queries"] == spark.read.parquet(f"{sf}/selected_questions.parquet").where("size(expected_doc_ids) > 0").count()
