@@ -95,3 +95,16 @@ def test_matches_equal_brute_force_and_bring_no_sightings_together(spark, monkey
 def test_mrr_hit_asks_every_question(spark, sf):
     got = corpus_queries.queries()["mrr_hit"](spark, sf).first()
     assert got["queries"] == spark.read.parquet(f"{sf}/selected_questions.parquet").where("size(expected_doc_ids) > 0").count()
+
+
+def test_vocabulary_matches_keep_every_document_and_spellings_of_many_words(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vocabulary, "KEPT", 100)
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choices(WORDS, k=9)) + (" eins zwei drei vier fünf. Sechs" if i % 3 == 0 else "")) for i in rng.sample(range(1000), 600)]
+    labels = ["W1", "w2 w3", "Eins zwei drei vier fünf", "zwei drei vier fünf sechs", "eins zwei drei vier fünf sechs sieben", None, " "]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(w,) for w in labels], "label string").write.parquet(str(tmp_path / "clusters.parquet"))
+    got = {r["spelling"]: (r["df"], r["samples"]) for r in corpus_queries.queries()["vocabulary_matches"](spark, str(tmp_path)).collect()}
+    flat = lambda t: f" {t.lower().replace('.', '')} "
+    found = {s: sorted(i for i, t in rows if f" {s} " in flat(t)) for s in (w.lower() for w in labels if w and w.strip())}
+    assert got == {s: (len(ids), ids) for s, ids in found.items() if ids} and len(got["w1"][1]) > vocabulary.SAMPLES
