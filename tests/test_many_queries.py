@@ -29,6 +29,22 @@ def test_best_rows_equal_the_ranking_of_all_pairs(spark, monkeypatch):
     assert search.bm25_best(docs.limit(0), asked, 3).count() == 0 and search.bm25_best(docs, asked.limit(0), 3).count() == 0
 
 
+def test_questions_that_share_terms_are_scored_once(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = spark.createDataFrame(texts(rng, 200, 9), "id long, text string").repartition(3)
+    said = [" ".join(rng.choices(WORDS, k=rng.randint(1, 7))) for _ in range(30)]
+    asked = spark.createDataFrame([(100 - i, " ".join(rng.sample(t.split(), len(t.split())))) for i, t in enumerate(said * 3)], "query_id long, text string")
+    want = {(r["query_id"], r["id"], round(r["score"], 8), r["rank"]) for r in search.ranked(search.bm25(docs, asked), 4).collect()}
+    turns = []
+    inner = search._in_turn
+    monkeypatch.setattr(search, "_in_turn", lambda *a: turns.append(inner(*a)) or turns[-1])
+    for dense, levels, first in ((0, 1, 10), (2, 2, 5), (16, 12, 20)):
+        for name, value in (("DENSE", dense), ("LEVELS", levels), ("FIRST", first)):
+            monkeypatch.setattr(search, name, value)
+        assert {(r["query_id"], r["id"], round(r["score"], 8), r["rank"]) for r in search.bm25_best(docs, asked, 4).collect()} == want
+    assert len(turns[0][0]) == 90 and len(turns[0][2]) <= 30 and turns[0][2].sum() > 0
+
+
 def shuffled(spark):
     """Bytes that this application has written to shuffles so far."""
     context = spark.sparkContext._jsc.sc()
